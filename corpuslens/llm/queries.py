@@ -4,14 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, warc
+from . import decontaminate, packing, sharding, toxicity, warc
 from ._spark import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -20,7 +34,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_report(spark, table(spark, sf_dir, "pages")).drop("has_request")
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op8_decontamination, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_sharding, op6_packing, op8_decontamination, op9_warc)}
 ORACLES = {
     "op9_warc": """
         with p as (select page_id, coalesce(html, '') as t, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
