@@ -30,6 +30,8 @@ from ._spark import kept, only
 TRAINING_ROWS = 20_000
 #: Marks kept, the most telling first: bounds what is broadcast.
 MARKS = 20_000
+#: Marks looked at in context, at most.
+CANDIDATES = 200_000
 PREFIXES = (4, 5, 6, 7)
 LEVELS = 8
 
@@ -191,6 +193,25 @@ def count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(hits), pa.array(rest)], names=["mark", "toxic", "other"])
 
 
+def count_contexts(batches: Iterator[pa.RecordBatch], candidates) -> Iterator[pa.RecordBatch]:
+    """Candidate marks with the word before: copies of a text add nothing new."""
+    roller, known = Roller(), candidates.value
+    for batch in batches:
+        toxic, rows = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.uint64), []
+        for lo, hi, raw, offsets in text_blocks(_lowered(batch.column("text"))):
+            start, end, row = find_words(raw, offsets, IS_WORD)
+            before = None
+            for h, has in _marks(roller.prefix(BYTE_CODES[raw]), start, end, roller):
+                if before is None:
+                    before = np.concatenate([np.zeros(1, np.uint64), h[:-1] >> np.uint64(33)]) if len(h) else h
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                hit = np.flatnonzero(has & (known[at] == h)) if len(known) else np.zeros(0, np.int64)
+                rows.append(np.stack([h[hit], before[hit] * np.uint64(2) + toxic[lo:hi][row[hit]]]))
+        if rows:
+            marks, contexts = np.unique(np.concatenate(rows, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(marks.view(np.int64)), pa.array((contexts >> np.uint64(1)).astype(np.int64)), pa.array((contexts & np.uint64(1)).astype(np.int64))], names=["mark", "context", "toxic"])
+
+
 class Lexicon:
     """Classes of words by hash, and the composed grammar."""
 
@@ -280,10 +301,14 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     size = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     rate = (size["t"] + 0.5) / (size["n"] + 1)
     marks = train.mapInArrow(count_marks, "mark long, toxic long, other long").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter("toxic >= 3 or other >= 3")
+    likely = marks.filter((F.col("toxic") >= 3) & (F.col("toxic") > 2 * F.col("other")) & (F.col("toxic") > 4 * rate * (F.col("toxic") + F.col("other"))))
+    candidates = spark.sparkContext.broadcast(np.array(sorted(r["mark"] % (1 << 64) for r in likely.orderBy(F.desc(F.col("toxic") - 2 * F.col("other")), "mark").limit(CANDIDATES).select("mark").collect()), dtype=np.uint64))
+    contexts = train.mapInArrow(lambda batches: count_contexts(batches, candidates), "mark long, context long, toxic long").distinct()
+    by_mark = contexts.groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (F.col("other") + 0.5)) - math.log(rate / (1 - rate))
     surprise = 2 * (F.col("toxic") * F.log((F.col("toxic") + 1e-9) / ((F.col("toxic") + F.col("other")) * rate)) + F.col("other") * F.log((F.col("other") + 1e-9) / ((F.col("toxic") + F.col("other")) * (1 - rate))))
-    least = 2 * math.log(max(20, size["n"]) * 20)
-    told = marks.withColumn("odds", odds).withColumn("surprise", surprise).filter((F.col("toxic") >= 3) & (F.col("toxic") > 2 * F.col("other")) & (F.col("odds") > 1.5) & (F.col("surprise") > least))
+    least = 2 * math.log(20 * max(20, len(candidates.value)))
+    told = by_mark.withColumn("odds", odds).withColumn("surprise", surprise).filter((F.col("toxic") > 5 * F.col("other")) & (F.col("odds") > 1.5) & (F.col("surprise") > least))
     levels = {r["mark"] % (1 << 64): min(LEVELS - 1, max(0, int(r["odds"] / 0.8))) for r in told.orderBy(F.desc("surprise"), "mark").limit(MARKS).select("mark", "odds").collect()}
     seeds = [int(h) for h in _hash_words(SEEDS, Roller())]
     signed = [h - (1 << 64) if h >= 1 << 63 else h for h in seeds]
