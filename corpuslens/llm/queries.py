@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, sharding, toxicity, warc
+from . import decontaminate, packing, pii, sharding, toxicity, warc
 from ._spark import table
 
 
@@ -34,7 +34,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.capture_report(spark, table(spark, sf_dir, "pages")).drop("has_request")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op5_sharding, op6_packing, op8_decontamination, op9_warc)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op5_sharding, op6_packing, op8_decontamination, op9_warc, op10_pii)}
 ORACLES = {
     "op9_warc": """
         with p as (select page_id, coalesce(html, '') as t, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
