@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, packing, pii, sharding, toxicity, warc
+from . import decontaminate, near_dedup, neighbours, packing, pii, sharding, toxicity, warc
 from ._spark import table
 
 
@@ -30,6 +30,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,7 +46,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op5_sharding, op6_packing, op8_decontamination, op9_warc, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op5_sharding, op6_packing, op7_neighbours, op8_decontamination, op9_warc, op10_pii)}
 ORACLES = {
     "op9_warc": """
         with p as (select page_id, coalesce(html, '') as t, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
