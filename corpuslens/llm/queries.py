@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, neighbours, packing, passages, pii, sharding, toxicity, warc
+from . import decontaminate, near_dedup, neighbours, packing, passages, pii, quality, sharding, toxicity, warc
 from ._spark import table
 
 
@@ -26,6 +26,10 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.remove_passages(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_passages, op5_sharding, op6_packing, op7_neighbours, op8_decontamination, op9_warc, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_passages, op4_quality, op5_sharding, op6_packing, op7_neighbours, op8_decontamination, op9_warc, op10_pii)}
 ORACLES = {
     "op9_warc": """
         with p as (select page_id, coalesce(html, '') as t, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
