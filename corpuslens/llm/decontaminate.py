@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bytes import BYTE_CODES, Roller, find_words, text_blocks, window_hashes
 from ._spark import kept, only
@@ -31,7 +32,7 @@ _lower[ord("A") : ord("Z") + 1] += 32
 _word = np.zeros(256, dtype=bool)
 _word[0x30:0x3A] = _word[0x41:0x5B] = _word[0x61:0x7B] = _word[0x80:] = True
 LOWER, IS_WORD = _lower, _word
-SCAN = "doc_id long, text string, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+SCAN = "n_words long, spans array<struct<first:long,last:long>>, items array<string>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -92,6 +93,7 @@ def scan_batches(batches: Iterator[pa.RecordBatch], window_set, keep_text: bool)
                             first = int(i - np.searchsorted(row, r))
                             spans[lo + r].append({"first": first, "last": first + size - 1})
                             items[lo + r].update(ids)
+        kept_names = [c for c in batch.schema.names if c not in ("n_words", "spans", "items") and (keep_text or c != "text")]
         merged = []
         for own in spans:
             out: list[dict] = []
@@ -102,11 +104,11 @@ def scan_batches(batches: Iterator[pa.RecordBatch], window_set, keep_text: bool)
                     out.append(dict(s))
             merged.append(out)
         span_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text") if keep_text else pa.nulls(n, pa.string()), pa.array(n_words), pa.array(merged, type=span_type), pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept_names], pa.array(n_words), pa.array(merged, type=span_type), pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))], names=[*kept_names, "n_words", "spans", "items"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, set_bytes: int = SET_BYTES, keep_text: bool = True) -> DataFrame:
-    """doc_id, text (null unless kept), n_words, hit word spans (first and last word), item ids of each document.
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, set_bytes: int = SET_BYTES, columns: tuple[str, ...] = ("doc_id",), keep_text: bool = True) -> DataFrame:
+    """The named columns, text (if kept), n_words, hit word spans (first and last word), item ids of each document.
 
     The benchmark's size is checked: up to ``set_bytes`` of text it is one broadcast set;
     beyond, items are dealt into sets of about that size and the documents are scanned once
@@ -116,12 +118,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     bench = only(benchmark, "item_id", "text").filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sets = max(1, -(-2 * total // set_bytes)) if total > set_bytes else 1
-    out = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<first:long,last:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    own = only(docs, *dict.fromkeys([*columns, "text"])).withColumn("text", F.col("text").cast("string"))
+    found = T.StructType.fromDDL(SCAN)
+    out = own.withColumns({f.name: F.lit(None if i else 0).cast(f.dataType) for i, f in enumerate(found.fields)})
     for k in range(sets):
         part = bench if sets == 1 else bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(sets)) == k)
         rows = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
         shared = spark.sparkContext.broadcast(WindowSet(rows, width))
-        out = out.mapInArrow(lambda batches, shared=shared, keep=keep_text or k + 1 < sets: scan_batches(batches, shared, keep), SCAN)
+        keep = keep_text or k + 1 < sets
+        schema = T.StructType([f for f in own.schema.fields if keep or f.name != "text"] + found.fields)
+        out = out.mapInArrow(lambda batches, shared=shared, keep=keep: scan_batches(batches, shared, keep), schema)
         if k + 1 < sets:
             out = kept(out)
     return out
@@ -131,7 +137,7 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WID
     """One row per document: words, hit words, occurring items and their digest."""
     found = find_contamination(docs, benchmark, width, keep_text=False)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return found.select(F.col("doc_id").cast("long"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def cut_spans(batches: Iterator[pa.RecordBatch], drop_share: float) -> Iterator[pa.RecordBatch]:
@@ -148,11 +154,12 @@ def cut_spans(batches: Iterator[pa.RecordBatch], drop_share: float) -> Iterator[
                     whole = whole[: start[s["first"]]] + whole[end[s["last"]] :]
                 text = whole.decode("utf-8", "ignore")
             texts.append(text)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, type=pa.string()), pa.array(gone)], names=["doc_id", "text", "gone"])
+        names = [c for c in batch.schema.names if c not in ("n_words", "spans", "items")]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string()) if c == "text" else batch.column(c) for c in names] + [pa.array(gone)], names=[*names, "gone"])
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, drop_share: float = 0.5) -> DataFrame:
-    """doc_id and cleaned text: hit spans are removed; documents mostly made of hits go."""
-    found = find_contamination(docs, benchmark, width)
-    cut = found.mapInArrow(lambda batches: cut_spans(batches, drop_share), "doc_id long, text string, gone boolean")
-    return cut.filter(~F.col("gone")).drop("gone")
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, drop_share: float = 0.5, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The named columns with cleaned text: hit spans are removed; documents mostly made of hits go."""
+    found = find_contamination(docs, benchmark, width, columns=columns)
+    schema = T.StructType([*found.schema.fields[:-3], T.StructField("gone", T.BooleanType())])
+    return found.mapInArrow(lambda batches: cut_spans(batches, drop_share), schema).filter(~F.col("gone")).drop("gone")

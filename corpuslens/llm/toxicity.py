@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._bytes import BYTE_CODES, Roller, find_words, text_blocks
 from ._spark import kept, only
@@ -264,11 +265,11 @@ def clause_weights(column: pa.Array, lexicon: Lexicon, roller: Roller) -> np.nda
     return total
 
 
-def weigh_batches(batches: Iterator[pa.RecordBatch], lexicon) -> Iterator[pa.RecordBatch]:
+def weigh_batches(batches: Iterator[pa.RecordBatch], lexicon, text: str = "text") -> Iterator[pa.RecordBatch]:
     roller = Roller()
     for batch in batches:
-        weights = pa.array(np.log1p(np.maximum(clause_weights(batch.column("text"), lexicon.value, roller), 0.0)))
-        yield pa.RecordBatch.from_arrays([batch.column(n) for n in batch.schema.names if n != "text"] + [weights], names=[n for n in batch.schema.names if n != "text"] + ["weight"])
+        weights = pa.array(np.log1p(np.maximum(clause_weights(batch.column(text), lexicon.value, roller), 0.0)))
+        yield pa.RecordBatch.from_arrays([batch.column(n) for n in batch.schema.names if n != text] + [weights], names=[n for n in batch.schema.names if n != text] + ["weight"])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -320,10 +321,17 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     return lexicon, *(_fit(x, y) if len(x) and 0 < y.sum() < len(y) else (4.0, -2.5))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+def scored(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...], training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """The named columns of every document with score and predicted."""
     lexicon, slope, intercept = learn(docs, labels, training_rows)
-    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    weighed = rows.mapInArrow(lambda batches: weigh_batches(batches, lexicon), "doc_id long, weight double")
+    rows = only(docs, *columns).withColumn("own_text", F.col("text")) if "text" in columns else only(docs, *columns, "text").withColumnRenamed("text", "own_text")
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "own_text"] + [T.StructField("weight", T.DoubleType())])
+    weighed = rows.mapInArrow(lambda batches: weigh_batches(batches, lexicon, "own_text"), schema)
     score = 1 / (1 + F.exp(-(F.col("weight") * slope + intercept)))
-    return weighed.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return weighed.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int")).drop("weight")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    out = scored(docs, labels, ("doc_id",), training_rows)
+    return out.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
