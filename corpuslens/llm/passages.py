@@ -30,8 +30,8 @@ from ._bytes import BYTE_CODES, Roller, mix, pack_plain, pack_sorted, unpack_pla
 from ._spark import only
 
 PASSAGE = 50
-CHUNK_BYTES, SHARD_NAMES = 6 << 20, 3_000_000
-BLOCK = 1 << 20
+CHUNK_BYTES, SHARD_NAMES = 4 << 20, 1_000_000
+BLOCK = 1 << 19
 LAST_ID = (1 << 63) - 1
 CELL = "shard int, chunk int, names binary, values binary"
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
