@@ -1 +1,10 @@
-"""Analytics over large collections of texts, with DataFrames and SQL."""
+"""Analytics over large collections of texts, with DataFrames and SQL.
+
+Functions sent to executors are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

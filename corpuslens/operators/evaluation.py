@@ -1,0 +1,72 @@
+"""Segmentations and transcriptions against gold data; reproducible samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .. import fixed
+
+
+def boundary_scores(boundaries: DataFrame) -> DataFrame:
+    """hits, expected, found and WindowDiff of each register (expected, found: arrays of lines; n_lines).
+
+    Line 0 never counts.  The window is half the mean segment, rounded half to even.
+    """
+    inner = lambda c: F.array_distinct(F.filter(c, lambda x: x > 0))
+    rows = boundaries.withColumn("e", inner("expected")).withColumn("f", inner("found"))
+    k = F.least(F.greatest(F.lit(1), F.rint(F.col("n_lines") / (2.0 * (F.size("e") + 1))).cast("int")), F.col("n_lines") - 1)
+    count = lambda c, s: F.size(F.filter(c, lambda x: (x > s) & (x <= s + F.col("k"))))
+    starts = F.when(F.col("n_lines") - F.col("k") > 0, F.sequence(F.lit(0), F.col("n_lines") - F.col("k") - 1)).otherwise(F.array().cast("array<int>"))
+    wrong = F.size(F.filter(starts, lambda s: count("e", s) != count("f", s)))
+    rows = rows.withColumn("k", k)
+    diff = F.when(F.col("n_lines") < 2, 0.0).otherwise(wrong / F.greatest(F.size(starts), F.lit(1)))
+    return rows.select("register", F.size(F.array_intersect("e", "f")).alias("hits"), F.size("e").alias("expected"), F.size("f").alias("found"), diff.alias("window_diff"), *[c for c in boundaries.columns if c in ("stratum", "weight")])
+
+
+def aggregate_scores(scores: DataFrame) -> DataFrame:
+    """Weighted precision, recall, F1 and mean WindowDiff (hits, expected, found, window_diff, weight)."""
+    s = scores.agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in ("hits", "expected", "found", "window_diff")], F.sum("weight").alias("w"))
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    s = s.withColumn("precision", ratio("hits", "found")).withColumn("recall", ratio("hits", "expected"))
+    f1 = F.when(F.col("precision") + F.col("recall") > 0, 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).otherwise(0.0)
+    return s.select("precision", "recall", f1.alias("f1"), ratio("window_diff", "w").alias("window_diff"))
+
+
+def stratified_sample(items: DataFrame, key: str, count: str, size: int = fixed.SAMPLE_SIZE, floor: int = fixed.SAMPLE_FLOOR, seed: int = fixed.SAMPLE_SEED) -> DataFrame:
+    """A sample by stratum of segment count (at most 1, 2, more): proportional quotas with a
+    floor, surplus trimmed from the largest; weight is stratum size over quota.
+
+    Members are those with the smallest MD5 of seed and key: the same on every run.
+    """
+    rows = items.withColumn("stratum", F.when(F.col(count) <= 1, "1").when(F.col(count) == 2, "2").otherwise("3+"))
+    sizes = {r["stratum"]: r["n"] for r in rows.groupBy("stratum").agg(F.count("*").alias("n")).collect()}  # three rows
+    total = sum(sizes.values())
+    quota = {s: min(n, max(floor, round(size * n / total))) for s, n in sizes.items()}
+    while sum(quota.values()) > size:
+        top = max(sorted(quota), key=lambda s: quota[s])
+        if quota[top] <= floor:
+            break
+        quota[top] -= 1
+    table = rows.sparkSession.createDataFrame([(s, q, sizes[s] / q) for s, q in quota.items()] or [("", 0, 0.0)], "stratum string, quota int, weight double")
+    w = Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
+    return rows.withColumn("place", F.row_number().over(w)).join(F.broadcast(table), "stratum").filter("place <= quota").drop("place", "quota")
+
+
+def equal_share_sample(items: DataFrame, group: str, key: str, size: int = 30, seed: int = 2019) -> DataFrame:
+    """As many from every group: size over the number of groups, rounded down."""
+    n = items.agg(F.count_distinct(group)).first()[0] or 1
+    w = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
+    return items.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= size // n).drop("place")
+
+
+def error_rates(scores: DataFrame, rate: str, length: str) -> DataFrame:
+    """Mean, median, largest and length-weighted mean of a rate."""
+    weighted = F.when(F.sum(length) > 0, F.sum(F.col(rate) * F.col(length)) / F.sum(length))
+    return scores.agg(F.avg(rate).alias("mean"), F.median(rate).alias("median"), F.max(rate).alias("largest"), weighted.alias("weighted"))
+
+
+def misaligned(gold: DataFrame, lines: DataFrame) -> DataFrame:
+    """Gold lines (register, page, line, fingerprint) that the stored lines do not match."""
+    now = lines.withColumnRenamed("fingerprint", "now")
+    return gold.join(now, ["register", "page", "line"], "left").filter(~F.col("fingerprint").eqNullSafe(F.col("now")))
