@@ -80,3 +80,70 @@ def text_coverage(texts: DataFrame, verbatims: DataFrame, normal) -> DataFrame:
     merge = lambda s, x: F.struct(F.greatest(s["end"], x["at"] + x["n"]).alias("end"), (s["sum"] + F.greatest(F.lit(0), x["at"] + x["n"] - F.greatest(s["end"], x["at"]))).alias("sum"))
     out = t.join(v, "doc").withColumn("found", found)
     return out.select("doc", F.length("t").alias("length"), F.aggregate(spans, start, merge, lambda s: s["sum"]).alias("covered"), F.size(F.filter("found", lambda x: x["at"] == 0)).alias("missing"))
+
+
+def nearest_name(names: DataFrame, candidates: DataFrame) -> DataFrame:
+    """For each name the candidate most like it by Ratcliff-Obershelp; the first of equals.
+
+    ``candidates`` (name, pos) is a topic grid: it goes to every task as a list after a check
+    of its size.
+    """
+    import difflib
+
+    known = [r["name"] for r in candidates.orderBy("pos").limit(100_001).select("name").collect()]
+    if len(known) > 100_000:
+        raise ValueError("a grid of more than 100000 topics is no grid")
+
+    def match(batches):
+        for batch in batches:
+            yield batch.assign(nearest=[max(known, key=lambda k: difflib.SequenceMatcher(None, n or "", k).ratio(), default=None) for n in batch["name"]])
+
+    return names.select("name").mapInPandas(match, "name string, nearest string")
+
+
+def cluster_by_level(vectors: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """level, id and cluster: vectors of one level whose cosine similarity chains reach the
+    threshold; those without a neighbour are clusters of their own.  Levels are topic grids:
+    each fits a task."""
+
+    def cluster(pdf):
+        import numpy as np
+
+        v = np.array(pdf["vector"].tolist(), dtype=float)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        root = list(range(len(v)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i in range(len(v)):
+            for j in np.flatnonzero(v[i + 1 :] @ v[i] >= similarity) + i + 1:
+                root[find(int(j))] = find(i)
+        return pdf[["level", "id"]].assign(cluster=[find(i) for i in range(len(v))])
+
+    return vectors.groupBy("level").applyInPandas(cluster, "level int, id string, cluster long")
+
+
+def ask(prompts: DataFrame, client, schema: str = "id string, answer string") -> DataFrame:
+    """Answers of an injected client (list of prompts -> list of answers), batch by batch."""
+
+    def call(batches):
+        for batch in batches:
+            yield batch[["id"]].assign(answer=client(batch["prompt"].tolist()))
+
+    return prompts.select("id", "prompt").mapInPandas(call, schema)
+
+
+def prompts_by_chunk(topics_of_chunk: DataFrame) -> DataFrame:
+    """One numbered list of topics for each chunk (chunk, pos, name, validated)."""
+    line = F.concat(F.col("pos").cast("string"), F.lit(". "), "name", F.when(F.col("validated"), " [validated]").otherwise(""))
+    lines = F.array_sort(F.collect_list(F.struct("pos", line.alias("line"))))
+    return topics_of_chunk.groupBy("chunk").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("prompt"))
+
+
+def last_labels(labels: DataFrame) -> DataFrame:
+    """One label for each document and name: the last; labels of topics not found there go."""
+    return labels.groupBy("doc", "name").agg(F.max_by(F.struct("rationale", "extract"), "pos").alias("l"), F.min("pos").alias("pos")).select("doc", "name", "pos", "l.*")

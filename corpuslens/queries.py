@@ -523,3 +523,31 @@ def front_pages_skipped(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", T.category(name).alias("category"), page.alias("page"))
     skip = F.when(F.col("category").isin(*[k for k, n in fixed.FRONT_PAGES.items() if not n]), 0).otherwise(fixed.FRONT_PAGES["CC"])
     return docs.filter(F.col("page") >= skip)
+
+
+@query("select time_bucket(interval '1 hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def event_windows(spark, sf):
+    from .streaming import ingest
+
+    return ingest.windowed_counts(table(spark, sf, "events"), "ts", "event_type", "value").withColumn("total", F.round("total", 4))
+
+
+@query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 minutes' then 0 else 1 end as new from events), s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+    select user_id, min(ts) as start, max(ts) + interval '30 minutes' as "end", count(*) as n from s group by user_id, k""")
+def event_sessions(spark, sf):
+    from .streaming import ingest
+
+    return ingest.sessions(table(spark, sf, "events"), "ts", "user_id")
+
+
+@query()
+def nearest_topic_name(spark, sf):
+    brands = table(spark, sf, "part").select(F.col("p_brand").alias("name")).distinct()
+    wanted = table(spark, sf, "part").select(F.concat("p_brand", F.lit("x")).alias("name")).distinct()
+    return topics.nearest_name(wanted, brands.withColumn("pos", F.col("name")))
+
+
+@query()
+def embedding_clusters(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("level"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    return topics.cluster_by_level(v)
