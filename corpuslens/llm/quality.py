@@ -201,7 +201,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, model_rows: int = MODEL_RO
     """doc_id, lang, size and loss (negative log likelihood) of every document; ``trusted``
     has the doc_ids whose texts the model is trained on."""
     rows = only(docs, "doc_id", "lang", "text").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
-    texts = rows.select("doc_id", "text").join(trusted, "doc_id", "left_semi").select("text")
+    # Always by a shuffle of the ids and texts: how many are trusted grows with the corpus.
+    texts = rows.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi").select("text")
     counts = kept(texts.mapInArrow(count_grams, "shard int, keys binary, counts binary").groupBy("shard").applyInPandas(merge_counts, "key long, n long"))
     if counts.isEmpty():
         return None

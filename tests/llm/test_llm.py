@@ -34,19 +34,28 @@ def labels(spark):
     return spark.createDataFrame([(1, 1, 0), (4, 1, 1), (4, 0, 0), (None, 1, 1), (6, None, None), (10, 1, 0)], "doc_id long, quality int, toxic int")
 
 
-def test_every_operator_on_messy_and_empty_tables(spark, messy, nothing, labels):
-    bench = spark.createDataFrame([(1, "a few words"), (None, "text"), (2, None), (3, "")], "item_id long, text string")
-    n = messy.count()
-    for docs, size in ((messy, n), (nothing, 0)):
-        assert toxicity.score_toxicity(docs, labels).count() == size
-        assert quality.classify(docs, labels).count() == size
-        assert sharding.shard_by_bytes(docs).count() == size
-        assert decontaminate.contamination_report(docs, bench).count() == size
-        assert pii.pii_report(docs).count() == size
-        assert passages.remove_passages(docs).count() == size
-        assert near_dedup.near_duplicates(docs).count() == size
+BENCH = [(1, "a few words"), (None, "text"), (2, None), (3, "")]
+OPERATORS = {
+    "toxicity": lambda docs, labels, bench: toxicity.score_toxicity(docs, labels),
+    "near_dedup": lambda docs, labels, bench: near_dedup.near_duplicates(docs),
+    "passages": lambda docs, labels, bench: passages.remove_passages(docs),
+    "quality": lambda docs, labels, bench: quality.classify(docs, labels),
+    "sharding": lambda docs, labels, bench: sharding.shard_by_bytes(docs),
+    "decontamination": lambda docs, labels, bench: decontaminate.contamination_report(docs, bench),
+    "pii": lambda docs, labels, bench: pii.pii_report(docs),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_messy_and_empty_tables(name, spark, messy, nothing, labels):
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    assert OPERATORS[name](messy, labels, bench).count() == messy.count()
+    assert OPERATORS[name](nothing, labels, bench).count() == 0
+
+
+def test_packing_nothing_and_no_labels(spark, messy, nothing, labels):
     assert packing.pack_documents(nothing, tokenizer_path()).count() == 0
-    assert quality.classify(messy, labels.limit(0)).filter("keep").count() == n
+    assert quality.classify(messy, labels.limit(0)).filter("keep").count() == messy.count()
     assert all(0 <= r["score"] <= 1 for r in toxicity.score_toxicity(messy, labels.limit(0)).collect())
 
 
