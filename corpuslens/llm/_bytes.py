@@ -33,8 +33,8 @@ def powers(base: int, n: int) -> np.ndarray:
 class Roller:
     """Hashes of any stretch of a byte block from one pass of prefix sums."""
 
-    def __init__(self) -> None:
-        self.up, self.down = powers(BASE, BLOCK_BYTES + 1), powers(BASE_INVERSE, BLOCK_BYTES + 1)
+    def __init__(self, size: int = BLOCK_BYTES) -> None:
+        self.up, self.down = powers(BASE, size + 1), powers(BASE_INVERSE, size + 1)
 
     def prefix(self, codes: np.ndarray) -> np.ndarray:
         n = len(codes)

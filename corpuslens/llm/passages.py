@@ -30,8 +30,8 @@ from ._bytes import BYTE_CODES, Roller, mix, pack_plain, pack_sorted, unpack_pla
 from ._spark import only
 
 PASSAGE = 50
-CHUNK_BYTES, SHARD_NAMES = 4 << 20, 1_000_000
-BLOCK = 1 << 19
+CHUNK_BYTES, SHARD_NAMES = 3 << 20, 400_000
+BLOCK = 1 << 18
 LAST_ID = (1 << 63) - 1
 CELL = "shard int, chunk int, names binary, values binary"
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -43,7 +43,7 @@ class Chunk:
 
     def __init__(self, texts: list[str | None], docs: np.ndarray, passage: int) -> None:
         self.bytes, self.docs, self.passage, self.half = [(t or "").encode() for t in texts], docs, passage, -(-passage // 2)
-        self.roller = Roller()
+        self.roller = Roller(2 * BLOCK)
 
     def _blocks(self):
         """Pieces (document, start, bytes) of at most a block together; long texts overlap by a window."""
@@ -153,18 +153,26 @@ def name_stretches(key, pdf, passage: int, bits: int):
     return _frame(_cells(int(key[0]), names, [stretch, docs.astype(np.uint64), more.astype(np.uint64)], bits))
 
 
+def _gathered(pdf) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """All cells of a shard in the order of their names: names, chunks and values; the unsorted
+    parts are let go one by one."""
+    names = np.concatenate([unpack_sorted(n) for n in pdf["names"]])
+    order = np.argsort(names, kind="stable").astype(np.int32)
+    names = names[order]
+    parts = [_split(v) for v in pdf["values"]]
+    chunks = np.repeat(pdf["chunk"].to_numpy(np.int32), [len(p[0]) for p in parts])[order]
+    values = []
+    for i in range(len(parts[0])):
+        values.append(np.concatenate([p[i] for p in parts])[order])
+        for p in parts:
+            p[i] = None
+    return names, chunks, values
+
+
 def rank_stretches(key, pdf, bits: int):
     """A shard's sort at width 25: for names in several documents, the smallest one if the
     stretch is always the same (plus one), else 0: windows must tell."""
-    names, parts, chunks = [], [], []
-    for chunk, n, v in zip(pdf["chunk"], pdf["names"], pdf["values"]):
-        names.append(unpack_sorted(n))
-        parts.append(_split(v))
-        chunks.append(np.full(len(names[-1]), chunk, dtype=np.int64))
-    names, chunks = np.concatenate(names), np.concatenate(chunks)
-    stretch, docs, more = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.argsort(names, kind="stable")
-    names, chunks, stretch, docs, more = names[order], chunks[order], stretch[order], docs[order], more[order]
+    names, chunks, (stretch, docs, more) = _gathered(pdf)
     at = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
     low, high = np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at)
     several = (low != high) | (np.maximum.reduceat(more, at) > 0)
@@ -230,14 +238,7 @@ def name_windows(key, pdf, told, passage: int, bits: int):
 
 def rank_windows(key, pdf, bits: int):
     """A shard's sort at width 50: the smallest document of every name in several."""
-    names, parts, chunks = [], [], []
-    for chunk, n, v in zip(pdf["chunk"], pdf["names"], pdf["values"]):
-        names.append(unpack_sorted(n))
-        parts.append(_split(v))
-        chunks.append(np.full(len(names[-1]), chunk, dtype=np.int64))
-    names, chunks, docs, more = np.concatenate(names), np.concatenate(chunks), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(names, kind="stable")
-    names, chunks, docs, more = names[order], chunks[order], docs[order], more[order]
+    names, chunks, (docs, more) = _gathered(pdf)
     at = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
     low = np.minimum.reduceat(docs, at)
     several = (low != np.maximum.reduceat(docs, at)) | (np.maximum.reduceat(more, at) > 0)
