@@ -170,28 +170,36 @@ def _lowered(column: pa.Array) -> pa.Array:
 
 
 def count_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In how many toxic and other texts of the task each mark stands."""
-    roller = Roller()
+    """In how many toxic and other texts of the task each mark stands; sums are sent on whenever
+    they have grown to some size."""
+    roller, held = Roller(), []
+
+    def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, inverse = np.unique(np.concatenate([k for k, _, _ in held]), return_inverse=True)
+        return keys, *(np.bincount(inverse, weights=np.concatenate([h[i] for h in held]), minlength=len(keys)).astype(np.int64) for i in (1, 2))
+
+    def batch_of(keys: np.ndarray, hits: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(hits), pa.array(rest)], names=["mark", "toxic", "other"])
+
     for batch in batches:
-        toxic, keys, labels = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool), [], []
+        toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
         for lo, hi, raw, offsets in text_blocks(_lowered(batch.column("text"))):
             start, end, row = find_words(raw, offsets, IS_WORD)
-            prefix = roller.prefix(BYTE_CODES[raw])
-            for h, has in _marks(prefix, start, end, roller):
+            for h, has in _marks(roller.prefix(BYTE_CODES[raw]), start, end, roller):
                 own, where = h[has], row[has]
                 order = np.lexsort((where, own))
                 own, where = own[order], where[order]
                 new = np.ones(len(own), dtype=bool)
                 new[1:] = (own[1:] != own[:-1]) | (where[1:] != where[:-1])
-                keys.append(own[new])
-                labels.append(toxic[lo:hi][where[new]])
-        if not keys:
-            continue
-        keys, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        labels = np.concatenate(labels)
-        hits = np.bincount(inverse, weights=labels, minlength=len(keys)).astype(np.int64)
-        rest = np.bincount(inverse, minlength=len(keys)) - hits
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(hits), pa.array(rest)], names=["mark", "toxic", "other"])
+                keys, hit = own[new], toxic[lo:hi][where[new]].astype(np.int64)
+                held.append((keys, hit, 1 - hit))
+            if sum(len(k) for k, _, _ in held) > 1_500_000:
+                held = [summed()]
+                if len(held[0][0]) > 750_000:
+                    yield batch_of(*held[0])
+                    held = []
+    if held:
+        yield batch_of(*summed())
 
 
 def count_contexts(batches: Iterator[pa.RecordBatch], candidates) -> Iterator[pa.RecordBatch]:
