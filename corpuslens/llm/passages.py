@@ -14,7 +14,8 @@ each name once, so a passage in a third of all documents weighs no more than one
 
 Defined results: null texts are empty; a null doc_id comes after all others; rows with the
 same doc_id do not remove from each other; other columns are ignored; matches never cross
-documents.  Names have 64 bits, of which shards and chunks see 56.
+documents.  Names have 64 bits;
+at width 50 shards and chunks see 56 of them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ BLOCK = 1 << 18
 LAST_ID = (1 << 63) - 1
 CELL = "shard int, chunk int, names binary, values binary"
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-KEPT_BITS = np.uint64(8)
+#: Low bits that names at width 25 and 50 go without on the way.  At width 25 a clash only
+#: makes windows tell; stretches are compared by 32 bits more.
+FIRST_BITS, KEPT_BITS, STRETCH_BITS = np.uint64(24), np.uint64(8), np.uint64(32)
 
 
 class Chunk:
@@ -95,7 +98,7 @@ class Chunk:
             yield doc, start, ends - at, low[at], stretch, at, windows
 
 
-def _cells(chunk: int, names: np.ndarray, values: list[np.ndarray], bits: int) -> dict[str, list]:
+def _cells(chunk: int, names: np.ndarray, values: list[np.ndarray], bits: int, without: np.uint64) -> dict[str, list]:
     """Packed cells of sorted names by shard; values go with them."""
     shard = (names >> np.uint64(64 - bits)).astype(np.int64)
     edges = np.searchsorted(shard, np.arange((1 << bits) + 1))
@@ -104,7 +107,7 @@ def _cells(chunk: int, names: np.ndarray, values: list[np.ndarray], bits: int) -
         if b > a:
             out["shard"].append(s)
             out["chunk"].append(chunk)
-            out["names"].append(pack_sorted(names[a:b] >> KEPT_BITS))
+            out["names"].append(pack_sorted(names[a:b] >> without))
             out["values"].append(_join([pack_plain(v[a:b]) for v in values]))
     return out
 
@@ -145,12 +148,12 @@ def name_stretches(key, pdf, passage: int, bits: int):
     names, stretch, docs = [], [], []
     for doc, _, _, low, whole, _, _ in chunk.stretches():
         names.append(low)
-        stretch.append(whole >> np.uint64(24))
+        stretch.append(whole >> STRETCH_BITS)
         docs.append(chunk.docs[doc])
     if not names:
         return _frame({"shard": [], "chunk": [], "names": [], "values": []})
     (names, stretch), docs, more = _least([np.concatenate(names), np.concatenate(stretch)], np.concatenate(docs))
-    return _frame(_cells(int(key[0]), names, [stretch, docs.astype(np.uint64), more.astype(np.uint64)], bits))
+    return _frame(_cells(int(key[0]), names, [stretch, docs.astype(np.uint64), more.astype(np.uint64)], bits, FIRST_BITS))
 
 
 def _gathered(pdf) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -178,7 +181,8 @@ def rank_stretches(key, pdf, bits: int):
     several = (low != high) | (np.maximum.reduceat(more, at) > 0)
     same = np.minimum.reduceat(stretch, at) == np.maximum.reduceat(stretch, at)
     size = np.diff(np.append(at, len(names)))
-    keep = np.repeat(several, size)
+    # A chunk whose only document with the name is the smallest has nothing to remove.
+    keep = np.repeat(several, size) & ~(np.repeat(same, size) & (docs == np.repeat(low, size)) & (more == 0))
     answer = np.repeat(np.where(same, low + np.uint64(1), np.uint64(0)), size)
     return _answers(int(key[0]), names[keep], chunks[keep], answer[keep])
 
@@ -226,14 +230,14 @@ def name_windows(key, pdf, told, passage: int, bits: int):
     chunk = Chunk(pdf["text"].tolist() if len(known) else [], pdf["id"].to_numpy(np.int64), passage)
     names, docs = [], []
     for doc, _, size, low, _, at, windows in chunk.stretches():
-        _, hit = _look_up(low >> KEPT_BITS, known)
+        _, hit = _look_up(low >> FIRST_BITS, known)
         i, which = _each(at[hit], size[hit])
         names.append(windows(i))
         docs.append(chunk.docs[doc[hit][which]])
     if not names:
         return _frame({"shard": [], "chunk": [], "names": [], "values": []})
     (names,), docs, more = _least([np.concatenate(names)], np.concatenate(docs))
-    return _frame(_cells(int(key[0]), names, [docs.astype(np.uint64), more.astype(np.uint64)], bits))
+    return _frame(_cells(int(key[0]), names, [docs.astype(np.uint64), more.astype(np.uint64)], bits, KEPT_BITS))
 
 
 def rank_windows(key, pdf, bits: int):
@@ -243,8 +247,9 @@ def rank_windows(key, pdf, bits: int):
     low = np.minimum.reduceat(docs, at)
     several = (low != np.maximum.reduceat(docs, at)) | (np.maximum.reduceat(more, at) > 0)
     size = np.diff(np.append(at, len(names)))
-    keep = np.repeat(several, size)
-    return _answers(int(key[0]), names[keep], chunks[keep], np.repeat(low, size)[keep])
+    low = np.repeat(low, size)
+    keep = np.repeat(several, size) & ~((docs == low) & (more == 0))
+    return _answers(int(key[0]), names[keep], chunks[keep], low[keep])
 
 
 def covered(pdf, told, told_windows, passage: int):
@@ -255,7 +260,7 @@ def covered(pdf, told, told_windows, passage: int):
     cover: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in chunk.bytes]
     for doc, start, size, low, _, at, windows in chunk.stretches() if len(known) else ():
         own = chunk.docs[doc]
-        where, hit = _look_up(low >> KEPT_BITS, known)
+        where, hit = _look_up(low >> FIRST_BITS, known)
         value = np.where(hit, answers[where], np.uint64(0))
         settled = hit & (value > 0) & (value - np.uint64(1) < own.astype(np.uint64))
         found = [(doc[settled], start[settled], start[settled] + size[settled] + passage - 1)]
