@@ -29,8 +29,12 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\x02-]))[A-Za-z0-9._%+\x02-]++@[A-Za-z0-9-]++\
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"
 CARD = r"[0-9\x01]{12,}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Tokens that look like identifiers: up to 64 characters between white space, a digit near their start.
-CANDIDATE = r"(?<!\S)(?=[^\s0-9]{0,32}[0-9]{3})\S{6,64}(?!\S)"
+#: What looks like an identifier, between white space: groups of digits with single blanks; up to
+#: 64 characters with a digit near their start; and those with an at sign, plain or in brackets.
+GROUPS = r"(?<!\S)[+(\[\"']{0,2}[0-9]{2,8}[)]?(?:[\x20./-][(]?[0-9]{2,8}[)]?){1,7}+(?![^\s,.;:!?)\]\"'])"
+CANDIDATE = GROUPS + r"|(?<!\S)(?=[^\s0-9]{0,32}[0-9]{3})\S{6,64}(?!\S)|(?<!\S)(?=[^\s@]{1,32}@|[^\s\[(]{1,32}[\[(]at[\])])\S{6,64}(?!\S)"
+#: What is around an identifier, without brackets that its first digits are in.
+TRIM = r"^((?:[^A-Za-z0-9(]|[(](?![0-9]+[)]))*)(.*?)[^A-Za-z0-9]*$"
 SPANS = "array<struct<start:int,rank:int,end:int,hit:string>>"
 
 
@@ -82,39 +86,41 @@ def base_spans(text: Column) -> Column:
 
 
 def _context(text: Column, start: Column, end: Column) -> Column:
-    """Lower-cased words just before and after, digits as 0."""
+    """Lower-cased words just before and after, two at most, digits as 0; ^ and $ are the text's ends."""
     low = F.greatest(start - 48, F.lit(0))
-    before = F.regexp_extract(F.lower(F.substring(text, low + 1, start - low)), r"(\S+\s+\S+)\s*[\"'(\[]?$", 1)
-    after = F.regexp_extract(F.lower(F.substring(text, end + 1, F.lit(48))), r"^[\"')\]]?\s*(\S+)(?=\s)", 1)
-    return F.struct(F.regexp_replace(F.regexp_replace(before, r"\s+", " "), "[0-9]", "0").alias("before"), F.regexp_replace(after, "[0-9]", "0").alias("after"))
+    left = F.concat(F.when(low == 0, F.lit("^ ")).otherwise(""), F.lower(F.substring(text, low + 1, start - low)))
+    right = F.concat(F.lower(F.substring(text, end + 1, F.lit(48))), F.when(F.length(text) <= end + 48, F.lit(" $ ")).otherwise(""))
+    before = F.regexp_extract(left, r"((?:(?<!\S)\S+\s+)?(?<!\S)\S+)\s*[\"'(\[]*$", 1)
+    after = F.regexp_extract(right, r"^[^\sA-Za-z0-9]*\s*(\S+(?:\s+\S+(?=\s))?)(?=\s)", 1)
+    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"\s+", " "), "[0-9]", "0")
+    return F.struct(plain(before).alias("before"), plain(after).alias("after"))
 
 
 def _instances(text: Column, base: Column) -> Column:
     """Seeds, and tokens like identifiers that touch no seed, with their surroundings."""
-    trimmed = lambda m: F.regexp_extract(m["hit"], r"^([^A-Za-z0-9]*)(.*?)[^A-Za-z0-9]*$", 2)
-    lead = lambda m: F.length(F.regexp_extract(m["hit"], r"^([^A-Za-z0-9]*)(.*?)[^A-Za-z0-9]*$", 1))
+    trimmed = lambda m: F.regexp_extract(m["hit"], TRIM, 2)
+    lead = lambda m: F.length(F.regexp_extract(m["hit"], TRIM, 1))
     own = F.transform(_found(text, CANDIDATE), lambda m: F.struct((m["start"] + lead(m)).alias("start"), F.lit(-1).alias("rank"), (m["start"] + lead(m) + F.length(trimmed(m))).alias("end"), trimmed(m).alias("hit")))
     free = F.filter(own, lambda m: (F.length(m["hit"]) >= 6) & ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    each = F.concat(base, F.when(text.rlike("[0-9]{3}"), free).otherwise(F.array().cast(SPANS)))
+    each = F.concat(base, F.when(text.rlike(r"[0-9]{3}|[0-9]{2}[)]?[\x20./-][(]?[0-9]{2}|@|[\[(]at[\])]"), free).otherwise(F.array().cast(SPANS)))
     return F.transform(each, lambda m: F.struct(m["start"].alias("start"), m["rank"].alias("rank"), m["end"].alias("end"), F.lower(m["hit"]).alias("hit"), _context(text, m["start"], m["end"]).alias("context")))
 
 
-def _shape(hit: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(hit, "[0-9]+", "0"), "[a-z]+", "a"), "(?:a0|0a)(?:a|0)*", "m")
-
-
 def score_graph(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """hit, rank and score of the unseen instances that confident patterns pick out.
+    """hit and kind of the unseen instances that confident patterns pick out.
 
     ``instances`` has hit, rank (-1: not a seed), before and after.  A pattern's score for
     a kind is the share of its instances' weight that has the kind; an instance's, that at
     least one of its patterns is right.  Only patterns with enough different seeds count.
     """
-    shape = _shape(F.col("hit"))
+    last, first = F.regexp_extract("before", r"(\S+)$", 1), F.regexp_extract("after", r"^(\S+)", 1)
+    word = lambda c: c.rlike(r"[^\W_]")
     patterns = F.filter(
         F.array(
-            F.when(F.col("before") != "", F.concat(F.lit("b:"), "before", F.lit("|"), shape)),
-            F.when((F.col("before") != "") & (F.col("after") != ""), F.concat(F.lit("s:"), F.regexp_extract("before", r"(\S+)$", 1), F.lit("|"), "after", F.lit("|"), shape)),
+            F.when(word(F.col("before")), F.concat(F.lit("b:"), "before")),
+            F.when(word(last), F.concat(F.lit("w:"), last)),
+            F.when(word(F.col("after")), F.concat(F.lit("a:"), "after")),
+            F.when(word(last) | word(first), F.concat(F.lit("s:"), last, F.lit("|"), first)),
         ),
         lambda p: p.isNotNull(),
     )
@@ -122,10 +128,12 @@ def score_graph(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     useful = edges.groupBy("pattern").agg(F.count_if(F.col("rank") >= 0).alias("seeds"), F.count_if(F.col("rank") < 0).alias("new")).filter((F.col("seeds") >= PATTERN_SEEDS) & (F.col("new") > 0)).select("pattern")
     edges = kept(edges.join(useful, "pattern", "left_semi"))
     scores = edges.filter("rank >= 0").select("hit", "rank").distinct().select("hit", F.col("rank").alias("kind"), F.lit(1.0).alias("score"))
+    # Only an e-mail address has an at sign.
+    fits = F.col("hit").rlike(r"@|[\[(]at[\])]") == (F.col("kind") == KINDS.index("email"))
     for _ in range(rounds):
         weight = edges.groupBy("pattern").agg(F.count("*").alias("n"))
         by_pattern = edges.select("pattern", "hit").join(scores, "hit").groupBy("pattern", "kind").agg(F.sum("score").alias("good")).join(weight, "pattern").select("pattern", "kind", (F.col("good") / (F.col("n") + 0.5)).alias("trust")).filter(F.col("trust") >= PATTERN_CONFIDENCE)
-        new = edges.filter("rank < 0").join(by_pattern, "pattern").groupBy("hit", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("score"))
+        new = edges.filter("rank < 0").join(by_pattern, "pattern").filter(fits).groupBy("hit", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("trust", F.lit(0.999)))))).alias("score"))
         seeds = edges.filter("rank >= 0").select("hit", F.col("rank").alias("kind"), F.lit(1.0).alias("score")).distinct()
         scores = kept(seeds.unionByName(new))
     known = edges.filter("rank >= 0").select("hit").distinct()

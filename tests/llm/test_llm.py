@@ -323,6 +323,30 @@ def test_pii_contexts_find_unseen_identifiers(spark):
     assert got[101] == ""
 
 
+def test_pii_contexts_find_other_shapes(spark):
+    """Unseen phones, addresses and cards in contexts of two words, one word, at the text's start and after only."""
+    cards = [f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}" for d in (str(4111_1111_1111_0000 + i) for i in range(400)) if base(d).startswith("card")]
+    known = [(i, f"Report {i}: mobile number +44 20 7946 {1000 + i} today please.") for i in range(30)]
+    known += [(100 + i, f"Phone: +44 20 7946 {2000 + i}") for i in range(30)] + [(200 + i, f"+44 20 7946 {3000 + i} is my home line") for i in range(30)]
+    known += [(300 + i, f"please write to user{i}@host{i}.org for details") for i in range(30)] + [(400 + i, f"paid with card {c} yesterday evening") for i, c in enumerate(cards[:30])]
+    unseen = [
+        ("Report x: mobile number 0207946-1234 today please.", "phone", "0207946-1234"),
+        ("Report x: mobile number (020) 7946 1235, today please.", "phone", "(020) 7946 1235"),
+        ("Phone: 020 7946 1236", "phone", "020 7946 1236"),
+        ("020 7946 1237 is my home line", "phone", "020 7946 1237"),
+        ("please write to jane(at)host.org for details", "email", "jane(at)host.org"),
+        ("please write to root@localhost for details", "email", "root@localhost"),
+        ("paid with card 4111-1111-1111-1112 yesterday evening", "card", "4111-1111-1111-1112"),
+        ("paid with card 4111 1111 1111 1113 yesterday evening", "card", "4111 1111 1111 1113"),
+        ("Ratio of parts 0207946-1299 seen in this sample.", None, None),
+        ("please write to 0207946-1298 for details", None, None),
+    ]
+    docs = known + [(1000 + i, t) for i, (t, _, _) in enumerate(unseen)]
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, (t, kind, hit) in enumerate(unseen):
+        assert got[1000 + i] == (f"{kind}:{t.index(hit)}:{t.index(hit) + len(hit)}" if kind else ""), t
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "write to x@y.org or 10.0.0.1 now")], "doc_id long, text string")
     found = pii.find_pii(df, "doc_id", "text")
