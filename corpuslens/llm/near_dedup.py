@@ -5,10 +5,8 @@ bands; texts that share a band are candidates; candidates are verified by the we
 Jaccard similarity of their whole texts; components of the verified links are the classes.
 A band's members are compared with its smallest first.  Where a band then still holds
 different classes, all its members are compared if they are few; if they are many, they
-fall into finer bands by one and by two bands more that they share, and each of these is
-treated alike.  Comparisons so grow with the number of texts, not with its square: a link
-is missed only if two texts share no band that is their own and neither resembles the
-smallest member of those they share; the tests measure how many that are.
+are joined exactly by their rarest shingles, of which similar texts must share one.  A link
+is missed only if two texts share no band at all, or too few samples (``AGREEING``).
 
 The weight of a shingle is its count times log(1 + N / (N + df)): smoothed so that copies
 of a widespread text still resemble each other.  Document frequencies are counted over all
@@ -27,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import BYTE_CODES, Roller, find_words, mix, pack_plain, pack_sorted, text_blocks, unpack_plain, unpack_sorted, window_hashes
@@ -237,23 +235,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     pairs = in_bands.join(shared, "band").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = _verified(pairs, texts, docs, common, similarity)
     classes = components(links)
-    # Bands that still join different classes: small ones pair by pair; large ones by what
-    # their members share besides, first one band more, then two.
-    level, mixed, pairs = 1, _mixed(in_bands, classes), None
-    while True:
-        small = mixed.filter(F.col("n") <= SMALL_BAND)
-        found = _pairs_across(small)
-        if level > 1:
-            star = mixed.groupBy("band").agg(F.min("node").alias("leader"))
-            found = found.unionByName(mixed.join(star, "band").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")))
-        pairs = found if pairs is None else pairs.unionByName(found)
-        large = mixed.filter(F.col("n") > SMALL_BAND)
-        if level == 3:
-            break
-        finer = large.select("band", "node").join(in_bands.withColumnRenamed("band", "other"), "node").filter("band <> other")
-        finer = finer.select(F.xxhash64(F.sort_array(F.array("band", "other"))).alias("band") if level == 1 else F.xxhash64("band", "other").alias("band"), "node").distinct()
-        level, mixed = level + 1, _mixed(finer, classes)
-    more = _verified(kept(pairs.distinct()), texts, docs, common, similarity)
+    # Bands that still join different classes: small ones pair by pair; the members of large
+    # ones exactly, by the rare shingles that similar texts must share.
+    mixed = _mixed(in_bands, classes)
+    pairs = _pairs_across(mixed.filter(F.col("n") <= SMALL_BAND))
+    crowd = kept(mixed.filter(F.col("n") > SMALL_BAND).select("node").distinct())
+    if crowd.isEmpty():
+        more = _verified(kept(pairs.distinct()), texts, docs, common, similarity)
+    else:
+        rare = kept(_prefixes(crowd, texts, docs, common, similarity))
+        star = rare.groupBy("band").agg(F.min_by(F.struct("node", "total", "rest"), "node").alias("l"))
+        near = lambda total, rest: F.least("rest", rest) >= (similarity / (1 + similarity) - 1e-9) * (F.col("total") + total)
+        stars = rare.join(star, "band").filter((F.col("node") != F.col("l.node")) & near(F.col("l.total"), F.col("l.rest"))).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
+        more = _verified(kept(pairs.unionByName(stars).distinct()), texts, docs, common, similarity)
+        links = kept(links.unionByName(more))
+        classes = components(links)
+        left = kept(rare.join(_mixed(rare.select("band", "node"), classes).select("band", "node", "root"), ["band", "node"]))
+        other = left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("total").alias("total_b"), F.col("rest").alias("rest_b"))
+        across = left.join(other, "band").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & near(F.col("total_b"), F.col("rest_b"))).select(F.col("node").alias("a"), "b")
+        more = _verified(kept(across.distinct()), texts, docs, common, similarity)
     if not more.isEmpty():
         links = kept(links.unionByName(more))
         classes = components(links)
@@ -287,6 +287,43 @@ def _pairs_across(small: DataFrame) -> DataFrame:
     return small.join(other, "band").filter("node < b and root <> root_b").select(F.col("node").alias("a"), "b")
 
 
+def _texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text; ``wanted`` has node and the keys of its text."""
+    # Few enough to broadcast, by a check of their number; else the texts are shuffled.
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), *_text_key(F.col("text")), "text")
+    return kept(keyed.join(wanted, ["id", "h1", "h2", "size"]).select("node", "text").dropDuplicates(["node"]))
+
+
+def _keys_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    return kept(texts.join(nodes, "node", "left_semi").select("node", F.coalesce("first_id", F.lit(-1 << 63)).alias("id"), "h1", "h2", "size"))
+
+
+def weigh_batches(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
+    """node, shingle and weight of all shingles of each text."""
+    roller, known = Roller(), common.value
+    for batch in batches:
+        nodes = batch.column("node").to_numpy(zero_copy_only=False)
+        for lo, hi, raw, offsets in text_blocks(_lowered(batch.column("text")), 1 << 19):
+            h, rows, counts = distinct_shingles(*shingles(raw, offsets, roller))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[lo:hi][rows]), pa.array(h.view(np.int64)), pa.array(weights(h, counts, known))], names=["node", "band", "w"])
+
+
+def _prefixes(nodes: DataFrame, texts: DataFrame, docs: DataFrame, common, similarity: float) -> DataFrame:
+    """band (a shingle), node, its total weight and the weight from this shingle on.
+
+    A text's shingles are taken from the rarest on, until those left weigh less than the
+    similarity times its total.  Similar texts share at least one shingle taken from both,
+    and at their first the rest of each is at least the weight they must have in common.
+    """
+    each = kept(_texts_of(_keys_of(nodes, texts), docs).mapInArrow(lambda batches: weigh_batches(batches, common), "node long, band long, w double"))
+    of_node = Window.partitionBy("node")
+    ranked = each.join(each.groupBy("band").agg(F.count("*").alias("df")), "band").withColumn("total", F.sum("w").over(of_node))
+    ranked = ranked.withColumn("rest", F.col("total") - F.sum("w").over(of_node.orderBy("df", "band")) + F.col("w"))
+    return ranked.filter((F.col("df") > 1) & (F.col("rest") >= (similarity - 1e-9) * F.col("total"))).select("band", "node", "total", "rest")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, common, similarity: float) -> DataFrame:
     """The pairs (a < b) of texts that are similar enough: by their samples, then exactly."""
     left = texts.select(F.col("node").alias("a"), F.col("sample").alias("sample_a"))
@@ -294,12 +331,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, common, simil
     agree = F.size(F.filter(F.zip_with("sample_a", "sample_b", lambda x, y: x == y), lambda z: z))
     likely = kept(pairs.join(left, "a").join(right, "b").filter(agree >= AGREEING).select("a", "b"))
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = kept(texts.join(ends, "node", "left_semi").select("node", F.coalesce("first_id", F.lit(-1 << 63)).alias("id"), "h1", "h2", "size"))
-    # Few enough to broadcast, by a check of their number; else the texts are shuffled.
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), *_text_key(F.col("text")), "text")
-    whole = kept(keyed.join(wanted, ["id", "h1", "h2", "size"]).select("node", "text").dropDuplicates(["node"]))
+    whole = _texts_of(_keys_of(ends, texts), docs)
     with_texts = likely.join(whole.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     scored = with_texts.mapInArrow(lambda batches: similarities(batches, common), "a long, b long, similarity double")
     return kept(scored.filter(F.col("similarity") >= similarity))

@@ -116,6 +116,15 @@ def test_near_duplicates_against_brute_force(spark, sf):
     assert all(len(sets[i] & sets[got[i]["class_id"]]) / len(sets[i] | sets[got[i]["class_id"]]) > 0.5 for i in apart)
 
 
+def test_near_duplicates_among_a_shared_boilerplate(spark):
+    """Bare copies of a boilerplate are linked, though all their bands are those of unlike texts."""
+    boilerplate = " ".join(f"plate{i}" for i in range(400))
+    rows = [(i, boilerplate + " " + " ".join(f"own{i}x{j}" for j in range(60))) for i in range(600)]
+    rows += [(1000 + i, boilerplate + " " + " ".join(f"bare{i}x{j}" for j in range(16))) for i in range(8)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert all(got[1000 + i] == 1000 for i in range(8)) and all(got[i] == i for i in range(600))
+
+
 def test_consistent_samples_estimate_weighted_jaccard():
     s, rng = near_dedup.Sampler(), np.random.default_rng(5)
     h = rng.integers(1, 1 << 63, 400, dtype=np.uint64)
