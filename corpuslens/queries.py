@@ -387,16 +387,17 @@ def ordered_concat(spark, sf):
     return reading.joined_text(table(spark, sf, "conversations").filter("text is not null"), "conv_id", "turn")
 
 
-def turns(spark, sf):
+def turns(spark, sf, size=None):
+    """Each even turn with the next, normalised; whole, or up to a size."""
     c = table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    plain = lambda t: F.substring(T.normalise(t), 1, 200)
+    plain = lambda t: T.normalise(t) if size is None else F.substring(T.normalise(t), 1, size)
     return c.filter("turn % 2 = 0").select("conv_id", "turn", plain(F.col("text")).alias("a")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), plain(F.col("text")).alias("b")), ["conv_id", "turn"])
 
 
 @query(f"""with c as (select conv_id, turn, left({NORMAL.format('min(text)')}, 200) as x from conversations group by 1, 2)
     select p.conv_id, p.turn, round(case when length(p.x) = 0 then case when length(q.x) = 0 then 0.0 else 1.0 end else levenshtein(p.x, q.x) / length(p.x)::double end, 6) as cer from c p join c q on p.conv_id = q.conv_id and p.turn = q.turn - 1 where p.turn % 2 = 0 and p.x is not null and q.x is not null""")
 def cer_pairs(spark, sf):
-    return turns(spark, sf).filter("a is not null and b is not null").select("conv_id", "turn", F.round(T.character_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
+    return turns(spark, sf, 200).filter("a is not null and b is not null").select("conv_id", "turn", F.round(T.character_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
 @query()

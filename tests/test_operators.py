@@ -263,3 +263,11 @@ def test_topics_small(spark):
     rows = {r["topic"]: r for r in topics.distribution(d, 4).collect()}
     assert rows["a"]["dominant"] == 1 and rows[fixed.OUTSIDE]["documents"] == 2
     assert topics.nearest_name(spark.createDataFrame([("gares",)], "name string"), spark.createDataFrame([("train", 0), ("gare", 1)], "name string, pos int")).first()["nearest"] == "gare"
+
+
+def test_wer_pairs_reads_whole_turns(spark, tmp_path):
+    from corpuslens.queries import QUERIES
+
+    words = " ".join(["word"] * 99)
+    spark.createDataFrame([(1, 0, f"{words} end"), (1, 1, f"{words} other")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [r["wer"] for r in QUERIES["wer_pairs"](spark, str(tmp_path)).collect()] == [0.01]
