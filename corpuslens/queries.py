@@ -495,7 +495,7 @@ def l2_normalise(spark, sf):
 
 def topic_rows(spark, sf):
     """Parts as a topic table: repeated names, levels, parents that may be missing."""
-    p = table(spark, sf, "part").filter("p_partkey <= 400")
+    p = table(spark, sf, "part")
     key = F.col("p_partkey")
     return p.select(key.cast("string").alias("id"), F.when(key % 41 == 0, " ").otherwise(F.concat("p_type", F.lit(" "), (key % 60).cast("string"))).alias("name"), F.lit("text").alias("description"), F.array(F.concat(F.lit("doc"), (key % 10).cast("string"))).alias("sources"), F.when(key % 3 != 0, (key * 2).cast("string")).alias("parent"), (key % 3).cast("int").alias("level"), F.lit(False).alias("validated"), key.cast("int").alias("pos"))
 
@@ -508,7 +508,7 @@ def taxonomy_sanitise(spark, sf):
 @query("""with t as (select cast(p_partkey as varchar) as id, case when p_partkey % 41 = 0 then ' ' else p_type || ' ' || (p_partkey % 60) end as name, case when p_partkey % 3 <> 0 then cast(p_partkey * 2 as varchar) end as parent from part where p_partkey <= 400)
     select 'duplicate_name' as kind, name as subject from t group by name having count(*) > 1 union all select 'dangling_parent', id from t where parent is not null and parent not in (select id from t) union all select 'empty_field', id from t where trim(name) = ''""")
 def taxonomy_violations(spark, sf):
-    return taxonomy.violations(topic_rows(spark, sf))
+    return taxonomy.violations(topic_rows(spark, sf).filter("pos <= 400"))
 
 
 @query(r"select page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>(.|\n)*?</script>|<style\b[^>]*>(.|\n)*?</style>|<!--(.|\n)*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) as text from pages".replace('\\"', '"'))

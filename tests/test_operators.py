@@ -271,3 +271,10 @@ def test_wer_pairs_reads_whole_turns(spark, tmp_path):
     words = " ".join(["word"] * 99)
     spark.createDataFrame([(1, 0, f"{words} end"), (1, 1, f"{words} other")], "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [r["wer"] for r in QUERIES["wer_pairs"](spark, str(tmp_path)).collect()] == [0.01]
+
+
+def test_taxonomy_sanitise_reads_all_parts(spark, tmp_path):
+    from corpuslens.queries import QUERIES
+
+    spark.range(390, 431).select(F.col("id").alias("p_partkey"), F.concat(F.lit("TYPE "), "id").alias("p_type")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert "420" in {r["id"] for r in QUERIES["taxonomy_sanitise"](spark, str(tmp_path)).collect()}
