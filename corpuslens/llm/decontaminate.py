@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import BYTE_CODES, Roller, find_words, text_blocks, window_hashes
-from ._spark import kept, only
+from ._spark import got, kept, only, sent
 
 WIDTH = 10
 #: Benchmark text that one broadcast set may hold; larger benchmarks are scanned set by set.
@@ -69,7 +69,7 @@ class WindowSet:
 
 
 def scan_batches(batches: Iterator[pa.RecordBatch], window_set, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    known, roller = window_set.value, Roller()
+    known, roller = got(window_set), Roller()
     for batch in batches:
         n = batch.num_rows
         n_words, spans, items = np.zeros(n, np.int64), [x or [] for x in batch.column("spans").to_pylist()], [set(x or ()) for x in batch.column("items").to_pylist()]
@@ -124,7 +124,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     for k in range(sets):
         part = bench if sets == 1 else bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(sets)) == k)
         rows = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
-        shared = spark.sparkContext.broadcast(WindowSet(rows, width))
+        shared = sent(spark, WindowSet(rows, width))
         keep = keep_text or k + 1 < sets
         schema = T.StructType([f for f in own.schema.fields if keep or f.name != "text"] + found.fields)
         out = out.mapInArrow(lambda batches, shared=shared, keep=keep: scan_batches(batches, shared, keep), schema)

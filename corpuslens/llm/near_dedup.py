@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import BYTE_CODES, Roller, find_words, mix, pack_plain, pack_sorted, text_blocks, unpack_plain, unpack_sorted, window_hashes
-from ._spark import kept, only
+from ._spark import drop, kept, only
 from .decontaminate import IS_WORD
 from .graph import components
 from .toxicity import _lowered
@@ -334,4 +334,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, common, simil
     whole = _texts_of(_keys_of(ends, texts), docs)
     with_texts = likely.join(whole.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     scored = with_texts.mapInArrow(lambda batches: similarities(batches, common), "a long, b long, similarity double")
-    return kept(scored.filter(F.col("similarity") >= similarity))
+    out = kept(scored.filter(F.col("similarity") >= similarity))
+    drop(whole, likely)
+    return out

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import pack_plain, pack_sorted, text_blocks, unpack_plain, unpack_sorted
-from ._spark import kept, only
+from ._spark import got, kept, only, sent
 
 ORDER, START = 5, 2
 QUANTILE = 0.995
@@ -164,7 +164,7 @@ class Model:
 
 
 def score_batches(batches: Iterator[pa.RecordBatch], model, keep_text: bool) -> Iterator[pa.RecordBatch]:
-    part = model.value
+    part = got(model)
     for batch in batches:
         loss, size = batch.column("loss").to_numpy(zero_copy_only=False).astype(float), np.zeros(batch.num_rows, np.int64)
         for lo, hi, raw, offsets in text_blocks(batch.column("text"), 2 << 20):
@@ -208,7 +208,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, model_rows: int = MODEL_RO
         return None
     scored = rows.withColumn("size", F.lit(0).cast("long")).withColumn("loss", F.lit(0.0))
     for part, last in broadcast_parts(kneser_ney(counts), model_rows):
-        shared = docs.sparkSession.sparkContext.broadcast(part)
+        shared = sent(docs.sparkSession, part)
         scored = scored.mapInArrow(lambda batches, shared=shared, last=last: score_batches(batches, shared, not last), "doc_id long, lang string, text string, size long, loss double")
         if not last:
             scored = kept(scored)

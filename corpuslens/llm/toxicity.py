@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import BYTE_CODES, Roller, find_words, text_blocks
-from ._spark import kept, only
+from ._spark import got, kept, only, sent
 
 #: Labelled rows that the strengths are learned from, about, at most.
 TRAINING_ROWS = 20_000
@@ -274,9 +274,9 @@ def clause_weights(column: pa.Array, lexicon: Lexicon, roller: Roller) -> np.nda
 
 
 def weigh_batches(batches: Iterator[pa.RecordBatch], lexicon, text: str = "text") -> Iterator[pa.RecordBatch]:
-    roller = Roller()
+    roller, lexicon = Roller(), got(lexicon)
     for batch in batches:
-        weights = pa.array(np.log1p(np.maximum(clause_weights(batch.column(text), lexicon.value, roller), 0.0)))
+        weights = pa.array(np.log1p(np.maximum(clause_weights(batch.column(text), lexicon, roller), 0.0)))
         yield pa.RecordBatch.from_arrays([batch.column(n) for n in batch.schema.names if n != text] + [weights], names=[n for n in batch.schema.names if n != text] + ["weight"])
 
 
@@ -323,7 +323,7 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     signed = [h - (1 << 64) if h >= 1 << 63 else h for h in seeds]
     for r in marks.filter(F.col("mark").isin(signed) & (F.col("other") >= 3) & (F.col("other") > 2 * F.col("toxic"))).collect():
         levels[r["mark"] % (1 << 64)] = -1  # a seed that these texts use otherwise
-    lexicon = spark.sparkContext.broadcast(Lexicon(levels))
+    lexicon = sent(spark, Lexicon(levels))
     pairs = train.mapInArrow(lambda batches: weigh_batches(batches, lexicon), "toxic int, weight double").groupBy("toxic", F.round("weight", 2).alias("weight")).agg(F.count("*").alias("n")).collect()
     x, y = np.array([r["weight"] for r in pairs for _ in range(r["n"])]), np.array([float(r["toxic"]) for r in pairs for _ in range(r["n"])])
     return lexicon, *(_fit(x, y) if len(x) and 0 < y.sum() < len(y) else (4.0, -2.5))

@@ -12,14 +12,13 @@ payloads give one capture each; other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import kept, only, shared_folder
+from ._spark import kept, only, scratch
 
 END = "\r\n\r\n"
 #: Payloads of fewer bytes are never written as revisits.
@@ -129,7 +128,7 @@ def assemble(records: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 def capture_report(spark: SparkSession, pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the archives, reads them back, and gives the payload facts of each page."""
-    path = path or f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    path = path or scratch(spark, "warc")
     write_archives(pages, path)
     nested = assemble(read_archives(spark, path), keep_payload=False)
     facts = kept(nested.select(
