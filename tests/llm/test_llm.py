@@ -259,18 +259,21 @@ def test_genetic_packing_beats_best_fit():
 
 
 # 7 neighbours
-def test_neighbours_recall_and_ties(spark):
+@pytest.mark.parametrize(("n", "spread", "leaf"), [(2000, 0.3, 300), (9000, 0.3, 700), (3000, 3.0, 400)])
+def test_neighbours_recall_and_ties(spark, n, spread, leaf):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 16))
-    v = [list(map(float, centres[i % 20] + 0.3 * rng.normal(size=16))) for i in range(2000)]
-    rows = [(i, x) for i, x in enumerate(v)] + [(5000 + i, v[0]) for i in range(60)] + [(7000, None), (7001, [0.0] * 16), (7002, [float("nan")] * 16), (7003, [1.0, None]), (None, v[1])]
-    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block_rows=700).collect()
+    v = [list(map(float, centres[i % 20] + spread * rng.normal(size=16))) for i in range(n)]
+    rows = [(i, x) for i, x in enumerate(v)] + [(50_000 + i, v[0]) for i in range(60)] + [(70_000, None), (70_001, [0.0] * 16), (70_002, [float("nan")] * 16), (70_003, [1.0, None]), (None, v[1])]
+    other = [(80_000, [1.0]), (80_020, [2.0, 0.5]), (80_001, [1.0, 1.0]), (80_040, [3.0]), (80_060, [])]  # answered among their own length
+    got = neighbours.nearest(spark.createDataFrame([(*r, "s", 0.5) for r in rows + other], "vec_id long, embedding array<double>, point string, leaf double"), leaf_entries=leaf).collect()
     pool = {i: np.array(x) for i, x in rows if i is not None and x and None not in x and np.isfinite(x).all() and np.any(x)}
     ids = np.array(sorted(pool))
     m, hits, total = np.array([pool[i] for i in ids]), 0, 0
     by = {}
     for r in got:
         by.setdefault(r["query_id"], []).append(r)
+    assert [(r["vec_id"], r["score"]) for r in by.pop(80_000)] == [(80_040, 3.0)] and [(r["vec_id"], r["score"]) for r in by.pop(80_020)] == [(80_001, 2.5)] and [r["vec_id"] for r in by.pop(80_040)] == [80_000]
     for q in ids[ids % 20 == 0]:
         s = m @ pool[q]
         order = [int(ids[k]) for k in np.lexsort((ids, -np.round(s, 9))) if ids[k] != q][:20]
@@ -280,6 +283,7 @@ def test_neighbours_recall_and_ties(spark):
         hits, total = hits + len({r["vec_id"] for r in own} & set(order)), total + 20
     assert set(by) == set(ids[ids % 20 == 0].tolist()) and hits / total >= 0.9
     assert neighbours.nearest(spark.createDataFrame(rows[-5:-1], "vec_id long, embedding array<double>")).count() == 0
+    assert neighbours.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
     assert neighbours.nearest(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")).count() == 2
 
 
