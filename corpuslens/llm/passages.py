@@ -12,9 +12,11 @@ Documents are grouped in chunks by a hash of their id; chunks send sorted, packe
 shards and get back what repeats, with the smallest document that holds it.  A chunk sends
 each name once, so a passage in a third of all documents weighs no more than one per chunk.
 
-Defined results: null texts are empty; a null doc_id comes after all others; rows with the
-same doc_id do not remove from each other; other columns are ignored; matches never cross
-documents.  Names have 64 bits;
+Ids travel as unsigned distances from the smallest, so their order holds for any sign.
+
+Defined results: null texts are empty; a null doc_id comes after all others, as does the
+largest 64-bit number; rows with the same doc_id do not remove from each other; other columns
+are ignored; matches never cross documents; an empty table gives no rows.  Names have 64 bits;
 at width 50 shards and chunks see 56 of them.
 """
 
@@ -32,6 +34,8 @@ from ._spark import only
 
 PASSAGE = 50
 CHUNK_BYTES, SHARD_NAMES = 3 << 20, 400_000
+#: Partitions that the chunks are dealt to, at most; a partition may hold several chunks.
+PARTITIONS = 20_000
 BLOCK = 1 << 18
 LAST_ID = (1 << 63) - 1
 CELL = "shard int, chunk int, names binary, values binary"
@@ -100,15 +104,13 @@ class Chunk:
 
 def _cells(chunk: int, names: np.ndarray, values: list[np.ndarray], bits: int, without: np.uint64) -> dict[str, list]:
     """Packed cells of sorted names by shard; values go with them."""
-    shard = (names >> np.uint64(64 - bits)).astype(np.int64)
-    edges = np.searchsorted(shard, np.arange((1 << bits) + 1))
+    shards, edges = np.unique((names >> np.uint64(64 - bits)).astype(np.int64), return_index=True)
     out: dict[str, list] = {"shard": [], "chunk": [], "names": [], "values": []}
-    for s, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())):
-        if b > a:
-            out["shard"].append(s)
-            out["chunk"].append(chunk)
-            out["names"].append(pack_sorted(names[a:b] >> without))
-            out["values"].append(_join([pack_plain(v[a:b]) for v in values]))
+    for s, a, b in zip(shards.tolist(), edges.tolist(), [*edges[1:].tolist(), len(names)]):
+        out["shard"].append(s)
+        out["chunk"].append(chunk)
+        out["names"].append(pack_sorted(names[a:b] >> without))
+        out["values"].append(_join([pack_plain(v[a:b]) for v in values]))
     return out
 
 
@@ -142,9 +144,14 @@ def _frame(cells: dict[str, list]):
     return pd.DataFrame(cells).astype({"shard": "int32", "chunk": "int32"})
 
 
-def name_stretches(key, pdf, passage: int, bits: int):
+def _distances(pdf, least: int) -> np.ndarray:
+    """Ids as unsigned distances from the smallest id."""
+    return pdf["id"].to_numpy(np.int64).view(np.uint64) - np.int64(least).view(np.uint64)
+
+
+def name_stretches(key, pdf, passage: int, bits: int, least: int):
     """Width 25: chosen names of a chunk with their stretches and smallest documents."""
-    chunk = Chunk(pdf["text"].tolist(), pdf["id"].to_numpy(np.int64), passage)
+    chunk = Chunk(pdf["text"].tolist(), _distances(pdf, least), passage)
     names, stretch, docs = [], [], []
     for doc, _, _, low, whole, _, _ in chunk.stretches():
         names.append(low)
@@ -153,7 +160,7 @@ def name_stretches(key, pdf, passage: int, bits: int):
     if not names:
         return _frame({"shard": [], "chunk": [], "names": [], "values": []})
     (names, stretch), docs, more = _least([np.concatenate(names), np.concatenate(stretch)], np.concatenate(docs))
-    return _frame(_cells(int(key[0]), names, [stretch, docs.astype(np.uint64), more.astype(np.uint64)], bits, FIRST_BITS))
+    return _frame(_cells(int(key[0]), names, [stretch, docs, more.astype(np.uint64)], bits, FIRST_BITS))
 
 
 def _gathered(pdf) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -223,11 +230,11 @@ def _each(at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + at[which], which
 
 
-def name_windows(key, pdf, told, passage: int, bits: int):
+def name_windows(key, pdf, told, passage: int, bits: int, least: int):
     """Width 50: windows of the stretches that are not settled, with their smallest documents."""
     known, answers = _told(told)
     known = known[answers == 0]
-    chunk = Chunk(pdf["text"].tolist() if len(known) else [], pdf["id"].to_numpy(np.int64), passage)
+    chunk = Chunk(pdf["text"].tolist() if len(known) else [], _distances(pdf, least), passage)
     names, docs = [], []
     for doc, _, size, low, _, at, windows in chunk.stretches():
         _, hit = _look_up(low >> FIRST_BITS, known)
@@ -237,7 +244,7 @@ def name_windows(key, pdf, told, passage: int, bits: int):
     if not names:
         return _frame({"shard": [], "chunk": [], "names": [], "values": []})
     (names,), docs, more = _least([np.concatenate(names)], np.concatenate(docs))
-    return _frame(_cells(int(key[0]), names, [docs.astype(np.uint64), more.astype(np.uint64)], bits, KEPT_BITS))
+    return _frame(_cells(int(key[0]), names, [docs, more.astype(np.uint64)], bits, KEPT_BITS))
 
 
 def rank_windows(key, pdf, bits: int):
@@ -252,23 +259,23 @@ def rank_windows(key, pdf, bits: int):
     return _answers(int(key[0]), names[keep], chunks[keep], low[keep])
 
 
-def covered(pdf, told, told_windows, passage: int):
+def covered(pdf, told, told_windows, passage: int, smallest: int):
     """For each text of a chunk the bytes that repeat one of a smaller document."""
     known, answers = _told(told)
     known_windows, least = _told(told_windows)
-    chunk = Chunk(pdf["text"].tolist(), pdf["id"].to_numpy(np.int64), passage)
+    chunk = Chunk(pdf["text"].tolist(), _distances(pdf, smallest), passage)
     cover: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in chunk.bytes]
     for doc, start, size, low, _, at, windows in chunk.stretches() if len(known) else ():
         own = chunk.docs[doc]
         where, hit = _look_up(low >> FIRST_BITS, known)
         value = np.where(hit, answers[where], np.uint64(0))
-        settled = hit & (value > 0) & (value - np.uint64(1) < own.astype(np.uint64))
+        settled = hit & (value > 0) & (value - np.uint64(1) < own)
         found = [(doc[settled], start[settled], start[settled] + size[settled] + passage - 1)]
         i, which = _each(at[hit & (value == 0)], size[hit & (value == 0)])
         if len(i):
             spot, there = _look_up(windows(i) >> KEPT_BITS, known_windows)
             open_doc, open_start, open_at = doc[hit & (value == 0)][which], start[hit & (value == 0)][which], at[hit & (value == 0)][which]
-            there &= least[spot] < chunk.docs[open_doc].astype(np.uint64) if len(least) else False
+            there &= least[spot] < chunk.docs[open_doc] if len(least) else False
             begin = open_start[there] + i[there] - open_at[there]
             found.append((open_doc[there], begin, begin + passage))
         for d, a, b in found:
@@ -292,32 +299,34 @@ def runs_of(cover: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]
     return list(zip(a[first].tolist(), b[last].tolist()))
 
 
-def report_chunk(pdf, told, told_windows, passage: int):
+def report_chunk(pdf, told, told_windows, passage: int, least: int):
     import pandas as pd
 
-    chunk, cover = covered(pdf, told, told_windows, passage)
+    chunk, cover = covered(pdf, told, told_windows, passage, least)
     out = []
-    for raw, parts, doc in zip(chunk.bytes, cover, chunk.docs.tolist()):
+    for raw, parts, doc in zip(chunk.bytes, cover, pdf["id"].tolist()):
         runs, kept, at = runs_of(parts), [], 0
         for a, b in runs:
             kept.append(raw[at:a])
             at = b
         kept.append(raw[at:])
         out.append((None if doc == LAST_ID else doc, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest()))
-    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).astype({"doc_id": "Int64", "n_bytes": "int64", "n_removed": "int64", "n_spans": "int64"})
+    ids, n_bytes, removed, spans, digests = zip(*out)
+    return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_bytes": n_bytes, "n_removed": removed, "n_spans": spans, "kept_sha256": digests})
 
 
 def remove_passages(docs: DataFrame, passage: int = PASSAGE, chunk_bytes: int = CHUNK_BYTES, shard_names: int = SHARD_NAMES) -> DataFrame:
     """Bytes, removed bytes, removed runs and digest of what is kept, for every document."""
     rows = only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.col("text").cast("string"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    facts = rows.agg(F.sum(F.octet_length("text")).alias("total"), F.min("id").alias("least")).first()
+    total, least = facts["total"] or 0, facts["least"] or 0
     chunks = max(1, math.ceil(total / chunk_bytes))
     bits = max(2, math.ceil(math.log2(max(1, total / 13 / shard_names))))
-    texts = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).repartition(max(chunks, 8), "chunk")
+    texts = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).repartition(min(max(chunks, 8), PARTITIONS), "chunk")
     by_chunk = lambda df: df.groupBy("chunk")
-    named = by_chunk(texts).applyInPandas(lambda key, pdf: name_stretches(key, pdf, passage, bits), CELL)
+    named = by_chunk(texts).applyInPandas(lambda key, pdf: name_stretches(key, pdf, passage, bits, least), CELL)
     told = named.groupBy("shard").applyInPandas(lambda key, pdf: rank_stretches(key, pdf, bits), CELL)
-    windows = by_chunk(texts).cogroup(by_chunk(told)).applyInPandas(lambda key, pdf, t: name_windows(key, pdf, t, passage, bits), CELL)
+    windows = by_chunk(texts).cogroup(by_chunk(told)).applyInPandas(lambda key, pdf, t: name_windows(key, pdf, t, passage, bits, least), CELL)
     told_windows = windows.groupBy("shard").applyInPandas(lambda key, pdf: rank_windows(key, pdf, bits), CELL)
     both = told.withColumn("level", F.lit(1)).unionByName(told_windows.withColumn("level", F.lit(2)))
-    return by_chunk(texts).cogroup(by_chunk(both)).applyInPandas(lambda key, pdf, t: report_chunk(pdf, t[t["level"] == 1], t[t["level"] == 2], passage), REPORT)
+    return by_chunk(texts).cogroup(by_chunk(both)).applyInPandas(lambda key, pdf, t: report_chunk(pdf, t[t["level"] == 1], t[t["level"] == 2], passage, least), REPORT)

@@ -167,6 +167,18 @@ def test_passages_against_brute_force(spark):
         assert got == want
 
 
+def test_passages_of_negative_and_extreme_ids(spark):
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    ids = [-5, 3, -1, -(1 << 63), (1 << 63) - 2, 0, 1 << 40, None]
+    texts = [shared[k * 9 : k * 9 + 90 + 11 * k] + "".join(rng.choice("xyz ") for _ in range(rng.randint(0, 70))) + shared[:77] for k in range(len(ids))]
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    want = removed({(1 << 64) if i is None else i: t.encode() for i, t in zip(ids, texts)})
+    for chunk in (200, 1 << 22):
+        got = {(1 << 64) if r["doc_id"] is None else r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in passages.remove_passages(df, chunk_bytes=chunk, shard_names=50).collect()}
+        assert got == want
+
+
 # 4 quality
 def test_kneser_ney_sums_to_one(spark):
     texts = spark.createDataFrame([("the cat sat on the mat and the dog sat on the log " * 4,), ("a man a plan a canal",)], "text string")
@@ -203,6 +215,14 @@ def test_shards_are_even_whole_and_gapless(spark):
     assert sorted(r["text_crc32"] for r in got) == sorted(zlib.crc32((t or "").encode()) for _, t in rows)
 
 
+def test_overfull_ranges_are_subdivided(spark):
+    """Also from splitters that fit the keys badly, and however often it takes."""
+    rows = [(i, f"text {i} " + "w" * (i % 50)) for i in range(4000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), sample_keys=1, range_bytes=1000).collect()
+    sizes = np.bincount([r["shard"] for r in got], weights=[r["size"] for r in got])
+    assert len(got) == 4000 and max(sizes) - min(sizes) <= 2 * 70 and len(sizes) == 8
+
+
 # 6 packing
 def test_packing_round_trip(spark, messy):
     import array
