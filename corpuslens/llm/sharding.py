@@ -22,9 +22,10 @@ from ._spark import kept, only
 SHARDS = 8
 #: Keys drawn to place the splitters, on average.
 SAMPLE_KEYS = 4096
-#: Bytes of text in a range, about; ranges of twice as many are subdivided.
+#: Bytes of text in a range, about; ranges of twice the mean are subdivided until only ranges of
+#: one key are left over it.  Very large inputs have ``MAX_RANGES`` ranges of more bytes.
 RANGE_BYTES = 64 << 20
-MIN_RANGES, MAX_RANGES = 32, 1024
+MIN_RANGES, MAX_RANGES = 32, 16_384
 #: Groups of equal texts over this share of a shard are placed one by one.
 GROUP_SHARE = 1 / 64
 #: Parts in which a large group's rows are numbered.
@@ -99,11 +100,11 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, sample_keys: int = SAM
     ranges = int(min(MAX_RANGES, max(MIN_RANGES, total // range_bytes)))
     splitters = _splitters(rest, max(total, 1), ranges, max(sample_keys, 8 * ranges))
     wide = 2 * max(1.0, (total - sum(load)) / max(1, len(splitters) + 1))
-    for _ in range(8):
+    while True:
         ranged = rest.withColumn("range", _range_of(splitters))
         sizes = {r["range"]: r for r in ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()}
         more = sorted({r["low"] + (r["high"] - r["low"]) * j // k for r in sizes.values() if r["bytes"] > wide and r["high"] > r["low"] for k in [min(64, int(r["bytes"] / wide) + 2)] for j in range(1, k)} - set(splitters))
-        if not more or len(splitters) + len(more) > 4 * MAX_RANGES:
+        if not more:
             break
         for x in more:
             bisect.insort(splitters, x)

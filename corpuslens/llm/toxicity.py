@@ -27,12 +27,8 @@ from pyspark.sql import types as T
 from ._bytes import BYTE_CODES, Roller, find_words, text_blocks
 from ._spark import got, kept, only, sent
 
-#: Labelled rows that the strengths are learned from, about, at most.
+#: Labelled rows that the strengths are learned from, about, at most; bounds the marks too.
 TRAINING_ROWS = 20_000
-#: Marks kept, the most telling first: bounds what is broadcast.
-MARKS = 20_000
-#: Marks looked at in context, at most.
-CANDIDATES = 200_000
 PREFIXES = (4, 5, 6, 7)
 LEVELS = 8
 
@@ -311,14 +307,14 @@ def learn(docs: DataFrame, labels: DataFrame, training_rows: int = TRAINING_ROWS
     rate = (size["t"] + 0.5) / (size["n"] + 1)
     marks = train.mapInArrow(count_marks, "mark long, toxic long, other long").groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).filter("toxic >= 3 or other >= 3")
     likely = marks.filter((F.col("toxic") >= 3) & (F.col("toxic") > 2 * F.col("other")) & (F.col("toxic") > 4 * rate * (F.col("toxic") + F.col("other"))))
-    candidates = spark.sparkContext.broadcast(np.array(sorted(r["mark"] % (1 << 64) for r in likely.orderBy(F.desc(F.col("toxic") - 2 * F.col("other")), "mark").limit(CANDIDATES).select("mark").collect()), dtype=np.uint64))
+    candidates = spark.sparkContext.broadcast(np.array(sorted(r["mark"] % (1 << 64) for r in likely.select("mark").collect()), dtype=np.uint64))
     contexts = train.mapInArrow(lambda batches: count_contexts(batches, candidates), "mark long, context long, toxic long").distinct()
     by_mark = contexts.groupBy("mark").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (F.col("other") + 0.5)) - math.log(rate / (1 - rate))
     surprise = 2 * (F.col("toxic") * F.log((F.col("toxic") + 1e-9) / ((F.col("toxic") + F.col("other")) * rate)) + F.col("other") * F.log((F.col("other") + 1e-9) / ((F.col("toxic") + F.col("other")) * (1 - rate))))
     least = 2 * math.log(20 * max(20, len(candidates.value)))
     told = by_mark.withColumn("odds", odds).withColumn("surprise", surprise).filter((F.col("toxic") > 5 * F.col("other")) & (F.col("odds") > 1.5) & (F.col("surprise") > least))
-    levels = {r["mark"] % (1 << 64): min(LEVELS - 1, max(0, int(r["odds"] / 0.8))) for r in told.orderBy(F.desc("surprise"), "mark").limit(MARKS).select("mark", "odds").collect()}
+    levels = {r["mark"] % (1 << 64): min(LEVELS - 1, max(0, int(r["odds"] / 0.8))) for r in told.select("mark", "odds").collect()}
     seeds = [int(h) for h in _hash_words(SEEDS, Roller())]
     signed = [h - (1 << 64) if h >= 1 << 63 else h for h in seeds]
     for r in marks.filter(F.col("mark").isin(signed) & (F.col("other") >= 3) & (F.col("other") > 2 * F.col("toxic"))).collect():
