@@ -107,12 +107,13 @@ def scan_batches(batches: Iterator[pa.RecordBatch], window_set, keep_text: bool)
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept_names], pa.array(n_words), pa.array(merged, type=span_type), pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))], names=[*kept_names, "n_words", "spans", "items"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, set_bytes: int = SET_BYTES, columns: tuple[str, ...] = ("doc_id",), keep_text: bool = True) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, set_bytes: int = SET_BYTES, columns: tuple[str, ...] = ("doc_id",), keep_text: bool = True, drop_share: float | None = None) -> DataFrame:
     """The named columns, text (if kept), n_words, hit word spans (first and last word), item ids of each document.
 
     The benchmark's size is checked: up to ``set_bytes`` of text it is one broadcast set;
     beyond, items are dealt into sets of about that size and the documents are scanned once
-    for each set, so no set outgrows an executor.
+    for each set, so no set outgrows an executor.  With ``drop_share`` the last scan also cuts
+    the hit spans out, and gives ``gone`` instead of what it found.
     """
     spark = docs.sparkSession
     bench = only(benchmark, "item_id", "text").filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
@@ -126,8 +127,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
         rows = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
         shared = sent(spark, WindowSet(rows, width))
         keep = keep_text or k + 1 < sets
-        schema = T.StructType([f for f in own.schema.fields if keep or f.name != "text"] + found.fields)
-        out = out.mapInArrow(lambda batches, shared=shared, keep=keep: scan_batches(batches, shared, keep), schema)
+        schema = [f for f in own.schema.fields if keep or f.name != "text"]
+        if drop_share is not None and k + 1 == sets:
+            gone = T.StructField("gone", T.BooleanType())
+            return out.mapInArrow(lambda batches, shared=shared: cut_spans(scan_batches(batches, shared, True), drop_share), T.StructType([*schema, gone]))
+        out = out.mapInArrow(lambda batches, shared=shared, keep=keep: scan_batches(batches, shared, keep), T.StructType(schema + found.fields))
         if k + 1 < sets:
             out = kept(out)
     return out
@@ -140,6 +144,15 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WID
     return found.select(F.col("doc_id").cast("long"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def _between(whole: bytes, spans: list[dict]) -> bytes:
+    start, end, _ = find_words(np.frombuffer(whole, dtype=np.uint8), np.array([0, len(whole)]), IS_WORD)
+    at, out = 0, []
+    for s in spans:
+        out.append(whole[at : start[s["first"]]])
+        at = end[s["last"]]
+    return b"".join([*out, whole[at:]])
+
+
 def cut_spans(batches: Iterator[pa.RecordBatch], drop_share: float) -> Iterator[pa.RecordBatch]:
     """Texts without their hit spans, and whether the document goes altogether."""
     for batch in batches:
@@ -148,11 +161,7 @@ def cut_spans(batches: Iterator[pa.RecordBatch], drop_share: float) -> Iterator[
             hit = sum(s["last"] - s["first"] + 1 for s in spans)
             gone.append(bool(hit) and hit >= drop_share * n)
             if hit and not gone[-1]:
-                whole = text.encode()
-                start, end, _ = find_words(np.frombuffer(whole, dtype=np.uint8), np.array([0, len(whole)]), IS_WORD)
-                for s in reversed(spans):
-                    whole = whole[: start[s["first"]]] + whole[end[s["last"]] :]
-                text = whole.decode("utf-8", "ignore")
+                text = _between(text.encode(), spans).decode("utf-8", "ignore")
             texts.append(text)
         names = [c for c in batch.schema.names if c not in ("n_words", "spans", "items")]
         yield pa.RecordBatch.from_arrays([pa.array(texts, type=pa.string()) if c == "text" else batch.column(c) for c in names] + [pa.array(gone)], names=[*names, "gone"])
@@ -160,6 +169,4 @@ def cut_spans(batches: Iterator[pa.RecordBatch], drop_share: float) -> Iterator[
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, drop_share: float = 0.5, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
     """The named columns with cleaned text: hit spans are removed; documents mostly made of hits go."""
-    found = find_contamination(docs, benchmark, width, columns=columns)
-    schema = T.StructType([*found.schema.fields[:-3], T.StructField("gone", T.BooleanType())])
-    return found.mapInArrow(lambda batches: cut_spans(batches, drop_share), schema).filter(~F.col("gone")).drop("gone")
+    return find_contamination(docs, benchmark, width, columns=columns, drop_share=drop_share).filter(~F.col("gone")).drop("gone")
