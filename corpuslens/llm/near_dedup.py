@@ -5,8 +5,10 @@ bands; texts that share a band are candidates; candidates are verified by the we
 Jaccard similarity of their whole texts; components of the verified links are the classes.
 A band's members are compared with its smallest first.  Where a band then still holds
 different classes, all its members are compared if they are few; if they are many, they
-are joined exactly by their rarest shingles, of which similar texts must share one.  A link
-is missed only if two texts share no band at all, or too few samples (``AGREEING``).
+are joined exactly by their rarest shingles, of which similar texts must share one: first
+each with a neighbour in changing orders, as long as that unites classes, then all that are
+still of different classes.  Both ways give the same links; a link is missed only if two
+texts share no band at all, which at a similarity of 0.8 happens to two pairs in ten thousand.
 
 The weight of a shingle is its count times log(1 + N / (N + df)): smoothed so that copies
 of a widespread text still resemble each other.  Document frequencies are counted over all
@@ -36,8 +38,6 @@ from .toxicity import _lowered
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
-#: Pairs whose samples agree less are not compared: at 0.8 two pairs in ten thousand have so few.
-AGREEING = 40
 COMMON = 0.01
 #: Documents to each shard of the frequency count, about.
 SHARD_DOCS = 2_000
@@ -47,7 +47,11 @@ SMALL_BAND = 8
 BROADCAST_NODES = 500_000
 TABLE_BITS = 16
 
-SIGNED = "row long, doc_id long, h1 long, h2 int, size long, sample array<int>, bands array<long>"
+#: Neighbours in an order that a member is compared with, round after round as long as so large
+#: a part of the pairs are links; then all that are left are compared.
+BESIDE, FRUITFUL = 16, 0.2
+
+SIGNED = "row long, doc_id long, h1 long, h2 int, size long, bands array<long>"
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, roller: Roller) -> tuple[np.ndarray, np.ndarray]:
@@ -177,17 +181,16 @@ class Sampler:
 def sign_batches(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
     roller, sampler, known = Roller(), Sampler(), common.value
     for batch in batches:
-        samples, bands = [], []
+        bands = []
         for lo, hi, raw, offsets in text_blocks(_lowered(batch.column("text")), 1 << 19):
             h, rows, counts = distinct_shingles(*shingles(raw, offsets, roller))
             out, some = sampler.samples(h, rows, weights(h, counts, known), hi - lo)
             key = np.zeros((hi - lo, BANDS), dtype=np.uint64)
             for j in range(ROWS):
                 key = mix(key + out[:, j::ROWS].astype(np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            samples += [x if ok else None for x, ok in zip(out, some)]
             bands += [x if ok else None for x, ok in zip(key.view(np.int64), some)]
         names = ["row", "doc_id", "h1", "h2", "size"]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(samples, type=pa.list_(pa.int32())), pa.array(bands, type=pa.list_(pa.int64()))], names=[*names, "sample", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(bands, type=pa.list_(pa.int64()))], names=[*names, "bands"])
 
 
 def similarities(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
@@ -228,12 +231,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", *_text_key(F.col("text")), "text")
     signed = kept(rows.mapInArrow(lambda batches: sign_batches(batches, common), SIGNED))
     key = ["h1", "h2", "size"]
-    texts = signed.filter("size > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("sample").alias("sample"), F.first("bands").alias("bands"))
-    texts = kept(texts.select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("first_id"), *key, "sample", "bands"))
+    texts = signed.filter("size > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("bands").alias("bands"))
+    texts = kept(texts.select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("first_id"), *key, "bands"))
     in_bands = kept(texts.filter("bands is not null").select(F.explode("bands").alias("band"), "node"))
+    texts = texts.drop("bands")
     shared = in_bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    pairs = in_bands.join(shared, "band").filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(pairs, texts, docs, common, similarity)
+    in_bands = kept(in_bands.join(shared, "band"))
+    pairs = in_bands.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    verify = lambda pairs: _verified(pairs, texts, docs, common, similarity)
+    links = verify(pairs)
     classes = components(links)
     # Bands that still join different classes: small ones pair by pair; the members of large
     # ones exactly, by the rare shingles that similar texts must share.
@@ -241,19 +247,28 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     pairs = _pairs_across(mixed.filter(F.col("n") <= SMALL_BAND))
     crowd = kept(mixed.filter(F.col("n") > SMALL_BAND).select("node").distinct())
     if crowd.isEmpty():
-        more = _verified(kept(pairs.distinct()), texts, docs, common, similarity)
+        more = verify(pairs.distinct())
     else:
         rare = kept(_prefixes(crowd, texts, docs, common, similarity))
         star = rare.groupBy("band").agg(F.min_by(F.struct("node", "total", "rest"), "node").alias("l"))
         near = lambda total, rest: F.least("rest", rest) >= (similarity / (1 + similarity) - 1e-9) * (F.col("total") + total)
         stars = rare.join(star, "band").filter((F.col("node") != F.col("l.node")) & near(F.col("l.total"), F.col("l.rest"))).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-        more = _verified(kept(pairs.unionByName(stars).distinct()), texts, docs, common, similarity)
-        links = kept(links.unionByName(more))
-        classes = components(links)
-        left = kept(rare.join(_mixed(rare.select("band", "node"), classes).select("band", "node", "root"), ["band", "node"]))
+        more, turn = verify(pairs.unionByName(stars).distinct()), 0
+        while True:
+            if not more.isEmpty():
+                links = kept(links.unionByName(more))
+                classes = components(links)
+            left = _mixed(rare.select("band", "node"), classes)
+            left = kept(rare.join(left.select("band", "node", "root"), ["band", "node"]))
+            order = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(turn)), "node").rowsBetween(-BESIDE, -1)
+            beside = left.withColumn("o", F.collect_list(F.struct("node", "root", "total", "rest")).over(order)).withColumn("o", F.explode("o")).filter((F.col("root") != F.col("o.root")) & near(F.col("o.total"), F.col("o.rest")))
+            beside = kept(beside.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct())
+            more, turn = verify(beside), turn + 1
+            if more.count() <= FRUITFUL * beside.count():
+                break
         other = left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("total").alias("total_b"), F.col("rest").alias("rest_b"))
         across = left.join(other, "band").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & near(F.col("total_b"), F.col("rest_b"))).select(F.col("node").alias("a"), "b")
-        more = _verified(kept(across.distinct()), texts, docs, common, similarity)
+        more = more.unionByName(verify(across.distinct()))
     if not more.isEmpty():
         links = kept(links.unionByName(more))
         classes = components(links)
@@ -325,11 +340,8 @@ def _prefixes(nodes: DataFrame, texts: DataFrame, docs: DataFrame, common, simil
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, common, similarity: float) -> DataFrame:
-    """The pairs (a < b) of texts that are similar enough: by their samples, then exactly."""
-    left = texts.select(F.col("node").alias("a"), F.col("sample").alias("sample_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("sample").alias("sample_b"))
-    agree = F.size(F.filter(F.zip_with("sample_a", "sample_b", lambda x, y: x == y), lambda z: z))
-    likely = kept(pairs.join(left, "a").join(right, "b").filter(agree >= AGREEING).select("a", "b"))
+    """The pairs (a < b) of texts whose weighted Jaccard similarity is high enough."""
+    likely = kept(pairs.select("a", "b"))
     ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     whole = _texts_of(_keys_of(ends, texts), docs)
     with_texts = likely.join(whole.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
