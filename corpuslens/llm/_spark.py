@@ -52,13 +52,16 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes kept tables that nothing will read again."""
     for df in tables:
         if path := getattr(df, "_kept_at", None):
-            spark = df.sparkSession
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(df.sparkSession, path)
 
 
 def sent(spark: SparkSession, value: Any) -> Broadcast:

@@ -180,24 +180,65 @@ def test_passages_of_negative_and_extreme_ids(spark):
 
 
 # 4 quality
-def test_kneser_ney_sums_to_one(spark):
-    texts = spark.createDataFrame([("the cat sat on the mat and the dog sat on the log " * 4,), ("a man a plan a canal",)], "text string")
-    counts = texts.mapInArrow(quality.count_grams, "shard int, keys binary, counts binary").groupBy("shard").applyInPandas(quality.merge_counts, "key long, n long")
-    (model, last), *_ = quality.broadcast_parts(quality.kneser_ney(counts), 10**6)
-    assert last
-    for context in (b"\x02\x02\x02\x02", b" the", b"zzzz", b"n th"):
-        keys = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], dtype=np.uint64)
-        assert abs(np.exp(model.log_probabilities(keys)).sum() - 1) < 1e-3
-
-
-def test_parts_of_the_model_give_the_same(spark, sf):
-    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    one = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
-    many = {r["doc_id"]: r for r in quality.classify(docs, labels, model_rows=20_000).collect()}
-    assert all(abs(one[i]["perplexity"] - many[i]["perplexity"]) < 1e-6 * one[i]["perplexity"] for i in one)
-    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
-    good = [one[i]["keep"] for i in truth if truth[i] == 1 and i in one]
-    assert sum(good) / len(good) > 0.97
+def plain_kneser_ney(texts: list[bytes], order: int = 5):
+    """log2-free textbook form: dictionaries of byte strings, one probability at a time."""
+    grams = {m: {} for m in range(1, order + 1)}
+    for t in texts:
+        t = b"\x02" * (order - 1) + t
+        for i in range(order - 1, len(t)):
+            g = t[i - order + 1 : i + 1]
+            grams[order][g] = grams[order].get(g, 0) + 1
+    for m in range(order - 1, 0, -1):
+        for g in grams[m + 1]:
+            grams[m][g[1:]] = grams[m].get(g[1:], 0) + 1
+    cuts, contexts = {}, {m: {} for m in grams}
+    for m, own in grams.items():
+        n1, n2, n3, n4 = (sum(c == k for c in own.values()) for k in (1, 2, 3, 4))
+        if n1 and n2 and n3 and n4:
+            y = n1 / (n1 + 2 * n2)
+            raw = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+            cuts[m] = [min(max(d, 0.05), k + 0.95) for k, d in enumerate(raw)]
+        else:
+            cuts[m] = [0.5, 0.75, 0.9]
+        for g, c in own.items():
+            total, left = contexts[m].get(g[:-1], (0, 0.0))
+            contexts[m][g[:-1]] = total + c, left + cuts[m][min(c, 3) - 1]
+
+    def p(g: bytes) -> float:
+        m = len(g)
+        if not m:
+            return 1 / 256
+        total, left = contexts[m].get(g[:-1], (0, 0.0))
+        if not total:
+            return p(g[1:])
+        c = grams[m].get(g, 0)
+        return max(c - cuts[m][min(c, 3) - 1], 0.0) / total * (c > 0) + left / total * p(g[1:])
+
+    return p
+
+
+def test_perplexities_against_plain_kneser_ney(spark, sf):
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "text").collect() if len(r["text"] or "") < 3000][:120]
+    rows = [(r["doc_id"], r["lang"], r["text"]) for r in rows] + [(-5, None, ""), (None, "en", "no id"), (-6, "en", None), (-7, "xx", "zzzz \x02\x02 é")]
+    trusted = [i for i, _, _ in rows if i is not None and i % 3 == 0 and i >= 0]
+    p, want = plain_kneser_ney([t.encode() for i, _, t in rows if i in trusted]), {}
+    for i, _, t in rows:
+        raw = b"\x02" * 4 + (t or "").encode()
+        want[i] = (len(raw) - 4, -sum(np.log(p(raw[k - 4 : k + 1])) for k in range(4, len(raw))))
+    docs, ids = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2), spark.createDataFrame([(i,) for i in trusted], "doc_id long")
+    for chunk in (5000, 1 << 22):
+        got = {r["doc_id"]: (r["size"], r["loss"]) for r in quality.perplexities(docs, ids, chunk).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) <= 1e-3 * want[i][1] + 1e-3 * want[i][0] for i in want), [(i, got[i], want[i]) for i in want][:5]
+    assert quality.perplexities(docs, ids.limit(0)) is None
+
+
+def test_quality_keeps_the_good_and_drops_the_bad(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r["keep"] for r in quality.classify(docs, labels).collect()}
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if r["doc_id"] in got}
+    good, bad = ([got[i] for i, q in truth.items() if q == k] for k in (1, 0))
+    assert len(got) == docs.count() and sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
 
 
 # 5 sharding
