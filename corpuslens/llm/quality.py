@@ -340,7 +340,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, chunk_bytes: int = CHUNK_B
     rows = only(docs, "doc_id", "lang", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
     name, path = f"corpuslens_chunks_{uuid.uuid4().hex}", scratch(spark, "chunks")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, min(20_000, math.ceil(total / chunk_bytes / 4)))
+    # With at least as many buckets as shuffle partitions, joins on the chunk move only the other side.
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions") or 8), min(20_000, math.ceil(total / chunk_bytes / 4)))
     rows.mapInArrow(lambda batches: make_chunks(batches, chunk_bytes), CHUNK).write.bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
     try:
         chunks = spark.table(name)
