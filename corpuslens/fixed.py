@@ -33,6 +33,7 @@ MIN_SEGMENT_CHARS, SIGNATURE_LINES, SIGNATURE_LINE_CHARS = 80, 4, 60
 
 # ---- fixed values: duplicates
 SHINGLE_WORDS, SIGNATURE_SIZE, BAND_COUNT, SIMILARITY, SIMILARITY_FLOOR = 5, 128, 32, 0.8, 0.5
+MINHASH_SEED, TOP_GROUPS = 20260910, 10
 
 # ---- fixed values: typology signals (name, zone, ignore case, pattern)
 OPENING_CHARS, CLOSING_CHARS, PLAUSIBLE_SHARE, PLAUSIBLE_MIN, SHORT_WORDS = 500, 600, 0.5, 12, 250

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -71,38 +70,6 @@ def render(text: str, spans) -> str:
     return "".join([*out, text[at:]])
 
 
-def fold_text(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFD", text.lower()) if unicodedata.category(c) != "Mn")
-
-
-def query_terms(query: str) -> list[str]:
-    """Folded words to look for: no quotes, negated words or operators, each once."""
-    found = [w for raw in query.replace('"', " ").split() if not raw.startswith("-") for w in re.findall(r"[^\W\d_]+", fold_text(raw))]
-    return list(dict.fromkeys(w for w in found if w not in fixed.QUERY_WORDS))
-
-
-def snippet(text: str, terms: list[str], width: int = fixed.WINDOW_CHARS) -> str:
-    """A window of words around the first term found, by ever shorter beginnings."""
-    own = " ".join((text or "").split())
-    if len(own) <= width:
-        return own
-    folded, places = fold_text(own), []
-    for term in terms:
-        for n in range(len(term), fixed.MIN_PREFIX - 1, -1):
-            if hit := re.search(r"\b" + re.escape(term[:n]), folded):
-                places.append(hit.start())
-                break
-    centre = min(places, default=0)
-    low = max(0, centre - width // 3)
-    back = own[:low].rfind(" ") + 1
-    start = back if low - back <= fixed.EDGE_CHARS else low
-    high = min(len(own), max(start + width, centre + width - width // 3))
-    ahead = own.find(" ", high)
-    ahead = len(own) if ahead < 0 else ahead
-    end = ahead if ahead - high <= fixed.EDGE_CHARS else high
-    return ("… " if start else "") + own[start:end] + (" …" if end < len(own) else "")
-
-
 def sentence_chunks(text: str, limit: int) -> list[str]:
     """Whole lines packed up to a number of words; longer lines are cut first."""
     lines = [line[i : i + limit] for line in (x.split() for x in (text or "").split("\n")) for i in range(0, len(line), limit)]
@@ -140,14 +107,6 @@ def redact(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else render(t, [] if s is None else list(s)) for t, s in zip(text, spans)])
 
 
-def snippets(terms: list[str], width: int = fixed.WINDOW_CHARS):
-    @F.pandas_udf(ST.StringType())
-    def cut(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: snippet(t or "", terms, width))
-
-    return cut
-
-
 def chunks(limit: int):
     @F.pandas_udf(ST.ArrayType(ST.StringType()))
     def cut(text: pd.Series) -> pd.Series:

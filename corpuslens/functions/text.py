@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -31,6 +32,11 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(c), _FROM, _TO), "[\\u0300-\\u036f]", "")
 
 
+def fold_word(word: str) -> str:
+    """What ``fold`` makes of a word, on the driver."""
+    return re.sub("[\u0300-\u036f]", "", word.lower().translate(str.maketrans(_FROM, _TO)))
+
+
 def normalise(c: Column) -> Column:
     """Folded runs of letters and digits, one space between."""
     return F.trim(F.regexp_replace(fold(c), "[^a-z0-9]+", " "))
@@ -188,3 +194,38 @@ def document_key(level: Column, ident: Column) -> Column:
 def parse_document_key(c: Column) -> Column:
     level = F.when(c.rlike("^d[0-9]+$"), "doleance").when(c.rlike("^[0-9]+$"), "contribution")
     return F.struct(level.alias("level"), F.regexp_extract(c, "([0-9]+)$", 1).try_cast("long").alias("id"))
+
+
+def _first_place(folded: Column, word: str) -> Column:
+    """Where a word of the folded text begins like this one, or like the longest beginning of it
+    that is there; null without any."""
+    starts = [F.regexp_instr(folded, F.lit(rf"(?U)\b{word[:n]}")) for n in range(len(word), fixed.MIN_PREFIX - 1, -1)]
+    return F.coalesce(*[F.nullif(s, F.lit(0)) for s in starts], F.lit(None).cast("int"))
+
+
+def excerpt(c: Column, words: list[str], width: int = fixed.WINDOW_CHARS) -> Column:
+    """About ``width`` characters around the first of the folded words, a third of them before
+    it, from blank to blank where one is near; short texts whole, null and blank ones empty."""
+    edge, before = fixed.EDGE_CHARS, width // 3
+
+    def around(x: Column) -> Column:
+        text, n = x["text"], F.length(x["text"])
+        low = F.greatest(x["at"] - before, F.lit(0))
+        back = F.length(F.substring_index(F.substring(text, F.lit(1), low), " ", -1))
+        start = low - F.when(back <= edge, back).otherwise(0)
+
+        def until(start: Column) -> Column:
+            aim = F.least(n, F.greatest(start, x["at"] - before) + width)
+            ahead = F.length(F.substring_index(F.substring(text, aim + 1, n), " ", 1))
+            end = aim + F.when(ahead <= edge, ahead).otherwise(0)
+            return _with(end, lambda end: F.concat(F.when(start > 0, "… ").otherwise(""), F.substring(text, start + 1, end - start), F.when(end < n, " …").otherwise("")))
+
+        return _with(start, until)
+
+    def place(folded: Column) -> Column:
+        return F.coalesce(F.array_min(F.array(*[_first_place(folded, w) for w in words])), F.lit(1)) - 1 if words else F.lit(0)
+
+    def window(text: Column) -> Column:
+        return F.when(F.length(text) <= width, text).otherwise(_with(F.struct(text.alias("text"), _with(fold(text), place).alias("at")), around))
+
+    return _with(strip(F.regexp_replace(F.coalesce(c, F.lit("")), SPACE, " ")), window)

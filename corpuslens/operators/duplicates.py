@@ -1,50 +1,90 @@
-"""Duplicate groups: shingles, MinHash signatures, bands, verified pairs, components."""
+"""Duplicate groups: shingles, MinHash bands, verified pairs, components."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from .. import fixed
+from ..functions import hashing
 from ..functions import text as T
 from ..storage import materialised
 from .components import components
 
+#: Members up to which all pairs of a band are candidates; those of larger bands are joined by
+#: their rarest shingles.
+SMALL_BAND = 32
+
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """id and its distinct shingles as 64-bit hashes; texts without words are left out."""
-    hashes = F.array_sort(F.transform(T.shingles(F.col("text")), lambda s: F.xxhash64(s)))
-    return docs.select("id", hashes.alias("shingles")).filter(F.size("shingles") > 0)
+    """id, its distinct shingles as 64-bit hashes and its band keys; texts without words are left out."""
+    longs = ST.ArrayType(ST.LongType())
+    schema = ST.StructType([ST.StructField("id", docs.schema["id"].dataType), ST.StructField("shingles", longs), ST.StructField("keys", longs)])
+    return docs.select("id", T.normalise(F.col("text")).alias("normal")).mapInArrow(hashing.shingle_batches, schema)
 
 
-def band_keys(shingles, size: int = fixed.SIGNATURE_SIZE, bands: int = fixed.BAND_COUNT):
-    """One hash for each band of the MinHash signature."""
-    low = lambda k: F.array_min(F.transform(shingles, lambda h: F.xxhash64(h, k)))
-    rows = size // bands
-    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.transform(F.sequence(b * rows, b * rows + rows - 1), low)))
+def _pairs(members: DataFrame, key: str) -> DataFrame:
+    return members.select(key, F.col("id").alias("a")).join(members.select(key, F.col("id").alias("b")), key).filter("a < b").select("a", "b")
 
 
-def similar_pairs(docs: DataFrame, threshold: float = fixed.SIMILARITY, exact: bool = False) -> DataFrame:
-    """a < b and their Jaccard similarity, for texts that reach the threshold.
+def _by_rarest(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs that share one of their rarest shingles: sets as similar as the threshold must.
 
-    Texts with the same shingles are collapsed before the bands are joined, so exact copies
-    are linked to their first only.  With ``exact``, candidates share a shingle instead of a
-    band: complete, for small tables.
+    Of n shingles in one order for all sets, the rarest first, two sets that share t of all
+    share one of the first n - ceil(t n) + 1 of each.
+    """
+    each = materialised(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+    counted = each.join(each.groupBy("shingle").agg(F.count("*").alias("df")), "shingle")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle"))
+    first = counted.withColumn("place", place).filter((F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & (F.col("df") > 1))
+    return _pairs(materialised(first.select("shingle", "id")), "shingle")
+
+
+def linked(docs: DataFrame, threshold: float = fixed.SIMILARITY, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Similar pairs of the first documents of equal sets, and the copies (first, id) of those.
+
+    With ``exact``, candidates are found by rare shingles only: complete whatever the bands.
     """
     if threshold < fixed.SIMILARITY_FLOOR:
         raise ValueError("below this similarity the bands miss too much")
     sets = materialised(shingled(docs))
-    first = sets.groupBy("shingles").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    copies = sets.join(first.filter("n > 1"), "shingles").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    ones = materialised(first.select(F.col("first").alias("id"), "shingles"))
-    keys = F.col("shingles") if exact else band_keys(F.col("shingles"))
-    keyed = ones.select("id", F.explode(keys).alias("key"))
-    shared = keyed.groupBy("key").count().filter("count > 1").select("key")
-    keyed = keyed.join(shared, "key")
-    pairs = keyed.select("key", F.col("id").alias("a")).join(keyed.select("key", F.col("id").alias("b")), "key").filter("a < b").select("a", "b").distinct()
-    scored = pairs.join(ones.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(ones.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    same = [F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"), F.size("shingles").alias("n")]
+    ids = sets.select("id", *same)
+    first = materialised(ids.groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
+    copies = ids.join(first.filter("copies > 1"), ["h1", "h2", "n"]).filter("id <> first").select("first", "id")
+    ones = materialised(sets.join(first.select(F.col("first").alias("id")), "id", "left_semi"))
+    if exact:
+        pairs = _by_rarest(ones, threshold)
+    else:
+        keyed = ones.select("id", F.explode("keys").alias("key"))
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        keyed = materialised(keyed.join(shared, "key"))
+        pairs = _pairs(keyed.filter(F.col("n") <= SMALL_BAND), "key")
+        crowd = keyed.filter(F.col("n") > SMALL_BAND).select("id").distinct()
+        if not crowd.isEmpty():
+            pairs = pairs.unionByName(_by_rarest(ones.join(crowd, "id", "left_semi"), threshold))
+    x, y = (ones.select(F.col("id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
+    scored = pairs.distinct().join(x, "a").join(y, "b")
     near = scored.select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold)
-    return near.unionByName(copies)
+    return materialised(near), copies
+
+
+def similar_pairs(docs: DataFrame, threshold: float = fixed.SIMILARITY, exact: bool = False) -> DataFrame:
+    """a < b and their Jaccard similarity, for texts that reach the threshold; texts with the
+    same shingles stand for one another, so copies are linked to their first only."""
+    near, copies = linked(docs, threshold, exact)
+    return near.unionByName(copies.select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+
+
+def earliest(docs: DataFrame, threshold: float = fixed.SIMILARITY) -> DataFrame:
+    """id and the smallest id before it whose text is similar, for documents that have one."""
+    near, copies = linked(docs, threshold)
+    both = near.select(F.col("a").alias("first"), F.col("b").alias("other")).unionByName(near.select(F.col("b").alias("first"), F.col("a").alias("other")))
+    low = both.groupBy("first").agg(F.min("other").alias("low"))
+    members = copies.select("first", "id", F.col("first").alias("own")).unionByName(low.select("first", F.col("first").alias("id"), F.lit(None).cast(docs.schema["id"].dataType).alias("own")))
+    found = members.join(low, "first", "left").select("id", F.least("own", F.when(F.col("low") < F.col("id"), F.col("low"))).alias("earliest"))
+    return found.filter("earliest is not null")
 
 
 def groups(docs: DataFrame, threshold: float = fixed.SIMILARITY, exact: bool = False) -> DataFrame:
@@ -60,6 +100,12 @@ def groups(docs: DataFrame, threshold: float = fixed.SIMILARITY, exact: bool = F
     return members.join(facts, "root").select(F.col("root").alias("group_id"), F.col("node").alias("id"), "size", "places", "similarity_min")
 
 
+def largest(grouped: DataFrame, limit: int = fixed.TOP_GROUPS) -> DataFrame:
+    """group_id, size and places of the groups in most places, then the largest."""
+    one = grouped.select("group_id", "size", "places").distinct()
+    return one.orderBy(F.desc("places"), F.desc("size"), "group_id").limit(limit)
+
+
 def recopied(grouped: DataFrame, places: int = 2) -> DataFrame:
     """Documents whose group spans several places."""
     return grouped.filter(F.col("places") >= places).select("id").distinct()

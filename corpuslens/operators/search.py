@@ -1,10 +1,15 @@
-"""Full-text search over folded, stemmed words: boolean match, rank, snippets, keyword grids."""
+"""Full-text search over folded, stemmed words: boolean match, rank, excerpts, keyword grids, an index.
+
+A text is matched as one string of stems between blanks, so words and phrases are plain
+substrings.  The index holds the positions of every stem of every document, dealt by stem;
+a query reads its own stems only.
+"""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
@@ -12,7 +17,11 @@ from ..functions import spans as S
 from ..functions import text as T
 
 #: Light French endings, longest first; a stem keeps four letters.
-ENDINGS = ("issements", "issement", "atrices", "ateurs", "ations", "ements", "ateur", "ation", "ement", "euses", "ement", "ives", "euse", "ite", "eux", "ies", "ees", "er", "es", "ee", "s", "e")
+ENDINGS = ("issements", "issement", "atrices", "ateurs", "ations", "ements", "ateur", "ation", "ement", "euses", "ives", "euse", "ite", "eux", "ies", "ees", "er", "es", "ee", "s", "e")
+#: Folders that an index is dealt to, by stem.
+INDEX_PARTS = 64
+#: Fixed value: what one occurrence of a query word weighs in a cover.
+COVER_WEIGHT = 0.1
 
 
 def stem(word: str) -> str:
@@ -22,74 +31,182 @@ def stem(word: str) -> str:
     return word
 
 
+def stemmed(text: Column) -> Column:
+    """The stems of a text in order, with a blank before, between and after."""
+    return F.concat(F.lit(" "), F.regexp_replace(T.normalise(text), f"(?<=[a-z0-9]{{4}})(?:{'|'.join(ENDINGS)})(?![a-z0-9])", ""), F.lit(" "))
+
+
 def stems(text: Column) -> Column:
-    """Folded words without endings, in order."""
-    tokens = F.filter(F.split(T.normalise(text), " "), lambda w: w != "")
-    return F.transform(tokens, lambda w: F.regexp_replace(w, f"(?<=.{{4}})(?:{'|'.join(ENDINGS)})$", ""))
+    return F.filter(F.split(stemmed(text), " "), lambda w: w != "")
 
 
 class Query:
     """Web-style syntax: words are required, "phrases" too, or between alternatives, - negates.
-    Nothing is a syntax error."""
+    Nothing is a syntax error.
+
+    ``groups`` are alternatives, each a list of stems in order; ``words`` are the folded words
+    that may be shown, each once.
+    """
 
     def __init__(self, text: str) -> None:
         if not text.strip():
             raise ValueError("empty query")
-        self.text, self.groups, self.negated, join = text, [], [], False
+        self.text, self.groups, self.negated, self.words = text, [], [], []
+        joined = False
         for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"?|(\S+))', text):
-            raw = phrase or word
-            if not minus and not phrase and raw.lower() in ("or", "ou"):
-                join = bool(self.groups)
+            raw = T.fold_word(phrase or word)
+            if not minus and not phrase and raw in ("or", "ou"):
+                joined = bool(self.groups)
                 continue
-            own = [stem(w) for w in re.findall(r"[a-z0-9]+", S.fold_text(raw))]
+            own = [stem(w) for w in re.findall("[a-z0-9]+", raw)]
             if not own:
                 continue
             if minus:
                 self.negated.append(own)
-            elif join:
-                self.groups[-1].append(own)
             else:
-                self.groups.append([own])
-            join = False
-
-    def _phrase(self, tokens: Column, phrase: list[str]) -> Column:
-        if len(phrase) == 1:
-            return F.array_contains(tokens, phrase[0])
-        padded = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-        return F.contains(padded, F.lit(" " + " ".join(phrase) + " "))
-
-    def matches(self, tokens: Column) -> Column:
+                self.words += [w for w in re.findall(r"[^\W\d_]+", raw) if w not in self.words and w not in fixed.QUERY_WORDS]
+                if joined:
+                    self.groups[-1].append(own)
+                else:
+                    self.groups.append([own])
+            joined = False
+
+    def matches(self, stemmed_text: Column) -> Column:
+        there = lambda phrase: F.contains(stemmed_text, F.lit(f" {' '.join(phrase)} "))
         out = F.lit(bool(self.groups or self.negated))
         for group in self.groups:
-            any_of = self._phrase(tokens, group[0])
+            any_of = there(group[0])
             for phrase in group[1:]:
-                any_of = any_of | self._phrase(tokens, phrase)
+                any_of = any_of | there(phrase)
             out = out & any_of
         for phrase in self.negated:
-            out = out & ~self._phrase(tokens, phrase)
+            out = out & ~there(phrase)
         return out
 
-    def rank(self, tokens: Column) -> Column:
-        """Our own score: matching words over one plus the logarithm of the length."""
-        wanted = F.array(*[F.lit(w) for g in self.groups for p in g for w in p] or [F.lit("")])
-        return F.size(F.filter(tokens, lambda w: F.array_contains(wanted, w))) / (1 + F.log(F.size(tokens) + 1.0))
+    def wanted(self) -> dict[str, list[int]]:
+        """Stems with the numbers of the demands that they meet: a group of single words is one
+        demand, and so is every word of a phrase."""
+        out: dict[str, list[int]] = {}
+        n = 0
+        for group in self.groups:
+            wide = max(len(p) for p in group)
+            for phrase in group:
+                for k in range(wide):
+                    own = out.setdefault(phrase[min(k, len(phrase) - 1)], [])
+                    own += [n + k] if n + k not in own else []
+            n += wide
+        return out
 
+    def demands(self) -> int:
+        return sum(max(len(p) for p in g) for g in self.groups)
 
-def search(docs: DataFrame, query: str, limit: int = fixed.SEARCH_LIMIT, pii: DataFrame | None = None) -> DataFrame:
-    """The best documents (id, text) with rank and snippet; texts are redacted before they are
-    cut.  Python sees the limited rows only."""
-    q = Query(query)
-    tokens = docs.withColumn("tokens", stems(F.col("text")))
-    top = tokens.filter(q.matches(F.col("tokens"))).withColumn("rank", q.rank(F.col("tokens"))).drop("tokens")
-    top = top.orderBy(F.desc("rank"), "id").limit(min(max(1, limit), fixed.SEARCH_MAX))
+    def rank(self, events: Column) -> Column:
+        """Cover density: each shortest stretch that meets all demands counts less the more other
+        words it holds.  ``events`` are (at, word) structs in order, of wanted stems only.  Phrases
+        count word by word; whether the words stand together is for ``matches``."""
+        meets = F.create_map(*[x for w, ks in self.wanted().items() for x in (F.lit(w), F.array(*[F.lit(k) for k in ks]))]) if self.groups else None
+        if meets is None:
+            return F.lit(0.0)
+        spot = "struct<at:int,number:int>"
+        none = F.array_repeat(F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("number")).cast(spot), self.demands())
+        start = F.struct(none.alias("last"), F.lit(-1).alias("begun"), F.lit(0).alias("number"), F.lit(0.0).alias("sum"))
+
+        def step(s: Column, e: Column) -> Column:
+            here = F.struct(e["at"].alias("at"), s["number"].alias("number")).cast(spot)
+            last = F.transform(s["last"], lambda x, k: F.when(F.array_contains(meets[e["word"]], k), here).otherwise(x))
+
+            def add(last: Column) -> Column:
+                low = F.array_min(last)
+                new = low["at"] > s["begun"]
+                noise = (e["at"] - low["at"]) - (s["number"] - low["number"])
+                return F.struct(last.alias("last"), F.when(new, low["at"]).otherwise(s["begun"]).alias("begun"), (s["number"] + 1).alias("number"), (s["sum"] + F.when(new, COVER_WEIGHT / (1.0 + noise)).otherwise(0.0)).alias("sum"))
+
+            return F.get(F.transform(F.array(last), add), 0)
+
+        return F.aggregate(events, start, step, lambda s: s["sum"])
+
+    def events(self, tokens: Column) -> Column:
+        wanted = list(self.wanted())
+        each = F.transform(tokens, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+        return F.filter(each, lambda e: e["word"].isin(*wanted)) if wanted else F.slice(each, 1, 0)
+
+
+def _best(found: DataFrame, limit: int) -> DataFrame:
+    return found.orderBy(F.desc("rank"), "id").limit(min(max(1, limit), fixed.SEARCH_MAX))
+
+
+def _shown(top: DataFrame, q: Query, pii: DataFrame | None) -> DataFrame:
+    """With the excerpts; texts are redacted before they are cut."""
     if pii is not None:
         own = pii.join(F.broadcast(top.select("id")), "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("start", "end", "kind", "confirmed")).alias("spans"))
         top = top.join(own, "id", "left").withColumn("text", S.redact("text", "spans")).drop("spans")
-    return top.withColumn("snippet", S.snippets(S.query_terms(query))(F.col("text")))
+    return top.withColumn("snippet", T.excerpt(F.col("text"), q.words))
+
+
+def search(docs: DataFrame, query: str, limit: int = fixed.SEARCH_LIMIT, pii: DataFrame | None = None) -> DataFrame:
+    """The best documents (id, text) with rank and snippet, found by reading the texts."""
+    q = Query(query)
+    found = docs.filter(q.matches(stemmed(F.col("text"))))
+    return _shown(_best(found.withColumn("rank", q.rank(q.events(stems(F.col("text"))))), limit), q, pii)
 
 
 def count(docs: DataFrame, query: str) -> DataFrame:
-    return docs.filter(Query(query).matches(stems(F.col("text")))).agg(F.count("*").alias("hits"))
+    return docs.filter(Query(query).matches(stemmed(F.col("text")))).agg(F.count("*").alias("hits"))
+
+
+def write_index(docs: DataFrame, path: str) -> None:
+    """The positions of every stem of every document (id, text), in folders by stem; files are in
+    the order of stems, so a query's stems are found by file statistics."""
+    words = docs.select("id", F.posexplode(stems(F.col("text"))).alias("at", "word"))
+    held = words.groupBy("word", "id").agg(F.sort_array(F.collect_list("at")).alias("places"))  # of one text each
+    held = held.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(INDEX_PARTS)).cast("int"))
+    held.repartition(INDEX_PARTS, "part").sortWithinPartitions("part", "word", "id").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def find(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """id and rank of the documents that answer the query, from an index alone.
+
+    A query of negated words only needs all documents: the index does not know those without
+    words, so it is refused.
+    """
+    q = Query(query)
+    if not q.groups:
+        raise ValueError("a query needs a word to look for")
+    asked = sorted({w for g in q.groups for p in g for w in p} | {w for p in q.negated for w in p})
+    parts = [r[0] for r in spark.createDataFrame([(w,) for w in asked], "word string").select(F.pmod(F.xxhash64("word"), F.lit(INDEX_PARTS)).cast("int")).distinct().collect()]
+    rows = spark.read.parquet(path).filter(F.col("part").isin(*parts) & F.col("word").isin(*asked))
+    places = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("p"))  # at most the query's stems
+    none = F.array().cast("array<int>")
+    at = lambda w: F.coalesce(F.col("p")[w], none)
+
+    def moved(w: str, k: int) -> Column:
+        return F.transform(at(w), lambda x: x - k)
+
+    def spots(w: str) -> Column:
+        return F.transform(at(w), lambda x: F.struct(x.alias("at"), F.lit(w).alias("word")))
+
+    def there(phrase: list[str]) -> Column:
+        out = at(phrase[0])
+        for k, w in enumerate(phrase[1:], 1):
+            out = F.array_intersect(out, moved(w, k))
+        return F.size(out) > 0
+
+    match = F.lit(True)
+    for group in q.groups:
+        any_of = there(group[0])
+        for phrase in group[1:]:
+            any_of = any_of | there(phrase)
+        match = match & any_of
+    for phrase in q.negated:
+        match = match & ~there(phrase)
+    events = F.array_sort(F.flatten(F.array(*[spots(w) for w in q.wanted()])))
+    return places.filter(match).select("id", q.rank(events).alias("rank"))
+
+
+def search_index(docs: DataFrame, path: str, query: str, limit: int = fixed.SEARCH_LIMIT, pii: DataFrame | None = None) -> DataFrame:
+    """As ``search``, but texts are read for the best documents only."""
+    top = _best(find(docs.sparkSession, path, query), limit)
+    return _shown(docs.join(F.broadcast(top), "id"), Query(query), pii).orderBy(F.desc("rank"), "id")
 
 
 def bites(folded: Column, term: str) -> Column:
@@ -98,13 +215,16 @@ def bites(folded: Column, term: str) -> Column:
 
 
 def keyword_grid(docs: DataFrame, grid: dict[str, str]) -> DataFrame:
-    """topic, id and summary of every topic whose query a document answers; one pass over the texts."""
-    tokens = docs.withColumn("tokens", stems(F.col("text"))).withColumn("folded", T.fold(F.col("text")))
+    """topic, id, verbatim and summary of every topic whose query a document answers; one pass
+    over the texts."""
+    own = docs.withColumn("stemmed", stemmed(F.col("text"))).withColumn("folded", T.fold(F.col("text")))
     found = []
     for topic, query in grid.items():
-        terms = F.array_join(F.filter(F.array(*[F.when(bites(F.col("folded"), t), t) for t in S.query_terms(query)]), lambda x: x.isNotNull()), ", ")
-        found.append(F.when(Query(query).matches(F.col("tokens")), F.struct(F.lit(topic).alias("topic"), F.concat(F.lit("mots-clés : "), terms).alias("summary"))))
-    return tokens.select("id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select("i.topic", "id", "i.summary")
+        q = Query(query)
+        terms = F.array_join(F.filter(F.array(*[F.when(bites(F.col("folded"), t), t) for t in q.words]), lambda x: x.isNotNull()), ", ")
+        verbatim = F.regexp_replace(T.excerpt(F.col("text"), q.words), "^… | …$", "")
+        found.append(F.when(q.matches(F.col("stemmed")), F.struct(F.lit(topic).alias("topic"), verbatim.alias("verbatim"), F.concat(F.lit("mots-clés : "), terms).alias("summary"))))
+    return own.select("id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select("i.topic", "id", "i.verbatim", "i.summary")
 
 
 def uncovered(docs: DataFrame, instances: DataFrame, limit: int | None = None) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed
 from .functions import spans as S
 from .functions import text as T
+from .storage import shared_folder
 from .operators import coverage, duplicates, evaluation, geography, hierarchy, layers, reading, search, segmentation, taxonomy, topics, typology
 
 QUERIES: dict = {}
@@ -115,12 +118,17 @@ def duplicate_groups(spark, sf):
     return duplicates.groups(duplicate_input(spark, sf)).select("group_id", "id", "size", "places")
 
 
-@query(f"with {SHINGLES} select count(*) > 0 as some, count(distinct a) as firsts, count(distinct b) as seconds from (select b, min(a) as a from pairs group by b)")
+@query(f"with {SHINGLES} select b as id, min(a) as earliest from pairs group by b")
 def near_duplicate_pairs(spark, sf):
-    """Every document that repeats an earlier one, with the earliest it is linked to."""
-    pairs = duplicates.similar_pairs(duplicate_input(spark, sf))
-    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    return first.agg((F.count("*") > 0).alias("some"), F.count_distinct("a").alias("firsts"), F.count_distinct("b").alias("seconds"))
+    """Every document that is like an earlier one, with the earliest."""
+    return duplicates.earliest(duplicate_input(spark, sf))
+
+
+@query(f"""with recursive {SHINGLES}, edges as (select a, b from pairs union select b, a from pairs), reach as (select a as node, a as root from edges union select e.a, r.root from edges e join reach r on e.b = r.node and r.root < e.a),
+    roots as (select node, min(root) as root from reach group by node)
+    select root as group_id, count(*) as size, count(distinct source) as places from roots join documents on node = doc_id group by root order by places desc, size desc, root limit 10""")
+def largest_groups(spark, sf):
+    return duplicates.largest(duplicates.groups(duplicate_input(spark, sf)))
 
 
 @query(f"""with recursive {SHINGLES}, edges as (select a, b from pairs union select b, a from pairs), reach as (select a as node, a as root from edges union select e.a, r.root from edges e join reach r on e.b = r.node and r.root < e.a),
@@ -189,6 +197,35 @@ def search_hits(spark, sf):
     return search.search(docs, 'token or "of the" -der').select("id", F.round("rank", 6).alias("rank"), "snippet")
 
 
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark, sf):
+    """The folder of the tables' search index, written once in a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in INDEXES:
+        path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        search.write_index(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), path)
+        INDEXES[key] = path
+    return INDEXES[key]
+
+
+@query(f"with {SEARCHED} select doc_id as id, 0.1 * len(list_filter(string_split(t, ' '), lambda x: x = 'token')) as rank from s where contains(t, ' token ') and not contains(t, ' der ')")
+def search_index_ranked(spark, sf):
+    return search.find(spark, index(spark, sf), "token -der").select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(f"with {SEARCHED} select doc_id as id from s where (contains(t, ' of the ') or contains(t, ' token ')) and contains(t, ' with ')")
+def search_index_phrases(spark, sf):
+    return search.find(spark, index(spark, sf), '"of the" or token with').select("id")
+
+
+@query()
+def search_index_hits(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return search.search_index(docs, index(spark, sf), 'token or "of the" -der').select("id", F.round("rank", 6).alias("rank"), "snippet")
+
+
 GRID = {"secret": "token", "german": "der und", "spanish": "que -der", "french": "les"}
 
 
@@ -344,8 +381,8 @@ def code_departments(spark, sf):
 def code_reconciliation(spark, sf):
     o = table(spark, sf, "orders")
     code = lambda n: F.lpad((F.col("o_orderkey") % n).cast("string"), 5, "0")
-    file = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("CC_01000_190304_"), code(1000), F.lit("_MD_15462.pdf")))
-    header = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("Cahier citoyen\nBOURG-EN-BRESSE - "), code(500), F.lit("\n01000")))
+    file = F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("CC_01000_190304_"), code(1000), F.lit("_XY_77.pdf")))
+    header = F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("Cahier citoyen\nMONT-SUR-LAC - "), code(500), F.lit("\n01000")))
     got = geography.reconcile(geography.code_of_file(file), geography.code_of_header(header))
     return o.select(F.col("o_orderkey").alias("id"), got.alias("g")).select("id", "g.code", "g.origin")
 

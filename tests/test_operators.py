@@ -109,15 +109,96 @@ def test_pii_spans_merge_and_render(spark):
     assert len(df[0]["s"]) == len(spans) and df[1]["s"] == []
 
 
-def test_snippets_chunks_wer():
-    text = "mot " * 200 + "impôts locaux " + "fin " * 200
-    cut = S.snippet(text, S.query_terms('"impôt" -taxe ou'))
-    assert "impôts" in cut and cut.startswith("… ") and cut.endswith(" …") and len(cut) < 350
-    assert S.snippet("court", ["x"]) == "court" and S.snippet("", ["x"]) == ""
+def plain_excerpt(text, words, width=260):
+    """The excerpt in plain Python, on texts whose folding keeps every character's place."""
+    import re
+
+    own = " ".join(text.split())
+    if len(own) <= width:
+        return own
+    folded, places = "".join(T.fold_word(c) for c in own), []
+    for w in words:
+        for n in range(len(w), 3, -1):
+            if m := re.search(r"\b" + w[:n], folded):
+                places.append(m.start())
+                break
+    at = min(places, default=0)
+    blanks = [-1, *[i for i, c in enumerate(own) if c == " "], len(own)]
+    low = max(0, at - width // 3)
+    word = max(i for i in blanks if i < low or i == -1) + 1
+    start = word if low - word <= 40 else low
+    aim = min(len(own), max(start, at - width // 3) + width)
+    stop = min(i for i in blanks if i >= aim)
+    end = stop if stop - aim <= 40 else aim
+    return "… " * (start > 0) + own[start:end] + " …" * (end < len(own))
+
+
+def test_excerpts_against_plain_python(spark):
+    rng = random.Random(5)
+    vocabulary = ["impôts", "Impôt", "gare", "été", "a", "taxation", "x" * 90, "train,", "école.", "le"]
+    texts = [" \n".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 160))) for _ in range(150)] + ["mot " * 200 + "impôts locaux " + "fin " * 200, "y" * 600]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    for query in ('"impôt" -gare ou', "gare train", "rien", "taxations é"):
+        words = search.Query(query).words
+        got = [r["x"] for r in df.select(T.excerpt(F.col("t"), words).alias("x")).collect()]
+        assert got == [plain_excerpt(t, words) for t in texts] + [""], query
+    assert search.Query('"Impôts locaux" ou été -taxe impots 12').words == ["impots", "locaux", "ete"]
+
+
+def test_chunks_and_wer():
     assert S.sentence_chunks("", 5) == [""] and S.sentence_chunks("a b c\nd e\nf", 3) == ["a b c", "d e\nf"]
     assert S.word_error_rate("a b c", "a x c d") == pytest.approx(2 / 3) and S.word_error_rate("", "") == 0 and S.word_error_rate("", "a") == 1
 
 
+def plain_rank(tokens, demands):
+    """Cover density by trying every stretch: those that meet all demands and hold no shorter one."""
+    at = [(i, {k for k, ws in enumerate(demands) if w in ws}) for i, w in enumerate(tokens)]
+    at = [(i, ks) for i, ks in at if ks]
+    full = [(x, y) for x in range(len(at)) for y in range(x, len(at)) if set().union(*[ks for _, ks in at[x : y + 1]]) == set(range(len(demands)))]
+    least = [(x, y) for x, y in full if not any((u, v) != (x, y) and x <= u and v <= y for u, v in full)]
+    return sum(0.1 / (1 + at[y][0] - at[x][0] - (y - x)) for x, y in least)
+
+
+def test_rank_and_index(spark, tmp_path):
+    rng = random.Random(8)
+    texts = {i: " ".join(rng.choice(["gare", "train", "trains", "impot", "maire", "et", "x"]) for _ in range(rng.randint(0, 25))) for i in range(80)}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()] + [(900, None)], "id long, text string")
+    search.write_index(docs, str(tmp_path / "index"))
+    for query, demands in (("gare", [{"gare"}]), ("gare train", [{"gare"}, {"train"}]), ("gare ou train impot", [{"gare", "train"}, {"impot"}]), ('"gare train" -"maire maire"', [{"gare"}, {"train"}])):
+        direct = {r["id"]: r for r in search.search(docs, query, limit=100).collect()}
+        found = {r["id"]: r for r in search.search_index(docs, str(tmp_path / "index"), query, limit=100).collect()}
+        assert {i: (round(r["rank"], 9), r["snippet"]) for i, r in direct.items()} == {i: (round(r["rank"], 9), r["snippet"]) for i, r in found.items()} and direct
+        for i, r in found.items():
+            tokens = [search.stem(w) for w in texts[i].split()]
+            assert r["rank"] == pytest.approx(plain_rank(tokens, demands)), (query, texts[i])
+        if query.startswith('"'):
+            assert set(found) == {i for i, t in texts.items() if " gare train " in f" {t.replace('trains', 'train')} " and " maire maire " not in f" {t} "}
+    with pytest.raises(ValueError):
+        search.find(spark, str(tmp_path / "index"), "-gare")
+
+
+def test_candidates_of_large_bands_are_complete(spark):
+    """More documents than a small band holds, of every similarity around the threshold."""
+    rng, rows = random.Random(4), []
+    base = [f"w{i}" for i in range(80)]
+    for k in range(120):
+        own = list(base)
+        for j in rng.sample(range(16), rng.randint(0, 3)):
+            own[j * 5] = f"own{k}x{j}"
+        rows.append((k, " ".join(own), "p"))
+    docs = spark.createDataFrame(rows, "id long, text string, place string")
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(76)} for i, t, _ in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]), i)
+    want = {(a, b) for a, b in near if first[frozenset(sets[a])] == a and (first[frozenset(sets[b])] == b or first[frozenset(sets[b])] == a)}
+    got = {(r["a"], r["b"]) for r in duplicates.similar_pairs(docs).collect()}
+    assert got == want and len(want) > 100
+    assert {(r["a"], r["b"]) for r in duplicates.similar_pairs(docs, exact=True).collect()} == want
+    assert {r["id"]: r["earliest"] for r in duplicates.earliest(docs).collect()} == {b: min(a for a, x in near if x == b) for _, b in near}
+
+
 def test_duplicates_and_components(spark):
     base = " ".join(f"w{i}" for i in range(60))
     rows = [(1, base, "a"), (2, base, "b"), (3, base + " tail", None), (4, "something else entirely here now", "a"), (5, "", "a")]
@@ -175,10 +256,10 @@ def test_taxonomy(spark):
 
 
 def test_geography(spark):
-    assert one(spark, "CC_01000_190304_2A053_MD_15462.pdf", geography.code_of_file) == "2A053" and one(spark, "CC_01000_190304_00000_MD_1.pdf", geography.code_of_file) is None
+    assert one(spark, "CC_01200_190411_2B077_XY_77.pdf", geography.code_of_file) == "2B077" and one(spark, "CC_01200_190411_00000_XY_1.pdf", geography.code_of_file) is None
     assert [one(spark, c, geography.department) for c in ("97411", "2A004", "01053", "00000")] == ["974", "2A", "01", None]
-    names = spark.createDataFrame([("TORCE VIVIERS EN CHARNIE",), ("TORCÉ-VIVIERS-EN-CHARNIE",), (" ",)], "name string")
-    assert geography.spellings(names).first()["shown"] == "TORCÉ-VIVIERS-EN-CHARNIE"
+    names = spark.createDataFrame([("PRE LA FORET",), ("PRÉ-LA-FORÊT",), (" ",)], "name string")
+    assert geography.spellings(names).first()["shown"] == "PRÉ-LA-FORÊT"
     places = spark.createDataFrame([("1", "COM", None), ("2", "COMD", "1"), ("3", "COM", None), ("4", "COM", None)], "code string, kind string, parent_code string")
     moves = spark.createDataFrame([("3", "5", "2021"), ("3", "6", "2020"), ("6", "7", "2022"), ("4", "8", "2020"), ("8", "4", "2021")], "from_code string, to_code string, date string")
     got = {r["code"]: r["current"] for r in geography.current_codes(places, moves, spark.createDataFrame([("1",), ("7",)], "code string")).collect()}
