@@ -19,8 +19,8 @@ LETTER, NUMBER, OTHER, BLANK, SPACE, ODD = 1, 2, 3, 4, 5, 6
 #: White space by code point, and the endings cut off after an apostrophe.
 WHITE = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
-#: Distinct words that a worker remembers, and slots of its table of them.
-REMEMBERED, SLOT_BITS = 400_000, 19
+#: Distinct words that a worker remembers (some 40 bytes each), and slots of its table of them.
+REMEMBERED, SLOT_BITS = 1_500_000, 19
 
 
 def _classes() -> np.ndarray:
@@ -47,8 +47,8 @@ class Ids:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[int, int] = {}
-        self.first, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)  # known words by hash
+        self.first, self.count, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
         self.slot_key, self.slot_word = np.zeros(1 << SLOT_BITS, np.uint64), np.zeros(1 << SLOT_BITS, np.int64)
 
     def starts(self, points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,25 +86,54 @@ class Ids:
         if not len(miss):
             return word
         keys, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-        numbers, new = np.zeros(len(keys), np.int64), []
-        for k, (key, i) in enumerate(zip(keys.tolist(), miss[where].tolist())):
-            numbers[k] = own = self.number.setdefault(key, len(self.number))
-            if own == len(self.first) + len(new):
-                raw = points[start[i] : end[i]].astype("<u4").tobytes().decode("utf-32-le").encode()
-                new.append([t.id for t in self.whole.model.tokenize(raw.decode("latin-1").translate(self.chars))])
-        if new:
-            sizes = np.array([len(x) for x in new])
-            self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.count = np.concatenate([self.count, sizes])
-            self.flat = np.concatenate([self.flat, np.array([t for x in new for t in x], dtype=np.uint32)])
+        place = np.searchsorted(self.keys, keys)
+        at = np.minimum(place, max(len(self.keys) - 1, 0))
+        numbers = self.number[at].astype(np.int64) if len(self.keys) else np.zeros(len(keys), np.int64)
+        new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+        if len(new):
+            i = miss[where[new]]
+            numbers[new] = len(self.first) + np.arange(len(new))
+            first, sizes, ids = self._merged(points, start[i], end[i])
+            self.first = np.concatenate([self.first, (len(self.flat) + first).astype(np.int32)])
+            self.count = np.concatenate([self.count, sizes.astype(np.int32)])
+            self.flat = np.concatenate([self.flat, ids])
+            self.keys = np.insert(self.keys, place[new], keys[new])
+            self.number = np.insert(self.number, place[new], numbers[new])
         word[miss] = numbers[back]
         slot = (keys >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         self.slot_key[slot], self.slot_word[slot] = keys, numbers
         return word
 
+    def _merged(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of each of these words begin and how many there are, and all ids.
+
+        Words of a blank and letters keep apart when they are written one after the other, so they
+        are merged as one text; others one by one.
+        """
+        cls = self.classes[np.minimum(points, 0x10000)]
+        letters = np.concatenate([[0], np.cumsum(cls == LETTER)])
+        plain = (cls[start] == BLANK) & (end - start > 1) & (letters[end] - letters[start] == end - start - 1)
+        first, sizes, parts, held = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), [np.zeros(0, np.uint32)], 0
+        some = np.flatnonzero(plain)
+        if len(some):
+            n = end[some] - start[some]
+            chars = points[np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            found = self.whole.encode(chars.astype("<u4").tobytes().decode("utf-32-le"), add_special_tokens=False)
+            ids, words = np.array(found.ids, dtype=np.uint32), np.array(found.word_ids, dtype=np.int64)
+            edges = np.append(np.flatnonzero(np.append(True, words[1:] != words[:-1])), len(ids))
+            if len(edges) == len(some) + 1:
+                first[some], sizes[some], held = edges[:-1], np.diff(edges), len(ids)
+                parts.append(ids)
+        for k in np.flatnonzero(sizes == 0).tolist():
+            raw = points[start[k] : end[k]].astype("<u4").tobytes().decode("utf-32-le").encode()
+            ids = np.array([t.id for t in self.whole.model.tokenize(raw.decode("latin-1").translate(self.chars))], dtype=np.uint32)
+            first[k], sizes[k], held = held, len(ids), held + len(ids)
+            parts.append(ids)
+        return first, sizes, np.concatenate(parts)
+
     def block(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of consecutive texts, where each text's begin, and which texts must be encoded whole."""
-        if len(self.number) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self._forget()
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64), np.zeros(len(offsets) - 1, dtype=bool)
@@ -115,7 +144,7 @@ class Ids:
             offsets = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
         start, cls = self.starts(points, offsets)
         word = self._words(points, start, np.append(start[1:], len(points)))
-        count = self.count[word]
+        count = self.count[word].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(count)])
         ids = self.flat[np.repeat(self.first[word] - total[:-1], count) + np.arange(total[-1])]
         odd = np.zeros(len(offsets) - 1, dtype=bool)
@@ -137,3 +166,15 @@ class Ids:
                     yield np.array(self.whole.encode(column[lo + r].as_py(), add_special_tokens=False).ids, dtype=np.uint32)
                 else:
                     yield ids[at[r] : at[r + 1]]
+
+
+def worker_ids(tokenizer_path: str) -> Ids:
+    """This worker's ids under a tokenizer: they outlive the task, and so do the words they know."""
+    import sys
+    import types
+
+    state = sys.modules.setdefault("corpuslens_worker_state", types.ModuleType("corpuslens_worker_state"))
+    known = vars(state).setdefault("ids", {})
+    if tokenizer_path not in known:
+        known[tokenizer_path] = Ids(tokenizer_path)
+    return known[tokenizer_path]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import kept, only
-from ._tokens import Ids
+from ._tokens import worker_ids
 
 CAPACITY, END_ID = 2048, 0
 BLOCK_ITEMS, ISLANDS, EPOCHS = 4096, 2, 3
@@ -48,7 +48,7 @@ def cut_pieces(batches: Iterator[pa.RecordBatch], tokenizer_path: str, capacity:
     for batch in batches:
         out: list[list] = [[] for _ in range(6)]
         if batch.num_rows:
-            ids = ids or Ids(tokenizer_path)
+            ids = ids or worker_ids(tokenizer_path)
             # Row numbers hold the task's number above 33 bits, so pieces of tasks never meet.
             pid = batch.column("row")[0].as_py() >> 33 << 33 if pid is None else pid
         for doc, own in zip(batch.column("doc_id").to_pylist(), ids.batch(batch.column("text")) if ids else ()):
