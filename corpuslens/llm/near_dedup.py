@@ -49,7 +49,7 @@ TABLE_BITS = 16
 
 #: Neighbours in an order that a member is compared with, round after round as long as so large
 #: a part of the pairs are links; then all that are left are compared.
-BESIDE, FRUITFUL = 16, 0.2
+BESIDE, FRUITFUL = 16, 0.01
 
 SIGNED = "row long, doc_id long, h1 long, h2 int, size long, bands array<long>"
 
@@ -243,32 +243,35 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     classes = components(links)
     # Bands that still join different classes: small ones pair by pair; the members of large
     # ones exactly, by the rare shingles that similar texts must share.
-    mixed = _mixed(in_bands, classes)
+    mixed = kept(_mixed(in_bands, classes))
     pairs = _pairs_across(mixed.filter(F.col("n") <= SMALL_BAND))
     crowd = kept(mixed.filter(F.col("n") > SMALL_BAND).select("node").distinct())
     if crowd.isEmpty():
         more = verify(pairs.distinct())
     else:
-        rare = kept(_prefixes(crowd, texts, docs, common, similarity))
+        crowd_texts = _texts_of(_keys_of(crowd, texts), docs)
+        rare = kept(_prefixes(crowd_texts, common, similarity))
         star = rare.groupBy("band").agg(F.min_by(F.struct("node", "total", "rest"), "node").alias("l"))
         near = lambda total, rest: F.least("rest", rest) >= (similarity / (1 + similarity) - 1e-9) * (F.col("total") + total)
         stars = rare.join(star, "band").filter((F.col("node") != F.col("l.node")) & near(F.col("l.total"), F.col("l.rest"))).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-        more, turn = verify(pairs.unionByName(stars).distinct()), 0
+        more = verify(pairs.distinct()).unionByName(_compared(kept(stars.distinct()), crowd_texts, common, similarity))
+        roots, turn = kept(crowd.join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("root"))), 0
+        found = more
         while True:
-            if not more.isEmpty():
-                links = kept(links.unionByName(more))
-                classes = components(links)
-            left = _mixed(rare.select("band", "node"), classes)
-            left = kept(rare.join(left.select("band", "node", "root"), ["band", "node"]))
+            roots = _united(roots, found)
+            left = kept(_mixed(rare, roots))
             order = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(turn)), "node").rowsBetween(-BESIDE, -1)
             beside = left.withColumn("o", F.collect_list(F.struct("node", "root", "total", "rest")).over(order)).withColumn("o", F.explode("o")).filter((F.col("root") != F.col("o.root")) & near(F.col("o.total"), F.col("o.rest")))
             beside = kept(beside.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct())
-            more, turn = verify(beside), turn + 1
-            if more.count() <= FRUITFUL * beside.count():
+            found, turn = _compared(beside, crowd_texts, common, similarity), turn + 1
+            more = more.unionByName(found)
+            if found.count() <= FRUITFUL * beside.count():
                 break
+        roots = _united(roots, found)
+        left = kept(_mixed(rare, roots))
         other = left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("total").alias("total_b"), F.col("rest").alias("rest_b"))
         across = left.join(other, "band").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & near(F.col("total_b"), F.col("rest_b"))).select(F.col("node").alias("a"), "b")
-        more = more.unionByName(verify(across.distinct()))
+        more = more.unionByName(_compared(kept(across.distinct()), crowd_texts, common, similarity))
     if not more.isEmpty():
         links = kept(links.unionByName(more))
         classes = components(links)
@@ -290,10 +293,19 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...], similarity: float = S
 
 
 def _mixed(in_bands: DataFrame, classes: DataFrame) -> DataFrame:
-    """band, node, root and size n of the bands that hold more than one class."""
-    known = in_bands.join(classes, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    """The rows of bands that hold more than one class, with root and the number n in the band;
+    nodes without a class are classes of their own."""
+    known = in_bands.drop("leader", "n").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("band", "n")
-    return kept(known.join(several, "band"))
+    return known.join(several, "band")
+
+
+def _united(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """node and root, after classes with links between them are one."""
+    a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    ends = links.select("a", "b").join(a, "a").join(b, "b").filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    moved = components(ends).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return kept(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
 
 def _pairs_across(small: DataFrame) -> DataFrame:
@@ -325,14 +337,14 @@ def weigh_batches(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array(nodes[lo:hi][rows]), pa.array(h.view(np.int64)), pa.array(weights(h, counts, known))], names=["node", "band", "w"])
 
 
-def _prefixes(nodes: DataFrame, texts: DataFrame, docs: DataFrame, common, similarity: float) -> DataFrame:
+def _prefixes(crowd_texts: DataFrame, common, similarity: float) -> DataFrame:
     """band (a shingle), node, its total weight and the weight from this shingle on.
 
     A text's shingles are taken from the rarest on, until those left weigh less than the
     similarity times its total.  Similar texts share at least one shingle taken from both,
     and at their first the rest of each is at least the weight they must have in common.
     """
-    each = kept(_texts_of(_keys_of(nodes, texts), docs).mapInArrow(lambda batches: weigh_batches(batches, common), "node long, band long, w double"))
+    each = kept(crowd_texts.mapInArrow(lambda batches: weigh_batches(batches, common), "node long, band long, w double"))
     of_node = Window.partitionBy("node")
     ranked = each.join(each.groupBy("band").agg(F.count("*").alias("df")), "band").withColumn("total", F.sum("w").over(of_node))
     ranked = ranked.withColumn("rest", F.col("total") - F.sum("w").over(of_node.orderBy("df", "band")) + F.col("w"))
@@ -341,11 +353,15 @@ def _prefixes(nodes: DataFrame, texts: DataFrame, docs: DataFrame, common, simil
 
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, common, similarity: float) -> DataFrame:
     """The pairs (a < b) of texts whose weighted Jaccard similarity is high enough."""
-    likely = kept(pairs.select("a", "b"))
-    ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    whole = _texts_of(_keys_of(ends, texts), docs)
-    with_texts = likely.join(whole.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(whole.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    scored = with_texts.mapInArrow(lambda batches: similarities(batches, common), "a long, b long, similarity double")
-    out = kept(scored.filter(F.col("similarity") >= similarity))
-    drop(whole, likely)
+    pairs = kept(pairs.select("a", "b"))
+    whole = _texts_of(_keys_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts), docs)
+    out = _compared(pairs, whole, common, similarity)
+    drop(whole, pairs)
     return out
+
+
+def _compared(pairs: DataFrame, whole: DataFrame, common, similarity: float) -> DataFrame:
+    """The pairs whose texts (node, text) are similar enough."""
+    a, b = (whole.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    scored = pairs.join(a, "a").join(b, "b").mapInArrow(lambda batches: similarities(batches, common), "a long, b long, similarity double")
+    return kept(scored.filter(F.col("similarity") >= similarity))
