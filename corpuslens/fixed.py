@@ -83,7 +83,9 @@ QUERY_WORDS = ("or", "ou", "and", "et")
 # ---- fixed values: measures
 THRESHOLDS = (0.1, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5)
 POPULATION_STRATA = ((0, 500, "< 500"), (500, 2000, "500-2000"), (2000, 10000, "2000-10000"), (10000, None, ">= 10000"))
-OUTSIDE, UNKNOWN = "hors grille", "inconnue"
+OUTSIDE, UNKNOWN, MISSING = "hors grille", "inconnue", "N/C"
+TOP_TOPICS, LEAST_COVERED, GOLD_QUALITY, GOLD_CHARS = 25, 8, 0.9, (800, 4000)
+RENDER_DPI, REDRAW_SEEDS = 300, (0, 1, 2, 3)
 BANDS = (("A", 5, None), ("B", 3, 4), ("C", 0, 2))
 SAMPLE_FLOOR, SAMPLE_SIZE, SAMPLE_SEED = 10, 60, 20260910
 DELIVERY_RATE, DELIVERY_CHARS, DELIVERY_SAMPLE = 0.3, 40, 50

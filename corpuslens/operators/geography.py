@@ -107,3 +107,33 @@ def outlines(features: DataFrame) -> DataFrame:
     many = F.from_json("coordinates", "array<array<array<array<double>>>>")
     rings = F.when(F.col("type") == "Polygon", F.array(flip(F.get(one, 0)))).otherwise(F.transform(many, lambda p: flip(F.get(p, 0))))
     return features.select("code", rings.alias("rings"))
+
+
+def pivot_places(rows: DataFrame, departments: list[str] | None = None) -> DataFrame:
+    """One place for each code (code, name, kind, parent_code, department): a full commune beats a
+    delegated one of the same code; only the departments asked for, if any are."""
+    own = rows.filter(F.col("department").isin(*departments)) if departments else rows
+    w = Window.partitionBy("code").orderBy(F.when(F.col("kind") == "COM", 0).otherwise(1), "name")
+    return own.withColumn("place", F.row_number().over(w)).filter("place = 1").drop("place")
+
+
+def build_reference(rows: DataFrame, populations: DataFrame, coordinates: DataFrame, moves: DataFrame, today: DataFrame, departments: list[str] | None = None) -> DataFrame:
+    """Places of an old code list with population, rounded coordinates and what they are today.
+
+    ``populations`` may name a code twice: its first row (by pos) counts.  ``today`` has code and
+    name; a place without a chain to today's codes has none.  State: same, renamed, absorbed or
+    vanished.
+    """
+    places = pivot_places(rows, departments)
+    people = populations.groupBy("code").agg(F.min_by("population", "pos").alias("population"))
+    where = coordinates.groupBy("code").agg(F.round(F.avg("latitude"), 5).alias("latitude"), F.round(F.avg("longitude"), 5).alias("longitude"))
+    now = current_codes(places.select("code", "kind", "parent_code"), moves, today).select("code", F.col("current").alias("current_code"))
+    names = today.select(F.col("code").alias("current_code"), F.col("name").alias("current_name"))
+    out = places.join(people, "code", "left").join(where, "code", "left").join(now, "code", "left").join(names, "current_code", "left")
+    state = F.when(F.col("current_code").isNull(), "vanished").when(F.col("current_code") != F.col("code"), "absorbed").when(F.col("current_name") != F.col("name"), "renamed").otherwise("same")
+    return out.withColumn("state", state)
+
+
+def states(reference: DataFrame) -> DataFrame:
+    """How many places of each department are the same, renamed, absorbed or vanished."""
+    return reference.groupBy("department", "state").agg(F.count("*").alias("places"))

@@ -8,7 +8,6 @@ import subprocess
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from .. import fixed
 from ..functions import text as T
@@ -93,9 +92,24 @@ def resolve_documents(delivered: DataFrame, contributions: DataFrame, documents:
     return own.select(*delivered.columns, F.col("doc").alias("document_id"), F.coalesce("of_doc", "page").alias("contribution_id"))
 
 
+def orphans(delivered: DataFrame, existing: DataFrame) -> DataFrame:
+    """Delivered topics whose parent is neither delivered nor there already."""
+    known = delivered.select(F.col("external_id").alias("parent")).unionByName(existing.select(F.col("external_id").alias("parent")))
+    return delivered.filter("parent is not null").join(known, "parent", "left_anti")
+
+
+def _labels(delivered: DataFrame) -> DataFrame:
+    return delivered.select("external_doc_id", F.explode("labels").alias("l")).withColumn("name", F.replace("l.name", F.lit("\u0000"), F.lit("")))
+
+
+def unknown_labels(delivered: DataFrame, topics: DataFrame) -> DataFrame:
+    """Labels whose name no topic has: how often each was dropped."""
+    return _labels(delivered).join(topics.select("name"), "name", "left_anti").groupBy("name").agg(F.count("*").alias("n"))
+
+
 def instances_of(delivered: DataFrame, topics: DataFrame) -> DataFrame:
     """Labels (external_doc_id, labels: name, rationale, extract) as rows; unknown names are dropped."""
-    each = delivered.select("external_doc_id", F.explode("labels").alias("l")).withColumn("name", F.replace("l.name", F.lit("\u0000"), F.lit("")))
+    each = _labels(delivered)
     return each.join(topics.select(F.col("name"), F.col("external_id").alias("topic")), "name").select("external_doc_id", "topic", F.col("l.extract").alias("verbatim"), F.col("l.rationale").alias("summary"))
 
 
@@ -132,19 +146,63 @@ def enrich_places(places: DataFrame, reference: DataFrame) -> DataFrame:
     return places.join(r, "code", "left").select(*places.columns, F.col("ref_name").alias("official_name"), "ref_population", state.alias("state"))
 
 
-def pack_lots(requests: DataFrame, size: str = "size", limit: int = fixed.LOT_BYTES) -> DataFrame:
-    """A lot number for every request (id, size), filled in order of id up to a size.
+def load_delivery(topics: DataFrame, delivered_topics: DataFrame, delivered: DataFrame, contributions: DataFrame, documents: DataFrame, texts: DataFrame, least: float = fixed.DELIVERY_RATE) -> dict:
+    """Topics and instances of a delivery, attached to documents if enough of its extracts are
+    found in their texts (doc, text); else instances keep their external keys only.
 
-    Lots of each of a few id ranges are packed greedily in one pass over that range.
+    Gives the two tables and what was counted: tested, found, orphans, dropped labels, attached.
     """
-    def pack(pdf):
-        lot, used, out = 0, 0, []
-        for n in pdf.sort_values("id")[size]:
-            if used and used + n > limit:
-                lot, used = lot + 1, 0
-            used += n
-            out.append(lot)
-        return pdf.sort_values("id").assign(lot=out)
-
-    ranges = requests.withColumn("part", (F.col("id") / 1_000_000).cast("long"))
-    return ranges.groupBy("part").applyInPandas(pack, ST.StructType([*ranges.schema.fields, ST.StructField("lot", ST.LongType())]))
+    out = load_topics(topics, delivered_topics)
+    instances = instances_of(delivered, out)
+    resolved = resolve_documents(instances, contributions, documents)
+    rate = match_rate(resolved.filter("document_id is not null").select(F.col("document_id").alias("doc"), F.col("verbatim").alias("extract")), texts).first()
+    attached = rate["tested"] > 0 and rate["found"] / rate["tested"] >= least
+    if not attached:
+        resolved = resolved.withColumns({c: F.lit(None).cast("long") for c in ("document_id", "contribution_id")})
+    counts = {"tested": rate["tested"], "found": rate["found"], "attached": attached, "orphans": orphans(delivered_topics, topics).count(), "dropped": unknown_labels(delivered, out).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]}
+    return {"topics": out, "instances": resolved, "counts": counts}
+
+
+def reopen_run(runs: DataFrame, kind: str, source: str, label: str, who: str | None = None, **fields: str) -> tuple[DataFrame, int]:
+    """The newest run of a source with its fields renewed, or a new one that is not active."""
+    found = runs.filter((F.col("kind") == kind) & (F.col("source") == source)).agg(F.max("id")).first()[0]
+    if found is None:
+        return create_run(runs, kind, label, who, source=source, **fields)
+    return runs.withColumns({c: F.when(F.col("id") == found, F.lit(v)).otherwise(F.col(c)) for c, v in fields.items()}), found
+
+
+def check_kind(runs: DataFrame, ident: int, kind: str) -> None:
+    """Refuses a run that is not there or of another kind."""
+    found = runs.filter(F.col("id") == ident).select("kind").first()
+    if found is None or found["kind"] != kind:
+        raise ValueError(f"no run {ident} of {kind}")
+
+
+def insert_pages(pages: DataFrame, done: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages of files that are not there yet, and a contribution for each: a file is all new or
+    not new at all.  Ids follow file and page."""
+    fresh = pages.join(done.select("file").distinct(), "file", "left_anti").withColumn("contribution_id", F.xxhash64("file", "page"))
+    contributions = fresh.select(F.col("contribution_id").alias("id"), T.find_city(F.col("text")).alias("city"), F.col("file").alias("pdf_file"), F.col("page").alias("start_page"), F.col("page").alias("end_page"))
+    return fresh, contributions
+
+
+def segment_rows(segments: DataFrame, pages: DataFrame) -> DataFrame:
+    """Segments (register, position, start_page, ...) with the contribution of their opening page and
+    the first city that is not empty from there on in the register."""
+    p = pages.select("register", F.col("page").alias("start_page"), F.col("contribution_id"), F.nullif(T.strip(F.coalesce("city", F.lit(""))), F.lit("")).alias("city"))
+    ahead = Window.partitionBy("register").orderBy("start_page").rowsBetween(0, Window.unboundedFollowing)
+    return segments.join(p.withColumn("city", F.first("city", ignorenulls=True).over(ahead)), ["register", "start_page"], "left")
+
+
+def populate_places(places: DataFrame, contributions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places with those of new codes, named by their richest spelling, and contributions with codes
+    from their files.  Places that are there stay as they are; doing it twice changes nothing."""
+    from . import geography
+
+    coded = contributions.withColumn("city_code", F.coalesce("city_code", geography.code_of_file(F.col("pdf_file"))))
+    spelled = coded.filter("city_code is not null and city is not null").groupBy("city_code", "city").agg(F.count("*").alias("n"))
+    best = spelled.groupBy("city_code").agg(F.min_by("city", F.struct(-geography.richness(F.col("city")), -F.col("n"), "city")).alias("name"))
+    new = best.join(places.select(F.col("code").alias("city_code")), "city_code", "left_anti")
+    have = {"code": F.col("city_code"), "name": F.col("name"), "department": geography.department(F.col("city_code"))}
+    rows = new.select(*[have.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in places.schema.fields])
+    return places.unionByName(rows), coded

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..storage import materialised
+from .components import components
 
 
 def weighted_detections(instances: DataFrame) -> DataFrame:
@@ -82,49 +84,89 @@ def text_coverage(texts: DataFrame, verbatims: DataFrame, normal) -> DataFrame:
     return out.select("doc", F.length("t").alias("length"), F.aggregate(spans, start, merge, lambda s: s["sum"]).alias("covered"), F.size(F.filter("found", lambda x: x["at"] == 0)).alias("missing"))
 
 
-def nearest_name(names: DataFrame, candidates: DataFrame) -> DataFrame:
+def most_like(name: str, known: list[str]) -> str | None:
+    """The first of the names with the largest Ratcliff-Obershelp ratio; names whose letters alone
+    rule that out are not compared."""
+    import difflib
+
+    matcher, best, best_ratio = difflib.SequenceMatcher(None, "", ""), None, -1.0
+    matcher.set_seq2(name)
+    for k in known:
+        matcher.set_seq1(k)
+        if best_ratio >= 0 and (matcher.real_quick_ratio() <= best_ratio or matcher.quick_ratio() <= best_ratio):
+            continue
+        # The ratio depends on the order of the two: it is that of (name, candidate).
+        ratio = difflib.SequenceMatcher(None, name, k).ratio()
+        if ratio > best_ratio:
+            best, best_ratio = k, ratio
+    return best
+
+
+def nearest_name(names: DataFrame, candidates: DataFrame, level: int | None = None) -> DataFrame:
     """For each name the candidate most like it by Ratcliff-Obershelp; the first of equals.
 
-    ``candidates`` (name, pos) is a topic grid: it goes to every task as a list after a check
-    of its size.
+    ``candidates`` (name, pos, and level if one is asked for) is a topic grid: it goes to every
+    task as a list after a check of its size.
     """
-    import difflib
-
-    known = [r["name"] for r in candidates.orderBy("pos").limit(100_001).select("name").collect()]
+    grid = candidates if level is None else candidates.filter(F.col("level") == level)
+    known = [r["name"] for r in grid.orderBy("pos").limit(100_001).select("name").collect()]
     if len(known) > 100_000:
         raise ValueError("a grid of more than 100000 topics is no grid")
 
     def match(batches):
         for batch in batches:
-            yield batch.assign(nearest=[max(known, key=lambda k: difflib.SequenceMatcher(None, n or "", k).ratio(), default=None) for n in batch["name"]])
+            yield batch.assign(nearest=[most_like(n or "", known) for n in batch["name"]])
 
     return names.select("name").mapInPandas(match, "name string, nearest string")
 
 
-def cluster_by_level(vectors: DataFrame, similarity: float = 0.8) -> DataFrame:
+def reduced(vectors: DataFrame, dimensions: int = 5) -> DataFrame:
+    """level, id and vector in few dimensions: principal components stand in for the reference's
+    manifold projection, which has no counterpart here.  Never more dimensions than rows less two."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    n, wide = vectors.count(), vectors.select(F.max(F.size("vector"))).first()[0] or 0
+    k = min(dimensions, wide, n - 2)
+    if k < 1:
+        return vectors.select("level", "id", "vector")
+    own = vectors.withColumn("v", array_to_vector(F.col("vector").cast("array<double>")))
+    return PCA(k=k, inputCol="v", outputCol="p").fit(own).transform(own).select("level", "id", vector_to_array("p").alias("vector"))
+
+
+def cluster_by_level(vectors: DataFrame, similarity: float = 0.8, block_rows: int = 1024) -> DataFrame:
     """level, id and cluster: vectors of one level whose cosine similarity chains reach the
-    threshold; those without a neighbour are clusters of their own.  Levels are topic grids:
-    each fits a task."""
+    threshold; those without a neighbour are clusters of their own.  Clusters are numbered by a
+    member.
+
+    Chains at a threshold stand in for the reference's density clustering.  Every two blocks of
+    a level meet in one task, which tells of them only a forest of what it joins.
+    """
+    rows = materialised(vectors.select("level", F.col("id"), F.col("vector").cast("array<double>").alias("vector")).withColumn("node", F.xxhash64(F.coalesce(F.col("level").cast("string"), F.lit("")), F.col("id").cast("string"))))
+    sizes = rows.groupBy("level").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(sizes), "level").withColumn("block", F.pmod("node", "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    meet = dealt.withColumn("other", other).select("level", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "vector")
 
-    def cluster(pdf):
+    def join(pdf):
         import numpy as np
+        import pandas as pd
 
-        v = np.array(pdf["vector"].tolist(), dtype=float)
+        v, nodes = np.array(pdf["vector"].tolist(), dtype=float), pdf["node"].to_numpy()
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        root = list(range(len(v)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        for i in range(len(v)):
-            for j in np.flatnonzero(v[i + 1 :] @ v[i] >= similarity) + i + 1:
-                root[find(int(j))] = find(i)
-        return pdf[["level", "id"]].assign(cluster=[find(i) for i in range(len(v))])
+        near, root = v @ v.T >= similarity, np.arange(len(v))
+        for _ in range(len(v)):
+            low = np.where(near, root[None, :], len(v)).min(axis=1)
+            low = np.minimum(low, root)
+            if (low == root).all():
+                break
+            root = low
+        other = np.flatnonzero(root != np.arange(len(v)))
+        return pd.DataFrame({"a": nodes[root[other]], "b": nodes[other]})
 
-    return vectors.groupBy("level").applyInPandas(cluster, "level int, id string, cluster long")
+    links = meet.groupBy("level", "i", "j").applyInPandas(join, "a long, b long")
+    known = components(links)
+    return rows.select("level", "id", "node").join(known, "node", "left").select("level", "id", F.coalesce("root", "node").alias("cluster"))
 
 
 def ask(prompts: DataFrame, client, schema: str = "id string, answer string") -> DataFrame:
@@ -145,5 +187,5 @@ def prompts_by_chunk(topics_of_chunk: DataFrame) -> DataFrame:
 
 
 def last_labels(labels: DataFrame) -> DataFrame:
-    """One label for each document and name: the last; labels of topics not found there go."""
-    return labels.groupBy("doc", "name").agg(F.max_by(F.struct("rationale", "extract"), "pos").alias("l"), F.min("pos").alias("pos")).select("doc", "name", "pos", "l.*")
+    """One label for each document and name: the last (by pos)."""
+    return labels.groupBy("doc", "name").agg(F.max_by(F.struct("rationale", "extract"), "pos").alias("l"), F.max("pos").alias("pos")).select("doc", "name", "pos", "l.*")

@@ -411,11 +411,11 @@ def active_runs(spark, sf):
     return layers.latest_run(run_table(spark, sf), "kind").select("kind", "id")
 
 
-@query("""select doc_id, quality, toxic from (select * from labels where doc_id % 4 <> 0 union all select l.doc_id, 1 - quality, toxic from labels l where doc_id % 4 = 0 union all select doc_id, 1, 0 from documents where doc_id % 4 = 1 and doc_id not in (select doc_id from labels) and doc_id < 100) where not (quality = 0 and toxic = 0)""")
+@query("""select doc_id, quality, toxic from (select * from labels where doc_id % 4 <> 0 union all select l.doc_id, 1 - quality, toxic from labels l where doc_id % 4 = 0 union all select doc_id, 1, 0 from documents where doc_id % 4 = 1 and doc_id not in (select doc_id from labels)) where not (quality = 0 and toxic = 0)""")
 def annotation_upsert(spark, sf):
     labels, docs = table(spark, sf, "labels"), table(spark, sf, "documents")
     changed = labels.filter("doc_id % 4 = 0").withColumn("quality", (1 - F.col("quality")).cast("int"))
-    added = docs.filter("doc_id % 4 = 1 and doc_id < 100").select("doc_id").join(labels, "doc_id", "left_anti").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    added = docs.filter("doc_id % 4 = 1").select("doc_id").join(labels, "doc_id", "left_anti").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
     return layers.upsert(labels, changed.select("doc_id", "quality", "toxic").unionByName(added), "doc_id", "quality = 0 and toxic = 0").select("doc_id", "quality", "toxic")
 
 
@@ -424,17 +424,16 @@ def ordered_concat(spark, sf):
     return reading.joined_text(table(spark, sf, "conversations").filter("text is not null"), "conv_id", "turn")
 
 
-def turns(spark, sf, size=None):
-    """Each even turn with the next, normalised; whole, or up to a size."""
+def turns(spark, sf):
+    """Each even turn with the next, whole and normalised."""
     c = table(spark, sf, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-    plain = lambda t: T.normalise(t) if size is None else F.substring(T.normalise(t), 1, size)
-    return c.filter("turn % 2 = 0").select("conv_id", "turn", plain(F.col("text")).alias("a")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), plain(F.col("text")).alias("b")), ["conv_id", "turn"])
+    return c.filter("turn % 2 = 0").select("conv_id", "turn", T.normalise(F.col("text")).alias("a")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), T.normalise(F.col("text")).alias("b")), ["conv_id", "turn"])
 
 
-@query(f"""with c as (select conv_id, turn, left({NORMAL.format('min(text)')}, 200) as x from conversations group by 1, 2)
+@query(f"""with c as (select conv_id, turn, {NORMAL.format('min(text)')} as x from conversations group by 1, 2)
     select p.conv_id, p.turn, round(case when length(p.x) = 0 then case when length(q.x) = 0 then 0.0 else 1.0 end else levenshtein(p.x, q.x) / length(p.x)::double end, 6) as cer from c p join c q on p.conv_id = q.conv_id and p.turn = q.turn - 1 where p.turn % 2 = 0 and p.x is not null and q.x is not null""")
 def cer_pairs(spark, sf):
-    return turns(spark, sf, 200).filter("a is not null and b is not null").select("conv_id", "turn", F.round(T.character_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
+    return turns(spark, sf).filter("a is not null and b is not null").select("conv_id", "turn", F.round(T.character_error_rate(F.col("a"), F.col("b")), 6).alias("cer"))
 
 
 @query()
@@ -542,10 +541,10 @@ def taxonomy_sanitise(spark, sf):
     return taxonomy.sanitise(topic_rows(spark, sf)).select("id", "name", F.array_join("sources", ",").alias("sources"), "parent", "level")
 
 
-@query("""with t as (select cast(p_partkey as varchar) as id, case when p_partkey % 41 = 0 then ' ' else p_type || ' ' || (p_partkey % 60) end as name, case when p_partkey % 3 <> 0 then cast(p_partkey * 2 as varchar) end as parent from part where p_partkey <= 400)
+@query("""with t as (select cast(p_partkey as varchar) as id, case when p_partkey % 41 = 0 then ' ' else p_type || ' ' || (p_partkey % 60) end as name, case when p_partkey % 3 <> 0 then cast(p_partkey * 2 as varchar) end as parent from part)
     select 'duplicate_name' as kind, name as subject from t group by name having count(*) > 1 union all select 'dangling_parent', id from t where parent is not null and parent not in (select id from t) union all select 'empty_field', id from t where trim(name) = ''""")
 def taxonomy_violations(spark, sf):
-    return taxonomy.violations(topic_rows(spark, sf).filter("pos <= 400"))
+    return taxonomy.violations(topic_rows(spark, sf))
 
 
 @query(r"select page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>(.|\n)*?</script>|<style\b[^>]*>(.|\n)*?</style>|<!--(.|\n)*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '[ \t\n\r]+', ' ', 'g')) as text from pages".replace('\\"', '"'))
@@ -589,3 +588,6 @@ def nearest_topic_name(spark, sf):
 def embedding_clusters(spark, sf):
     v = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("level"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
     return topics.cluster_by_level(v)
+
+
+from . import queries_views  # noqa: E402, F401  registers its queries here

@@ -11,11 +11,22 @@ from ..functions import text as T
 
 
 def list_files(spark: SparkSession, path: str, categories: tuple[str, ...] = fixed.CATEGORIES, pattern: str = "*.pdf", skipped: str = "A_lire") -> DataFrame:
-    """path, name, category and natural order of files anywhere below a folder; contents are not read."""
+    """path, name, category and natural order of files anywhere below a folder; contents are not read.
+
+    The order is that of the path below the folder.  A folder without such files is refused.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "modificationTime", "length")
     out = files.filter(~F.contains("path", F.lit(f"/{skipped}/"))).withColumn("name", F.element_at(F.split("path", "/"), -1))
     out = out.withColumn("category", T.category(F.col("name"))).filter(F.col("category").isin(*categories))
-    return out.withColumn("order", T.natural_key(F.col("path")))
+    if out.isEmpty():
+        raise FileNotFoundError(f"no {pattern} of {', '.join(categories)} in {path}")
+    below = F.substring_index(F.col("path"), path.rstrip("/") + "/", -1)
+    return out.withColumn("order", T.natural_key(below))
+
+
+def first_file(files: DataFrame) -> str:
+    """The path of the first file in natural order."""
+    return files.agg(F.min_by("path", "order")).first()[0]
 
 
 def name_index(files: DataFrame) -> DataFrame:
@@ -60,9 +71,21 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """external_doc_id and labels of a delivered data set; the last label of a name wins."""
+    """external_doc_id and labels of a delivered data set; of labels with one name the last counts."""
     docs = spark.read.schema(schemas.LABELS_FILE).json(path, multiLine=True).select(F.explode("documents").alias("d"))
-    return docs.select(F.col("d.id").alias("external_doc_id"), F.col("d.labels").alias("labels"))
+    later = lambda x, i: ~F.exists(F.slice("d.labels", i + 2, F.size("d.labels")), lambda y: y["name"].eqNullSafe(x["name"]))
+    return docs.select(F.col("d.id").alias("external_doc_id"), F.filter("d.labels", later).alias("labels"))
+
+
+def read_lexicon(path: str) -> dict[str, str]:
+    """topic and query of a hand-written lexicon, refused if it is not that or a query is empty."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    if not isinstance(found, dict) or not all(isinstance(v, str) and v.strip() for v in found.values()):
+        raise ValueError("a lexicon has a query for each topic")
+    return found
 
 
 def read_answers(spark: SparkSession, path: str, answer: ST.StructType) -> DataFrame:

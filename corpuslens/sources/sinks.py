@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -24,14 +24,20 @@ def report_json(summary: DataFrame) -> DataFrame:
 
 
 def deposit(texts: DataFrame, deposited: DataFrame | None, path: str) -> DataFrame:
-    """Appends the texts (folder, name, text) that are new or changed, by content hash; returns
-    the manifest of all."""
+    """Writes the texts (folder, name, text) that are new or changed, by content hash, as the next
+    version beside the older ones; returns the manifest of all.  ``deposited`` reads what counts."""
     now = texts.withColumn("digest", F.sha2("text", 256))
     fresh = now if deposited is None else now.join(deposited.select("folder", "name", "digest"), ["folder", "name", "digest"], "left_anti")
-    fresh.write.mode("append").partitionBy("folder").parquet(path)
+    fresh.withColumn("written", F.current_timestamp()).write.mode("append").partitionBy("folder").parquet(path)
     return now.select("folder", "name", "digest")
 
 
+def deposited(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of every deposited text."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("folder", "name").agg(F.max_by(F.struct("text", "digest"), "written").alias("t")).select("folder", "name", "t.*")
+
+
 def gold_lines(lines: DataFrame) -> DataFrame:
     """register, page, line and fingerprint of the lines to be judged by hand."""
     return lines.select("register", "page", "line", T.fingerprint(F.col("text")).alias("fingerprint"))

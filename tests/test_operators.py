@@ -295,8 +295,13 @@ def test_layers(spark, tmp_path):
         layers.write_layer(rows, str(tmp_path / "layer"), run)
     layer = spark.read.parquet(str(tmp_path / "layer"))
     assert layer.count() == 2 and layers.served(layer, None).count() == 0 and layers.served(layer, 2).count() == 1
-    lots = layers.pack_lots(spark.createDataFrame([(i, 3) for i in range(5)], "id long, size long"), limit=7).orderBy("id").collect()
-    assert [r["lot"] for r in lots] == [0, 0, 1, 1, 2]
+    assert layers.author("  someone ") == "someone" and layers.author(" ")
+    layers.check_kind(runs, a, "doublons")
+    with pytest.raises(ValueError):
+        layers.check_kind(runs, a, "typologie")
+    again, new = layers.reopen_run(runs, "analyse", "grid:x", "grid", "me", corpus="c1")
+    same, found = layers.reopen_run(again, "analyse", "grid:x", "grid", "me", corpus="c2")
+    assert new == found and same.filter(F.col("id") == new).first()["corpus"] == "c2" and same.count() == again.count() == 3
     with pytest.raises(ValueError):
         layers.check_grid({"grille": "g", "source": "s", "topics": [{"id": 1, "parent": 2}]})
 
