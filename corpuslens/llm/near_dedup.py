@@ -49,7 +49,7 @@ TABLE_BITS = 16
 
 #: Neighbours in an order that a member is compared with, round after round as long as so large
 #: a part of the pairs are links; then all that are left are compared.
-BESIDE, FRUITFUL = 16, 0.01
+BESIDE, FRUITFUL = 32, 0.02
 
 SIGNED = "row long, doc_id long, h1 long, h2 int, size long, bands array<long>"
 

@@ -138,9 +138,17 @@ def test_consistent_samples_estimate_weighted_jaccard():
     assert abs((x == y).mean() - true) < 0.2 and (s.samples(h, np.zeros(400, np.int64), w, 1)[0] == x).all()
 
 
-def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+@pytest.mark.parametrize("few", [0, 50_000])
+def test_components_by_stars_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW_EDGES", few)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(101, 100), (101, 101), (100, 101)], "a long, b long")
     assert {(r["node"], r["root"]) for r in graph.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+    assert graph.components(edges.limit(0)).count() == 0
+    rng = random.Random(3)
+    roots = spark.createDataFrame([(n, n // 8 * 8) for n in range(400)], "node long, root long")
+    links = [tuple(rng.sample(range(400), 2)) for _ in range(40)]
+    got = {r["node"]: r["root"] for r in near_dedup._united(roots, spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[a] == got[b] for a, b in links) and all(got[n] <= n // 8 * 8 for n in got) and len(set(got.values())) < 50
 
 
 # 3 passages
