@@ -20,7 +20,9 @@ LETTER, NUMBER, OTHER, BLANK, SPACE, ODD = 1, 2, 3, 4, 5, 6
 WHITE = [9, 10, 11, 12, 13, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
 #: Distinct words that a worker remembers (some 40 bytes each), and slots of its table of them.
-REMEMBERED, SLOT_BITS = 1_500_000, 19
+REMEMBERED, SLOT_BITS = 1_000_000, 18
+#: New words that are merged as one text.
+MERGED = 2_000
 
 
 def _classes() -> np.ndarray:
@@ -114,15 +116,15 @@ class Ids:
         letters = np.concatenate([[0], np.cumsum(cls == LETTER)])
         plain = (cls[start] == BLANK) & (end - start > 1) & (letters[end] - letters[start] == end - start - 1)
         first, sizes, parts, held = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64), [np.zeros(0, np.uint32)], 0
-        some = np.flatnonzero(plain)
-        if len(some):
+        every = np.flatnonzero(plain)
+        for some in np.split(every, range(MERGED, len(every), MERGED)) if len(every) else ():
             n = end[some] - start[some]
             chars = points[np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
             found = self.whole.encode(chars.astype("<u4").tobytes().decode("utf-32-le"), add_special_tokens=False)
             ids, words = np.array(found.ids, dtype=np.uint32), np.array(found.word_ids, dtype=np.int64)
             edges = np.append(np.flatnonzero(np.append(True, words[1:] != words[:-1])), len(ids))
             if len(edges) == len(some) + 1:
-                first[some], sizes[some], held = edges[:-1], np.diff(edges), len(ids)
+                first[some], sizes[some], held = held + edges[:-1], np.diff(edges), held + len(ids)
                 parts.append(ids)
         for k in np.flatnonzero(sizes == 0).tolist():
             raw = points[start[k] : end[k]].astype("<u4").tobytes().decode("utf-32-le").encode()
