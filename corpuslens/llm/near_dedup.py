@@ -283,13 +283,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def one_of_each(docs: DataFrame, columns: tuple[str, ...], similarity: float = SIMILARITY) -> DataFrame:
-    """The named columns of one row of every class; rows without text all stay."""
+    """The named columns of one row of every class; rows without text all stay.  Of rows with the
+    same id and text the smallest in the other columns stays."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     stays = near_duplicates(docs, similarity).filter("stays and size > 0").select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), "h1", "h2", "size")
     key = ["id", "h1", "h2", "size"]
     keyed = only(docs, *columns).select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("id"), *_text_key(text))
-    some = keyed.filter("size > 0").join(stays, key).dropDuplicates(key)
-    return some.unionByName(keyed.filter("size = 0")).drop(*key)
+    some = keyed.filter("size > 0").join(stays, key)
+    one = some.groupBy(*key).agg(F.min(F.struct(*[c for c in columns if c != "text"], "text")).alias("r")).select(*[F.col(f"r.{c}").alias(c) for c in columns])
+    return one.unionByName(keyed.filter("size = 0").drop(*key))
 
 
 def _mixed(in_bands: DataFrame, classes: DataFrame) -> DataFrame:
