@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.
 All but the last return the columns of documents; the last returns the packed pieces.
+
+Defined results, in every stage: null and empty texts stay as they are; repeated rows and
+null doc_ids are rows of their own; other columns of the input are left out, and columns of
+documents that it lacks are null; an empty table gives none; whole texts are read.
 """
 
 from __future__ import annotations
@@ -22,28 +26,33 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that are predicted toxic."""
+    """Without the documents that are predicted toxic.  Texts without matched clauses stay; every row
+    is judged by its own text, so equal texts go or stay together."""
     return _documents(toxicity.scored(docs, table(spark, sf_dir, "labels"), COLUMNS).filter("predicted = 0"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near-duplicates, the one with the smallest doc_id."""
+    """One document of every class of near-duplicates, the one with the smallest doc_id; of rows with
+    that id and text, the smallest in the other columns.  Rows without text all stay."""
     return _documents(near_dedup.one_of_each(docs, COLUMNS))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without benchmark passages; documents that are mostly such passages go."""
+    """Without benchmark passages; documents at least half of whose words are such passages go.
+    Wordless texts stay; null items and repeated ones change nothing."""
     return _documents(decontaminate.remove_contamination(docs, table(spark, sf_dir, "benchmark"), columns=COLUMNS))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by its kind in brackets."""
+    """Personal data replaced by its kind in brackets; overlapping spans become one, by the first
+    kind.  Texts without any stay as they are, null ones null."""
     found = pii.find_pii(docs, *COLUMNS)
     return _documents(found.withColumn("text", F.when(F.size("spans") > 0, pii.redacted(F.col("text"), "spans")).otherwise(F.col("text"))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their sequences and places."""
+    """Pieces of all documents with their sequences and places: a piece for every 2,048 tokens or
+    part of them, one for null and empty texts."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
