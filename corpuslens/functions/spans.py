@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -87,12 +88,15 @@ def word_error_rate(reference: str, other: str) -> float:
     a, b = (reference or "").split(), (other or "").split()
     if not a:
         return 0.0 if not b else 1.0
-    row = list(range(len(b) + 1))
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(w, len(number)) for w in x], dtype=np.int64) for x in (a, b))
+    at = np.arange(len(b) + 1)
+    row = at
     for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1] / len(a)
+        # Edits without insertions of this row; those are a running minimum along it.
+        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (b != x))])
+        row = np.minimum.accumulate(best - at) + at
+    return float(row[-1] / len(a))
 
 
 @F.pandas_udf(SPANS)

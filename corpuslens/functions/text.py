@@ -104,11 +104,12 @@ def is_empty_page_comment(c: Column) -> Column:
 
 
 def repetition(c: Column) -> Column:
-    """words, grams, distinct_grams, lines, distinct_lines of a text, as a struct."""
+    """words, grams, distinct_grams, lines, distinct_lines of a text, as a struct; grams are told
+    apart by 64-bit hashes."""
 
     def grams(tokens: Column) -> Column:
         n = F.size(tokens)
-        each = F.transform(F.sequence(F.lit(1), F.greatest(n - fixed.GRAM_WIDTH + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, fixed.GRAM_WIDTH), " "))
+        each = F.transform(F.sequence(F.lit(1), F.greatest(n - fixed.GRAM_WIDTH + 1, F.lit(1))), lambda i: F.xxhash64(F.slice(tokens, i, fixed.GRAM_WIDTH)))
         some = n >= fixed.GRAM_WIDTH
         return F.struct(n.alias("words"), F.when(some, F.size(each)).otherwise(0).alias("grams"), F.when(some, F.size(F.array_distinct(each))).otherwise(0).alias("distinct_grams"))
 
@@ -120,18 +121,19 @@ def repetition(c: Column) -> Column:
     return _with(F.struct(g.alias("g"), x.alias("x")), lambda s: F.struct(s["g"]["words"].alias("words"), s["g"]["grams"].alias("grams"), s["g"]["distinct_grams"].alias("distinct_grams"), s["x"]["lines"].alias("lines"), s["x"]["distinct_lines"].alias("distinct_lines")))
 
 
-def is_drift(c: Column) -> Column:
-    """A page too long for a page, or whose words or lines go round in circles."""
+def drifts(r: Column, length: Column) -> Column:
+    """Whether a text of that repetition and length is too long for a page, or its words or lines
+    go round in circles."""
+    return (
+        (length > fixed.MAX_PAGE_CHARS)
+        | (r["words"] > fixed.MAX_PAGE_WORDS)
+        | ((r["words"] >= fixed.GRAM_WORDS) & (r["distinct_grams"] / r["grams"] < fixed.GRAM_RATIO))
+        | ((r["lines"] >= fixed.LINE_COUNT) & (r["distinct_lines"] / r["lines"] < fixed.LINE_RATIO))
+    )
 
-    def judge(r: Column) -> Column:
-        return (
-            (F.length(c) > fixed.MAX_PAGE_CHARS)
-            | (r["words"] > fixed.MAX_PAGE_WORDS)
-            | ((r["words"] >= fixed.GRAM_WORDS) & (r["distinct_grams"] / r["grams"] < fixed.GRAM_RATIO))
-            | ((r["lines"] >= fixed.LINE_COUNT) & (r["distinct_lines"] / r["lines"] < fixed.LINE_RATIO))
-        )
 
-    return _with(repetition(c), judge)
+def is_drift(c: Column) -> Column:
+    return _with(repetition(c), lambda r: drifts(r, F.length(c)))
 
 
 def quality_score(c: Column, lexicon: Column) -> Column:

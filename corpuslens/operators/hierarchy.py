@@ -90,3 +90,16 @@ def bands(closed: DataFrame) -> DataFrame:
     for name, low, high in fixed.BANDS:
         out = out.when((F.col("height") >= low) & (F.lit(high is None) | (F.col("height") <= (high or 0))), name)
     return height.withColumn("band", out)
+
+
+def trees(nodes: DataFrame, closed: DataFrame, counts: DataFrame, zero: bool = False) -> DataFrame:
+    """root, nodes, height, band and detections of every tree, the most detected first.
+
+    Nodes whose chain ends in a cycle are in no tree; trees without a detection are left out
+    unless asked for.
+    """
+    top = roots(nodes).select(F.col("node").alias("ancestor"))
+    held = closed.join(top, "ancestor").join(counts, "node", "left")
+    out = held.groupBy(F.col("ancestor").alias("root")).agg(F.count("*").alias("nodes"), (F.max("distance") + 1).alias("height"), F.coalesce(F.sum("n"), F.lit(0)).alias("detections"))
+    out = out.join(bands(closed).select(F.col("node").alias("root"), "band"), "root")
+    return (out if zero else out.filter("detections > 0")).orderBy(F.desc("detections"), F.desc("nodes"), "root")

@@ -63,12 +63,21 @@ def violations(topics: DataFrame) -> DataFrame:
         row(topics.filter((T.strip(F.coalesce("name", F.lit(""))) == "") | (T.strip(F.coalesce("description", F.lit(""))) == "")), "empty_field", "id"),
         row(hierarchy.cyclic(nodes.filter("not (parent <=> node)"), closed), "cycle", "node"),
     ]
+    # More than one way from an ancestor to a topic: only ids that are there twice allow it.
+    ways = topics.filter("parent is not null").groupBy("id").agg(F.count_distinct("parent").alias("n")).filter("n > 1")
+    parts.append(row(ways, "several_parents", "id"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.distinct()
 
 
+def is_tree(topics: DataFrame) -> bool:
+    """Whether every topic has one way up to one root, and there is one."""
+    broken = violations(topics).filter("kind in ('duplicate_id', 'dangling_parent', 'self_parent', 'cycle', 'several_parents')")
+    return broken.isEmpty() and topics.filter("parent is null").count() == 1
+
+
 def insert_merges(topics: DataFrame, merges: DataFrame) -> DataFrame:
     """Merged topics (target, merged) go, unless validated; their children move to the target."""
     gone = merges.join(topics.filter(~F.coalesce("validated", F.lit(False))).select(F.col("id").alias("merged")), "merged", "left_semi").select("merged", "target")

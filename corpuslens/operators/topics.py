@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from .. import fixed
+from ..functions import text as T
 from ..storage import materialised
 from .components import components
 
@@ -169,6 +171,18 @@ def cluster_by_level(vectors: DataFrame, similarity: float = 0.8, block_rows: in
     return rows.select("level", "id", "node").join(known, "node", "left").select("level", "id", F.coalesce("root", "node").alias("cluster"))
 
 
+def embed(texts: DataFrame, model) -> DataFrame:
+    """id and unit vector of texts (id, text) by an injected model, a list of texts to as many
+    vectors; a zero vector stays zero."""
+
+    def call(batches):
+        for batch in batches:
+            yield batch[["id"]].assign(vector=[list(map(float, v)) for v in model(batch["text"].fillna("").tolist())])
+
+    schema = ST.StructType([texts.schema["id"], ST.StructField("vector", ST.ArrayType(ST.DoubleType()))])
+    return texts.select("id", "text").mapInPandas(call, schema).select("id", T.l2_normalised(F.col("vector")).alias("vector"))
+
+
 def ask(prompts: DataFrame, client, schema: str = "id string, answer string") -> DataFrame:
     """Answers of an injected client (list of prompts -> list of answers), batch by batch."""
 

@@ -81,8 +81,8 @@ GRAMS = r"""toks as (select *, list_filter(regexp_split_to_array(lower(text), '[
 
 @query(f"with {GRAMS} select doc_id, words, grams, distinct_grams, lines, distinct_lines, is_drift from flags")
 def repetition_flags(spark, sf):
-    r = T.repetition(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", r.alias("r"), T.is_drift(F.col("text")).alias("is_drift")).select("doc_id", *[F.col(f"r.{c}").cast("long").alias(c) for c in ("words", "grams", "distinct_grams", "lines", "distinct_lines")], "is_drift")
+    docs = table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"), T.repetition(F.col("text")).alias("r"))
+    return docs.select("doc_id", *[F.col(f"r.{c}").cast("long").alias(c) for c in ("words", "grams", "distinct_grams", "lines", "distinct_lines")], T.drifts(F.col("r"), F.col("n")).alias("is_drift"))
 
 
 @query(f"""with {GRAMS}, t as (select f.doc_id, f.text, case when f.doc_id % 15 = 0 then 'Image vide : page blanche' when f.doc_id % 5 = 0 then f.text end as tr, is_drift, quality = 0 as flag from flags f left join labels l on f.doc_id = l.doc_id),
@@ -442,7 +442,9 @@ def wer_pairs(spark, sf):
 
 
 def register_pages(spark, sf):
-    return table(spark, sf, "documents").select(F.col("source").alias("register"), F.col("doc_id").alias("page"), "text")
+    """Registers of at most a hundred pages: documents of a source with neighbouring ids."""
+    register = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 100).cast("string"))
+    return table(spark, sf, "documents").select(register.alias("register"), F.col("doc_id").alias("page"), "text")
 
 
 @query()
@@ -552,11 +554,11 @@ def page_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
-@query("""select doc_id, category, page from (select doc_id, ['CC', 'CO', 'CR', 'IL', 'XX'][1 + doc_id % 5] as c, row_number() over (partition by source order by doc_id) - 1 as page from documents), lateral (select case when c = 'XX' then null else c end as category) where page >= case when c in ('CC', 'XX') then 2 else 0 end""")
+@query("""select doc_id, category, page from (select doc_id, ['CC', 'CO', 'CR', 'IL', 'XX'][1 + doc_id % 5] as c, row_number() over (partition by source, doc_id // 100 order by doc_id) - 1 as page from documents), lateral (select case when c = 'XX' then null else c end as category) where page >= case when c in ('CC', 'XX') then 2 else 0 end""")
 def front_pages_skipped(spark, sf):
     """Pages after the front pages of their file's category."""
     name = F.concat(F.element_at(F.array(*[F.lit(x) for x in ("CC", "CO", "CR", "IL", "XX")]), (1 + F.col("doc_id") % 5).cast("int")), F.lit("_01000.pdf"))
-    page = F.expr("row_number() over (partition by source order by doc_id) - 1").cast("long")
+    page = F.expr("row_number() over (partition by source, floor(doc_id / 100) order by doc_id) - 1").cast("long")
     docs = table(spark, sf, "documents").select("doc_id", T.category(name).alias("category"), page.alias("page"))
     skip = F.when(F.col("category").isin(*[k for k, n in fixed.FRONT_PAGES.items() if not n]), 0).otherwise(fixed.FRONT_PAGES["CC"])
     return docs.filter(F.col("page") >= skip)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import geography, layers, reading, topics, transcription, views
-from .queries import COVER, DETECTIONS, GRAMS, NORMAL, PAGES, detections, map_summary, pages, query, table, tree_bands, verbatim_coverage
+from .operators import geography, hierarchy, layers, reading, topics, transcription, views
+from .queries import COVER, DETECTIONS, GRAMS, NORMAL, PAGES, detections, forest, map_summary, pages, query, table, tree_bands, verbatim_coverage
 
 
 @query("select c_custkey as id, round(avg(o_totalprice), 4) as mean from customer left join orders on o_custkey = c_custkey group by 1")
@@ -215,3 +215,24 @@ def perimeter_pages(spark, sf):
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def new_rows(spark, sf):
     return reading.new_rows(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id").select("doc_id")
+
+
+TREES = """with recursive nodes as (select 'r' || r_regionkey as node, null as parent from region union all select 'n' || n_nationkey, 'r' || n_regionkey from nation union all select 's' || s_suppkey, 'n' || s_nationkey from supplier),
+    closed as (select node as ancestor, node, 0 as distance from nodes union all select n.parent, c.node, distance + 1 from closed c join nodes n on c.ancestor = n.node where n.parent is not null)"""
+
+
+@query(f"""{TREES}, d as (select 's' || l_suppkey as node, count(*) as n from lineitem where l_suppkey % 2 = 0 group by 1), t as (select ancestor as root, count(*) as nodes, max(distance) + 1 as height, coalesce(sum(n), 0)::bigint as detections from closed c left join d on d.node = c.node where ancestor like 'r%' group by 1)
+    select root, nodes, height, case when height >= 5 then 'A' when height >= 3 then 'B' else 'C' end as band, detections from t where detections > 0""")
+def detected_trees(spark, sf):
+    nodes = forest(spark, sf)
+    counts = table(spark, sf, "lineitem").filter("l_suppkey % 2 = 0").groupBy(F.concat(F.lit("s"), "l_suppkey").alias("node")).agg(F.count("*").alias("n"))
+    return hierarchy.trees(nodes, hierarchy.closure(nodes), counts)
+
+
+@query(f"""{TREES}, d as (select 's' || l_suppkey as node, count(*) as n from lineitem group by 1), t as (select ancestor as node, sum(n)::bigint as total from closed c join d on d.node = c.node group by 1)
+    select n.node, n.parent, coalesce(total, 0) as total from nodes n left join t on t.node = n.node where n.node not like 's%'""")
+def overview_skeleton(spark, sf):
+    nodes = forest(spark, sf)
+    closed = hierarchy.closure(nodes)
+    counts = table(spark, sf, "lineitem").groupBy(F.concat(F.lit("s"), "l_suppkey").alias("node")).agg(F.count("*").alias("n"))
+    return hierarchy.skeleton(nodes, closed, hierarchy.roll_up(closed, counts), 1).select("node", "parent", "total")

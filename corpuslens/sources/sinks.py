@@ -23,6 +23,13 @@ def report_json(summary: DataFrame) -> DataFrame:
     return summary.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*summary.columns)))).alias("report"))
 
 
+def write_taxonomy(topics: DataFrame, path: str) -> None:
+    """The topics of a grid as one JSON document that ``read_taxonomy`` reads: a grid is small."""
+    own = F.struct(*[c for c in ("id", "name", "description", "sources", "parent", "level", "validated") if c in topics.columns])
+    rows = topics.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("pos", own.alias("t")))), lambda x: x["t"]).alias("topics"))).alias("value"))
+    rows.write.mode("overwrite").text(path)
+
+
 def deposit(texts: DataFrame, deposited: DataFrame | None, path: str) -> DataFrame:
     """Writes the texts (folder, name, text) that are new or changed, by content hash, as the next
     version beside the older ones; returns the manifest of all.  ``deposited`` reads what counts."""

@@ -303,6 +303,24 @@ def test_files_taxonomies_labels_and_sinks(spark, tmp_path):
     assert sinks.gold_lines(spark.createDataFrame([("r", 0, 1, "x  y")], "register string, page int, line int, text string")).first()["fingerprint"] == sinks.gold_lines(spark.createDataFrame([("r", 0, 1, "x y")], "register string, page int, line int, text string")).first()["fingerprint"]
 
 
+def test_trees_grids_and_embeddings(spark, tmp_path):
+    from corpuslens.operators import hierarchy
+
+    nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", None), ("x", "y"), ("y", "x"), ("z", None)], "node string, parent string")
+    counts = spark.createDataFrame([("b", 2), ("c", 5), ("x", 9)], "node string, n long")
+    closed = hierarchy.closure(nodes)
+    assert [(r["root"], r["nodes"], r["detections"], r["band"]) for r in hierarchy.trees(nodes, closed, counts).collect()] == [("c", 1, 5, "C"), ("a", 2, 2, "C")]
+    assert hierarchy.trees(nodes, closed, counts, zero=True).count() == 3
+    t = spark.createDataFrame([("1", "A", "d", ["x"], None, 1, False, 0), ("2", "B", "d", ["y"], "1", 0, True, 1)], "id string, name string, description string, sources array<string>, parent string, level int, validated boolean, pos int")
+    assert taxonomy.is_tree(t) and not taxonomy.is_tree(t.withColumn("parent", F.lit(None).cast("string"))) and not taxonomy.is_tree(t.unionByName(t.filter("id = '2'").withColumn("parent", F.lit("2"))))
+    assert ("several_parents", "2") in {(r["kind"], r["subject"]) for r in taxonomy.violations(t.unionByName(t.filter("id = '2'").withColumn("parent", F.lit("9")))).collect()}
+    sinks.write_taxonomy(t, str(tmp_path / "grid"))
+    back = files.read_taxonomy(spark, str(tmp_path / "grid"))
+    assert back.select(*t.columns).exceptAll(t).isEmpty() and back.count() == 2
+    v = topics.embed(spark.createDataFrame([(1, "abc"), (2, None)], "id long, text string"), lambda texts: [[len(t), 4.0 * bool(t)] for t in texts])
+    assert {r["id"]: r["vector"] for r in v.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0]}
+
+
 def test_sql_functions(spark):
     names = sql.register(spark)
     assert spark.sql("select cl_normalise('Été  À') as x, cl_fold('É') as y, cl_category('CC_1') as z").first() == ("ete a", "e", "CC")
