@@ -29,12 +29,14 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+\x02-]))[A-Za-z0-9._%+\x02-]++@[A-Za-z0-9-]++\
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]+"
 CARD = r"[0-9\x01]{12,}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: What looks like an identifier, between white space: groups of digits with single blanks; up to
+#: What looks like an identifier, between white space (longer tokens are no identifiers): groups of digits with single blanks; up to
 #: 64 characters with a digit near their start; and those with an at sign, plain or in brackets.
 GROUPS = r"(?<!\S)[+(\[\"']{0,2}[0-9]{2,8}[)]?(?:[\x20./-][(]?[0-9]{2,8}[)]?){1,7}+(?![^\s,.;:!?)\]\"'])"
 CANDIDATE = GROUPS + r"|(?<!\S)(?=[^\s0-9]{0,32}[0-9]{3})\S{6,64}(?!\S)|(?<!\S)(?=[^\s@]{1,32}@|[^\s\[(]{1,32}[\[(]at[\])])\S{6,64}(?!\S)"
 #: What is around an identifier, without brackets that its first digits are in.
 TRIM = r"^((?:[^A-Za-z0-9(]|[(](?![0-9]+[)]))*)(.*?)[^A-Za-z0-9]*$"
+#: Matches that are placed one after the other before the next part.
+PART = 128
 SPANS = "array<struct<start:int,rank:int,end:int,hit:string>>"
 
 
@@ -42,14 +44,27 @@ def _found(text: Column, form: str) -> Column:
     """start, end and string of every match: lengths of what lies between and of the hits."""
     hits = F.regexp_extract_all(text, F.lit(form), 0)
     pairs = F.zip_with(hits, F.split(text, form, -1), lambda h, gap: F.struct(h.alias("hit"), F.length(gap).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
     def add(s: Column, x: Column) -> Column:
         begin = s["at"] + x["gap"]
         end = begin + F.length(x["hit"])
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))).alias("out"))
 
-    return F.aggregate(F.filter(pairs, lambda x: x["hit"].isNotNull()), start, add, lambda s: s["out"])
+    def placed(part: Column, at: Column) -> Column:
+        return F.aggregate(part, F.struct(at.alias("at"), none.alias("out")), add, lambda s: s["out"])
+
+    def several(found: Column) -> Column:
+        """Part by part, so that the array that grows stays short however many matches there are."""
+        part = lambda k: F.slice(found, k * PART + 1, PART)
+        size = lambda k: F.aggregate(part(k), F.lit(0), lambda n, x: n + x["gap"] + F.length(x["hit"]))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / PART).cast("int"))
+        begins = F.aggregate(numbers, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, k: F.struct((s["at"] + size(k)).alias("at"), F.array_append(s["out"], s["at"]).alias("out")), lambda s: s["out"])
+        return F.flatten(F.transform(begins, lambda at, k: placed(part(k), at)))
+
+    # Each step names the array once, so it is worked out once.
+    some = F.filter(pairs, lambda x: x["hit"].isNotNull())
+    return F.get(F.transform(F.array(some), lambda found: F.when(F.size(found) <= PART, placed(found, F.lit(0))).otherwise(several(found))), 0)
 
 
 def _luhn(digits: Column) -> Column:
