@@ -26,6 +26,8 @@ from ._spark import got, kept, only, sent
 WIDTH = 10
 #: Benchmark text that one broadcast set may hold; larger benchmarks are scanned set by set.
 SET_BYTES = 16 << 20
+#: Windows of an item that go into one set together; longer items are cut, with overlaps.
+PIECE_WINDOWS = 50_000
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[ord("A") : ord("Z") + 1] += 32
@@ -42,6 +44,12 @@ def words_of(text: str | None) -> list[bytes]:
     return [whole[a:b] for a, b in zip(start.tolist(), end.tolist())]
 
 
+def pieces_of(text: str | None, width: int, windows: int = PIECE_WINDOWS) -> list[str]:
+    """The words of a text in pieces that together hold each of its windows once."""
+    words = words_of(text)
+    return [b" ".join(words[i : i + windows + width - 1]).decode("utf-8", "replace") for i in range(0, max(1, len(words) - width + 1), windows)] if words else []
+
+
 class WindowSet:
     """Windows by length and hash, each with its words and the items that hold it."""
 
@@ -107,23 +115,30 @@ def scan_batches(batches: Iterator[pa.RecordBatch], window_set, keep_text: bool)
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept_names], pa.array(n_words), pa.array(merged, type=span_type), pa.array([sorted(x) for x in items], type=pa.list_(pa.string()))], names=[*kept_names, "n_words", "spans", "items"])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, set_bytes: int = SET_BYTES, columns: tuple[str, ...] = ("doc_id",), keep_text: bool = True, drop_share: float | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, set_bytes: int = SET_BYTES, columns: tuple[str, ...] = ("doc_id",), keep_text: bool = True, drop_share: float | None = None, piece_windows: int = PIECE_WINDOWS) -> DataFrame:
     """The named columns, text (if kept), n_words, hit word spans (first and last word), item ids of each document.
 
     The benchmark's size is checked: up to ``set_bytes`` of text it is one broadcast set;
-    beyond, items are dealt into sets of about that size and the documents are scanned once
+    beyond, items, the long ones in pieces, are dealt into sets of about that size and the documents are scanned once
     for each set, so no set outgrows an executor.  With ``drop_share`` the last scan also cuts
     the hit spans out, and gives ``gone`` instead of what it found.
     """
     spark = docs.sparkSession
     bench = only(benchmark, "item_id", "text").filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+
+    def cut(batches):
+        for b in batches:
+            rows = [(i, p) for i, t in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()) for p in pieces_of(t, width, piece_windows)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], type=pa.string()), pa.array([p for _, p in rows], type=pa.string())], names=["item_id", "text"])
+
+    bench = kept(bench.mapInArrow(cut, "item_id string, text string"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     sets = max(1, -(-2 * total // set_bytes)) if total > set_bytes else 1
     own = only(docs, *dict.fromkeys([*columns, "text"])).withColumn("text", F.col("text").cast("string"))
     found = T.StructType.fromDDL(SCAN)
     out = own.withColumns({f.name: F.lit(None if i else 0).cast(f.dataType) for i, f in enumerate(found.fields)})
     for k in range(sets):
-        part = bench if sets == 1 else bench.filter(F.pmod(F.xxhash64("item_id"), F.lit(sets)) == k)
+        part = bench if sets == 1 else bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(sets)) == k)
         rows = [(r["item_id"], r["text"]) for r in part.toLocalIterator()]
         shared = sent(spark, WindowSet(rows, width))
         keep = keep_text or k + 1 < sets

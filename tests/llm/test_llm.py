@@ -366,6 +366,8 @@ def test_decontamination_in_sets_and_removal(spark):
     assert got[2]["n_hit"] == 2 and not got[3]["contaminated"] and got[3]["items_sha256"] == hashlib.sha256(b"").hexdigest()
     many = {r["doc_id"]: (sum(s["last"] - s["first"] + 1 for s in r["spans"]), r["items"]) for r in decontaminate.find_contamination(docs, bench, set_bytes=40).collect()}
     assert many == {i: (got[i]["n_hit"], [["1", "10"], ["2"], [], ["1", "10"]][i - 1]) for i in got}
+    cut = {r["doc_id"]: (sum(s["last"] - s["first"] + 1 for s in r["spans"]), r["items"]) for r in decontaminate.find_contamination(docs, bench, set_bytes=40, piece_windows=1).collect()}
+    assert cut == many and decontaminate.pieces_of("a b c d", 3, 1) == ["a b c", "b c d"] and decontaminate.pieces_of("a b", 3) == ["a b"] and decontaminate.pieces_of(" ", 3) == []
     kept = {r["doc_id"]: r["text"] for r in decontaminate.remove_contamination(docs, bench, drop_share=0.9).collect()}
     assert kept == {1: "Before  after the end of it all and more", 2: "A  here", 3: "clean words only"}
 
