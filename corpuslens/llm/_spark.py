@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from typing import Any
 
-from pyspark import Broadcast, cloudpickle
+from pyspark import Broadcast, StorageLevel, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +52,24 @@ def kept(df: DataFrame) -> DataFrame:
     return out
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The rows on the executors' disks, for tables that are read a few times and soon no more: what
+    is lost with an executor is worked out again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop(*tables: DataFrame) -> None:
-    """Deletes kept tables that nothing will read again."""
+    """Deletes kept and held tables that nothing will read again."""
     for df in tables:
         if path := getattr(df, "_kept_at", None):
             remove(df.sparkSession, path)
+        else:
+            df.unpersist()
 
 
 def sent(spark: SparkSession, value: Any) -> Broadcast:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import drop, kept
+from ._spark import drop, held, kept
 
 
 #: Edges that one task holds at most (16 bytes each); the count is checked.
@@ -47,9 +47,11 @@ def components(edges: DataFrame) -> DataFrame:
     A star only needs the smallest neighbour of each node, an aggregate, and a join back to
     its edges: no neighbourhood is ever gathered in one place.
     """
-    edges = kept(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = held(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if edges.count() <= FEW_EDGES:
-        return kept(edges.coalesce(1).mapInPandas(_union, "node long, root long"))
+        out = kept(edges.coalesce(1).mapInPandas(_union, "node long, root long"))
+        drop(edges)
+        return out
     before = _digest(edges)
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import BYTE_CODES, Roller, find_words, mix, pack_plain, pack_sorted, text_blocks, unpack_plain, unpack_sorted, window_hashes
-from ._spark import drop, kept, only
+from ._spark import drop, held, kept, only
 from .decontaminate import IS_WORD
 from .graph import components
 from .toxicity import _lowered
@@ -233,19 +233,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     key = ["h1", "h2", "size"]
     texts = signed.filter("size > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "row")).alias("first"), F.first("bands").alias("bands"))
     texts = kept(texts.select(F.col("first.row").alias("node"), F.col("first.doc_id").alias("first_id"), *key, "bands"))
-    in_bands = kept(texts.filter("bands is not null").select(F.explode("bands").alias("band"), "node"))
+    in_bands = held(texts.filter("bands is not null").select(F.explode("bands").alias("band"), "node"))
     texts = texts.drop("bands")
     shared = in_bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    in_bands = kept(in_bands.join(shared, "band"))
+    in_bands = held(in_bands.join(shared, "band"))
     pairs = in_bands.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     verify = lambda pairs: _verified(pairs, texts, docs, common, similarity)
     links = verify(pairs)
     classes = components(links)
     # Bands that still join different classes: small ones pair by pair; the members of large
     # ones exactly, by the rare shingles that similar texts must share.
-    mixed = kept(_mixed(in_bands, classes))
+    mixed = held(_mixed(in_bands, classes))
     pairs = _pairs_across(mixed.filter(F.col("n") <= SMALL_BAND))
-    crowd = kept(mixed.filter(F.col("n") > SMALL_BAND).select("node").distinct())
+    crowd = held(mixed.filter(F.col("n") > SMALL_BAND).select("node").distinct())
     if crowd.isEmpty():
         more = verify(pairs.distinct())
     else:
@@ -254,24 +254,26 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         star = rare.groupBy("band").agg(F.min_by(F.struct("node", "total", "rest"), "node").alias("l"))
         near = lambda total, rest: F.least("rest", rest) >= (similarity / (1 + similarity) - 1e-9) * (F.col("total") + total)
         stars = rare.join(star, "band").filter((F.col("node") != F.col("l.node")) & near(F.col("l.total"), F.col("l.rest"))).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-        more = verify(pairs.distinct()).unionByName(_compared(kept(stars.distinct()), crowd_texts, common, similarity))
-        roots, turn = kept(crowd.join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("root"))), 0
+        more = verify(pairs.distinct()).unionByName(held(_compared(stars.distinct(), crowd_texts, common, similarity)))
+        roots, turn = held(crowd.join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("root"))), 0
         found = more
         while True:
             roots = _united(roots, found)
-            left = kept(_mixed(rare, roots))
+            left = held(_mixed(rare, roots))
             order = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(turn)), "node").rowsBetween(-BESIDE, -1)
             beside = left.withColumn("o", F.collect_list(F.struct("node", "root", "total", "rest")).over(order)).withColumn("o", F.explode("o")).filter((F.col("root") != F.col("o.root")) & near(F.col("o.total"), F.col("o.rest")))
-            beside = kept(beside.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct())
-            found, turn = _compared(beside, crowd_texts, common, similarity), turn + 1
+            beside = held(beside.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct())
+            found, turn = held(_compared(beside, crowd_texts, common, similarity)), turn + 1
             more = more.unionByName(found)
-            if found.count() <= FRUITFUL * beside.count():
+            fruitless = found.count() <= FRUITFUL * beside.count()
+            drop(left, beside)
+            if fruitless:
                 break
         roots = _united(roots, found)
-        left = kept(_mixed(rare, roots))
+        left = held(_mixed(rare, roots))
         other = left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("total").alias("total_b"), F.col("rest").alias("rest_b"))
         across = left.join(other, "band").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & near(F.col("total_b"), F.col("rest_b"))).select(F.col("node").alias("a"), "b")
-        more = more.unionByName(_compared(kept(across.distinct()), crowd_texts, common, similarity))
+        more = held(more.unionByName(_compared(across.distinct(), crowd_texts, common, similarity)))
     if not more.isEmpty():
         links = kept(links.unionByName(more))
         classes = components(links)
@@ -326,7 +328,7 @@ def _texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _keys_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    return kept(texts.join(nodes, "node", "left_semi").select("node", F.coalesce("first_id", F.lit(-1 << 63)).alias("id"), "h1", "h2", "size"))
+    return held(texts.join(nodes, "node", "left_semi").select("node", F.coalesce("first_id", F.lit(-1 << 63)).alias("id"), "h1", "h2", "size"))
 
 
 def weigh_batches(batches: Iterator[pa.RecordBatch], common) -> Iterator[pa.RecordBatch]:
@@ -355,9 +357,9 @@ def _prefixes(crowd_texts: DataFrame, common, similarity: float) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, common, similarity: float) -> DataFrame:
     """The pairs (a < b) of texts whose weighted Jaccard similarity is high enough."""
-    pairs = kept(pairs.select("a", "b"))
+    pairs = held(pairs.select("a", "b"))
     whole = _texts_of(_keys_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts), docs)
-    out = _compared(pairs, whole, common, similarity)
+    out = kept(_compared(pairs, whole, common, similarity))
     drop(whole, pairs)
     return out
 
@@ -366,4 +368,4 @@ def _compared(pairs: DataFrame, whole: DataFrame, common, similarity: float) ->
     """The pairs whose texts (node, text) are similar enough."""
     a, b = (whole.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     scored = pairs.join(a, "a").join(b, "b").mapInArrow(lambda batches: similarities(batches, common), "a long, b long, similarity double")
-    return kept(scored.filter(F.col("similarity") >= similarity))
+    return scored.filter(F.col("similarity") >= similarity)
