@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, near_dedup, neighbours, packing, passages, pii, quality, sharding, toxicity, warc
+from . import queries_joins
 from ._spark import table
 
 
@@ -54,8 +55,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_passages, op4_quality, op5_sharding, op6_packing, op7_neighbours, op8_decontamination, op9_warc, op10_pii)}
-ORACLES = {
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_passages, op4_quality, op5_sharding, op6_packing, op7_neighbours, op8_decontamination, op9_warc, op10_pii)} | queries_joins.QUERIES
+ORACLES = queries_joins.ORACLES | {
     "op9_warc": """
         with p as (select page_id, coalesce(html, '') as t, strlen(coalesce(html, '')) as n, sha256(coalesce(html, '')) as d from pages),
         o as (select d, min(page_id) as original from p where n >= 100 group by d)
