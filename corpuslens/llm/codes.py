@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import drop, kept, only
+from ._spark import drop, got, kept, only, sent
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
 TOP = 1 << 45
@@ -96,7 +96,7 @@ class Books:
 
 def assign(batches: Iterator[pa.RecordBatch], shared, last: bool) -> Iterator[pa.RecordBatch]:
     """Every part's nearest entry and its bounds; in the last round also the exact errors."""
-    books: Books = shared.value
+    books: Books = got(shared)
     n_parts = len(books.entries)
     for batch in batches:
         n = batch.num_rows
@@ -186,7 +186,7 @@ def compress(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rou
     book = np.array([r["v"] for r in start], dtype=np.int64).reshape(entries, parts, width).transpose(1, 0, 2)
     now = Books(book, top)
     for turn in range(rounds + 1):
-        shared, last = spark.sparkContext.broadcast(now), turn == rounds
+        shared, last = sent(spark, now), turn == rounds
         new = kept(state.mapInArrow(lambda batches, shared=shared, last=last: assign(batches, shared, last), schema))
         drop(state)
         state = new

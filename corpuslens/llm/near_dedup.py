@@ -54,9 +54,9 @@ BESIDE, FRUITFUL = 32, 0.02
 SIGNED = "row long, doc_id long, h1 long, h2 int, size long, bands array<long>"
 
 
-def shingles(raw: np.ndarray, offsets: np.ndarray, roller: Roller) -> tuple[np.ndarray, np.ndarray]:
+def shingles(raw: np.ndarray, offsets: np.ndarray, roller: Roller, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and rows of all shingles, by row."""
-    start, end, row = find_words(raw, offsets, IS_WORD)
+    start, end, row = find_words(raw, offsets, is_word)
     words = roller.stretch(roller.prefix(BYTE_CODES[raw]), start, end)
     h = window_hashes(words, WORDS)
     inside = row[: len(h)] == row[WORDS - 1 :] if len(h) else np.zeros(0, dtype=bool)
