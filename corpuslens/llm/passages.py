@@ -304,20 +304,20 @@ def report_chunk(pdf, told, told_windows, passage: int, least: int):
 
     chunk, cover = covered(pdf, told, told_windows, passage, least)
     out = []
-    for raw, parts, doc in zip(chunk.bytes, cover, pdf["id"].tolist()):
+    for raw, parts, doc, no_id in zip(chunk.bytes, cover, pdf["id"].tolist(), pdf["no_id"].tolist()):
         runs, kept, at = runs_of(parts), [], 0
         for a, b in runs:
             kept.append(raw[at:a])
             at = b
         kept.append(raw[at:])
-        out.append((None if doc == LAST_ID else doc, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest()))
+        out.append((None if no_id else doc, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest()))
     ids, n_bytes, removed, spans, digests = zip(*out)
     return pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_bytes": n_bytes, "n_removed": removed, "n_spans": spans, "kept_sha256": digests})
 
 
 def remove_passages(docs: DataFrame, passage: int = PASSAGE, chunk_bytes: int = CHUNK_BYTES, shard_names: int = SHARD_NAMES) -> DataFrame:
     """Bytes, removed bytes, removed runs and digest of what is kept, for every document."""
-    rows = only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.col("text").cast("string"))
+    rows = only(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.col("doc_id").isNull().alias("no_id"), F.col("text").cast("string"))
     facts = rows.agg(F.sum(F.octet_length("text")).alias("total"), F.min("id").alias("least")).first()
     total, least = facts["total"] or 0, facts["least"] or 0
     chunks = max(1, math.ceil(total / chunk_bytes))

@@ -155,20 +155,22 @@ def shingle_join(docs: DataFrame, share: tuple[int, int] = SHARE, leaders: int =
     # Lists of several components: what members have in common with the leader bounds the rest.
     known = answers.select(F.col("a").alias("lead"), F.col("b").alias("node"), "both")
     left = lists.select("token", "node", "n", "pos", F.col("l.node").alias("lead"))
-    left = held(_of_several(left, classes).join(known, ["lead", "node"], "left").filter("node <> lead").drop("lead"))
+    left = kept(_of_several(left, classes).join(known, ["lead", "node"], "left").filter("node <> lead").drop("lead"))
+    drop(lists)
     for turn in range(leaders):
-        left = held(_of_several(left.drop("root"), classes))
+        left = _narrowed(left, classes)
         if left.isEmpty():
             break
         lead = left.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root", "both"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("l"))
         stars = left.join(lead, "token").filter(F.col("node") != F.col("l.node"))
         asked = stars.filter(_open("l.", share)).select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.n").alias("an"), F.col("n").alias("bn"))
         more = _answers(asked, texts, docs).filter(is_link).select("a", "b")
-        left = held(stars.drop("l"))
+        before, left = left, kept(stars.drop("l"))
+        drop(before)
         if not more.isEmpty():
             links = kept(links.unionByName(more))
             classes = components(links)
-    left = held(_of_several(left.drop("root"), classes))
+    left = _narrowed(left, classes)
     if not left.isEmpty():
         more = _answers(_block_pairs(left, share, block), texts, docs).filter(is_link).select("a", "b")
         if not more.isEmpty():
@@ -196,6 +198,13 @@ def _of_several(lists: DataFrame, classes: DataFrame) -> DataFrame:
     return rooted.join(several, "token")
 
 
+def _narrowed(left: DataFrame, classes: DataFrame) -> DataFrame:
+    """The lists that still hold several components, in a table of their own."""
+    out = kept(_of_several(left.drop("root"), classes))
+    drop(left)
+    return out
+
+
 def _block_pairs(left: DataFrame, share: tuple[int, int], block: int) -> DataFrame:
     """Pairs of members of a list, by blocks of members of like size and position."""
     # A size class spans a factor of 1 / similarity, a position class a quarter of a prefix.
@@ -203,9 +212,9 @@ def _block_pairs(left: DataFrame, share: tuple[int, int], block: int) -> DataFra
     place = F.floor(4 * F.col("pos") / (F.col("n") - F.ceil(F.col("n") * share[1] / share[0]) + 1))
     classed = left.select("*", size.cast("int").alias("kind"), place.cast("int").alias("place"))
     many = classed.groupBy("token", "kind", "place").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    member = held(classed.join(many, ["token", "kind", "place"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks"))
+    member = kept(classed.join(many, ["token", "kind", "place"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).drop("blocks"))
     by = ["token", "kind", "place", "part"]
-    blocks = held(member.groupBy(*by).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("root").alias("r0"), F.max("root").alias("r1")))
+    blocks = kept(member.groupBy(*by).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("root").alias("r0"), F.max("root").alias("r1")))
     name = F.struct("kind", "place", "part")
     one, two = (blocks.select("token", name.alias(f"block{i}"), *[F.col(c).alias(f"{c}{i}") for c in ("low", "high", "rest", "r0", "r1")]) for i in "12")
     low, rest = F.col("low1") + F.col("low2"), F.least("rest1", "rest2")
@@ -222,7 +231,7 @@ def _block_pairs(left: DataFrame, share: tuple[int, int], block: int) -> DataFra
 
 def _answers(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
     """The overlaps of the pairs' whole sets, each pair once."""
-    pairs = held(pairs.distinct())
+    pairs = kept(pairs.distinct())
     whole = _texts_of(_keys_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts), docs)
     sets = held(whole.mapInArrow(pack_batches, "node long, items binary"))
     a, b = (sets.select(F.col("node").alias(x), F.col("items").alias(y)) for x, y in (("a", "x"), ("b", "y")))
