@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import Roller, mix, pack_plain, text_blocks, unpack_plain
+from ._bytes import Roller, mix, pack_plain, pack_sorted, text_blocks, unpack_plain, unpack_sorted
 from ._spark import drop, held, kept, only
 from .decontaminate import LOWER
 from .graph import components
@@ -41,11 +41,16 @@ SHARE = (100, 80)
 BITS, RANGES = 20, 64
 #: Cells of one range that are added up together, first; the sums of these make the second step.
 SALTS = 1024
+#: Prefix shingles of a chunk of nodes and of a shard of shingles, about; low bits that shingles go
+#: without on the way to their shard, where they only tell which lists may have a second member.
+CHUNK_SHINGLES, SHARD_SHINGLES, CUT_BITS = 500_000, 400_000, np.uint64(16)
 #: Rounds with other leaders; the members of a block.
 LEADERS, BLOCK = 3, 64
 
 _word = np.ones(256, dtype=bool)
 _word[[0x20, *range(0x09, 0x0E)]] = False
+NODE = ["node", "first_id", "h1", "h2", "size", "d1", "d2", "n", "least_id"]
+CHUNK = "chunk long, rows array<struct<node:long,first_id:long,h1:long,h2:int,size:long,d1:long,d2:long,n:int,least_id:long>>, reach binary, prefixes binary"
 SIGNED = "row long, doc_id long, h1 long, h2 int, size long, d1 long, d2 long, n int, prefix array<long>"
 
 
@@ -105,6 +110,60 @@ def sign_batches(batches: Iterator[pa.RecordBatch], shared, share: tuple[int, in
             yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, hi - lo) for c in names], *map(pa.array, digests), pa.array(n.astype(np.int32)), prefix], names=[*names, "d1", "d2", "n", "prefix"])
 
 
+def chunk_batches(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Nodes in chunks, a row each, named by their first node: their columns, and all prefixes."""
+    for batch in batches:
+        prefix = batch.column("prefix")
+        at = np.concatenate([[0], np.cumsum(np.asarray(prefix.value_lengths()))])
+        rows = pa.StructArray.from_arrays([batch.column(c) for c in NODE], names=NODE)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
+            own = np.asarray(prefix.slice(lo, hi - lo).flatten())
+            part = rows.slice(lo, hi - lo)
+            yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, 1), pa.ListArray.from_arrays(pa.array([0, hi - lo], type=pa.int32()), pa.concat_arrays([part])), pa.array([np.diff(at[lo : hi + 1]).astype(np.int32).tobytes()], type=pa.binary()), pa.array([own.tobytes()], type=pa.binary())], names=["chunk", "rows", "reach", "prefixes"])
+            lo = hi
+
+
+def ask_batches(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The distinct prefix shingles of every chunk, by shard of the hash."""
+    for batch in batches:
+        for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("prefixes")):
+            keys = np.unique(np.frombuffer(blob.as_buffer(), np.uint64) >> CUT_BITS)
+            edges = np.searchsorted(keys >> (np.uint64(64 - bits) - CUT_BITS), np.arange((1 << bits) + 1, dtype=np.uint64))
+            cells = [(k, pack_sorted(keys[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in cells], type=pa.int32()), pa.array([chunk] * len(cells), type=pa.int64()), pa.array([x for _, x in cells], type=pa.binary())], names=["shard", "chunk", "keys"])
+
+
+def _several(pdf):
+    """To every chunk those of its shingles in this shard that other chunks have too."""
+    import pandas as pd
+
+    own = [unpack_sorted(x) for x in pdf["keys"]]
+    keys, counts = np.unique(np.concatenate(own), return_counts=True)
+    keys = keys[counts > 1]
+    hits = [x[keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x] if len(keys) else x[:0] for x in own]
+    return pd.DataFrame([(c, pack_sorted(x)) for c, x in zip(pdf["chunk"], hits) if len(x)], columns=["chunk", "hits"])
+
+
+def list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, node, n and pos of the prefix shingles that may be another node's too."""
+    for batch in batches:
+        for rows, reach, blob, told in zip(batch.column("rows"), batch.column("reach"), batch.column("prefixes"), batch.column("told").to_pylist()):
+            token, reach = np.frombuffer(blob.as_buffer(), np.uint64), np.frombuffer(reach.as_buffer(), np.int32)
+            keys, where, counts = np.unique(token >> CUT_BITS, return_inverse=True, return_counts=True)
+            shared = counts > 1
+            for hits in map(unpack_sorted, told or []):
+                shared[np.searchsorted(keys, hits)] = True
+            own = np.repeat(np.arange(len(reach)), reach)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(reach) - reach, reach)
+            keep = shared[where]
+            fields = rows.values
+            node, n = (np.asarray(fields.field(c)) for c in ("node", "n"))
+            own = own[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(node[own]), pa.array(n[own]), pa.array(pos[keep].astype(np.int32))], names=["token", "node", "n", "pos"])
+
+
 def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node and its whole set, as sorted numbers."""
     roller = Roller()
@@ -139,10 +198,16 @@ def shingle_join(docs: DataFrame, share: tuple[int, int] = SHARE, leaders: int =
     signed = kept(rows.mapInArrow(lambda batches: sign_batches(batches, counts, share), SIGNED))
     key = ["d1", "d2", "n"]
     nodes = signed.filter("n > 0").groupBy(*key).agg(F.min(F.struct("row", "doc_id", "h1", "h2", "size")).alias("f"), F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"))
-    nodes = kept(nodes.select(F.col("f.row").alias("node"), F.col("f.doc_id").alias("first_id"), "f.h1", "f.h2", "f.size", *key, "least_id", "prefix"))
-    lists = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    nodes = nodes.select(F.col("f.row").alias("node"), F.col("f.doc_id").alias("first_id"), "f.h1", "f.h2", "f.size", *key, "least_id", "prefix")
+    chunks = kept(nodes.mapInArrow(lambda batches: chunk_batches(batches, CHUNK_SHINGLES), CHUNK))
+    whole, signed = signed, kept(signed.select("doc_id", *key))
+    drop(whole)
+    nodes = kept(chunks.select(F.explode("rows").alias("r")).select("r.*"))
+    lists = _lists(chunks)
+    drop(chunks)
     shared = lists.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("l"), F.count("*").alias("members")).filter("members > 1").select("token", "l")
-    lists = held(lists.join(shared, "token"))
+    every, lists = lists, kept(lists.join(shared, "token"))
+    drop(every)
     texts = nodes.select("node", "first_id", "h1", "h2", "size")
 
     # Answers of the leaders.
@@ -184,6 +249,16 @@ def shingle_join(docs: DataFrame, share: tuple[int, int] = SHARE, leaders: int =
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _lists(chunks: DataFrame) -> DataFrame:
+    """The prefix index without most of the lists of one member: shards see each chunk's distinct
+    shingles, packed, and tell it which of them other chunks have."""
+    total = chunks.agg(F.sum(F.octet_length("prefixes") / 8)).first()[0] or 0
+    bits = max(2, int(np.ceil(np.log2(max(1, total / SHARD_SHINGLES)))))
+    asked = chunks.select("chunk", "prefixes").mapInArrow(lambda batches: ask_batches(batches, bits), "shard int, chunk long, keys binary")
+    told = asked.groupBy("shard").applyInPandas(_several, "chunk long, hits binary").groupBy("chunk").agg(F.collect_list("hits").alias("told"))
+    return kept(chunks.join(told, "chunk", "left").mapInArrow(list_batches, "token long, node long, n int, pos int"))
+
+
 def _open(other: str, share: tuple[int, int]) -> Column:
     """Whether a member and another (columns with a prefix) may link and are not yet connected."""
     n, m, x, z = F.col("n"), F.col(f"{other}n"), F.col("both"), F.col(f"{other}both")
