@@ -31,10 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import Roller, mix, pack_plain, pack_sorted, text_blocks, unpack_plain, unpack_sorted
-from ._spark import drop, held, kept, only
+from ._spark import drop, kept, only
 from .decontaminate import LOWER
 from .graph import components
-from .near_dedup import _keys_of, _text_key, _texts_of, distinct_shingles, shingles
+from .near_dedup import BROADCAST_NODES, _text_key, distinct_shingles, shingles
 
 #: Sets link when SHARE[0] * overlap >= SHARE[1] * union.
 SHARE = (100, 80)
@@ -46,6 +46,8 @@ SALTS = 1024
 CHUNK_SHINGLES, SHARD_SHINGLES, CUT_BITS = 500_000, 400_000, np.uint64(16)
 #: Rounds with other leaders; the members of a block.
 LEADERS, BLOCK = 3, 64
+#: Members of one leader that a task compares, about.
+MEMBERS = 64
 
 _word = np.ones(256, dtype=bool)
 _word[[0x20, *range(0x09, 0x0E)]] = False
@@ -164,19 +166,36 @@ def list_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(node[own]), pa.array(n[own]), pa.array(pos[keep].astype(np.int32))], names=["token", "node", "n", "pos"])
 
 
-def pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node and its whole set, as sorted numbers."""
-    roller = Roller()
+def send_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each asked node's whole set, to every leader that it is compared with, itself among them."""
+    roller, seen = Roller(), set()
     for batch in batches:
+        nodes, to = batch.column("node").to_pylist(), batch.column("to").to_pylist()
         for lo, hi, h, rows in sets_of(batch.column("text"), roller):
-            edges = np.searchsorted(rows, np.arange(hi - lo + 1))
-            yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in zip(edges, edges[1:])], type=pa.binary())], names=["node", "items"])
+            edges, out = np.searchsorted(rows, np.arange(hi - lo + 1)), []
+            for k in range(lo, hi):
+                if nodes[k] not in seen:  # a repeated row asks nothing new
+                    seen.add(nodes[k])
+                    items = h[edges[k - lo] : edges[k - lo + 1]].tobytes()
+                    out += [(x["a"], salt, nodes[k], items) for x in to[k] for salt in (range(x["salts"]) if x["a"] == nodes[k] else [nodes[k] % x["salts"]])]
+            columns = zip(*out) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=["a", "salt", "b", "items"])
 
 
 def overlap_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes and overlaps of members with their leaders, which come before them."""
+    leader, items, before = None, np.zeros(0, np.uint64), None
     for batch in batches:
-        both = [len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in zip(batch.column("x"), batch.column("y"))]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "an", "bn")] + [pa.array(both, type=pa.int32())], names=["a", "b", "an", "bn", "both"])
+        out = []
+        for a, b, blob in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("items")):
+            own = np.frombuffer(blob.as_buffer(), np.uint64)
+            if a == b:
+                leader, items = a, own
+            elif a == leader and (a, b) != before:
+                out.append((a, b, len(items), len(own), len(np.intersect1d(items, own, assume_unique=True))))
+            before = a, b
+        columns = zip(*out) if out else ([], [], [], [], [])
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["a", "b", "an", "bn", "both"])
 
 
 def _enough(both: Column, n: Column, m: Column, share: tuple[int, int]) -> Column:
@@ -212,7 +231,7 @@ def shingle_join(docs: DataFrame, share: tuple[int, int] = SHARE, leaders: int =
 
     # Answers of the leaders.
     first = lists.filter(F.col("node") != F.col("l.node")).filter(_can_link(F.col("n"), F.col("pos"), F.col("l.n"), F.col("l.pos"), share))
-    answers = _answers(first.select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.n").alias("an"), F.col("n").alias("bn")), texts, docs)
+    answers = _answers(first.select(F.col("l.node").alias("a"), F.col("node").alias("b")), texts, docs)
     is_link = _enough(F.col("both"), F.col("an"), F.col("bn"), share)
     links = answers.filter(is_link).select("a", "b")
     classes = components(links)
@@ -228,7 +247,7 @@ def shingle_join(docs: DataFrame, share: tuple[int, int] = SHARE, leaders: int =
             break
         lead = left.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "root", "both"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("l"))
         stars = left.join(lead, "token").filter(F.col("node") != F.col("l.node"))
-        asked = stars.filter(_open("l.", share)).select(F.col("l.node").alias("a"), F.col("node").alias("b"), F.col("l.n").alias("an"), F.col("n").alias("bn"))
+        asked = stars.filter(_open("l.", share)).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
         more = _answers(asked, texts, docs).filter(is_link).select("a", "b")
         before, left = left, kept(stars.drop("l"))
         drop(before)
@@ -300,16 +319,22 @@ def _block_pairs(left: DataFrame, share: tuple[int, int], block: int) -> DataFra
     yours = member.select("token", name.alias("block2"), F.struct("node", "n", "pos", "root", "both").alias("o"))
     pairs = asked.join(mine, ["token", "block1"]).join(yours, ["token", "block2"])
     pairs = pairs.filter(((F.col("block1") < F.col("block2")) | (F.col("node") < F.col("o.node"))) & _open("o.", share))
-    a, b = F.struct("node", "n"), F.struct("o.node", "o.n")
-    return pairs.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("an"), F.col("y.n").alias("bn"))
+    return pairs.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
 
 
 def _answers(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The overlaps of the pairs' whole sets, each pair once."""
-    pairs = kept(pairs.distinct())
-    whole = _texts_of(_keys_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts), docs)
-    sets = held(whole.mapInArrow(pack_batches, "node long, items binary"))
-    a, b = (sets.select(F.col("node").alias(x), F.col("items").alias(y)) for x, y in (("a", "x"), ("b", "y")))
-    out = kept(pairs.join(a, "a").join(b, "b").mapInArrow(overlap_batches, "a long, b long, an int, bn int, both int"))
-    drop(whole, sets, pairs)
+    """The overlaps of the pairs' whole sets, each pair once: members go to their leader ``a``, at
+    most about ``MEMBERS`` of one leader to a task."""
+    pairs = kept(pairs.select("a", "b").distinct())
+    leaders = kept(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("salts")))
+    asks = pairs.join(leaders, "a").select(F.col("b").alias("node"), F.struct("a", "salts").alias("to")).unionByName(leaders.select(F.col("a").alias("node"), F.struct("a", "salts").alias("to")))
+    asks = asks.groupBy("node").agg(F.collect_list("to").alias("to"))  # at most a leader for each shingle of its prefix
+    wanted = kept(texts.join(asks, "node").select("node", F.coalesce("first_id", F.lit(-1 << 63)).alias("id"), "h1", "h2", "size", "to"))
+    # Few enough to broadcast, by a check of their number; else the texts are shuffled.
+    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+    keyed = docs.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), *_text_key(F.col("text")), "text")
+    sent = keyed.join(keys, ["id", "h1", "h2", "size"]).select("node", "to", "text").mapInArrow(send_batches, "a long, salt int, b long, items binary")
+    met = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("a") != F.col("b"), "b")
+    out = kept(met.mapInArrow(overlap_batches, "a long, b long, an int, bn int, both int"))
+    drop(pairs, leaders, wanted)
     return out
