@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpuslens.llm import _tokens, decontaminate, graph, near_dedup, neighbours, packing, passages, pii, quality, sharding, toxicity, warc
@@ -364,14 +365,38 @@ def test_decontamination_in_sets_and_removal(spark):
     got = {r["doc_id"]: r for r in decontaminate.contamination_report(docs, bench).collect()}
     assert (got[1]["n_words"], got[1]["n_hit"], got[1]["n_items"]) == (20, 11, 2) and got[1]["items_sha256"] == hashlib.sha256(b"1,10").hexdigest()
     assert got[2]["n_hit"] == 2 and not got[3]["contaminated"] and got[3]["items_sha256"] == hashlib.sha256(b"").hexdigest()
-    many = {r["doc_id"]: (sum(s["last"] - s["first"] + 1 for s in r["spans"]), r["items"]) for r in decontaminate.find_contamination(docs, bench, set_bytes=40).collect()}
+    many = {r["doc_id"]: (sum(s["last"] - s["first"] + 1 for s in r["spans"]), r["items"]) for r in decontaminate.find_contamination(docs, bench, set_bytes=900).collect()}
     assert many == {i: (got[i]["n_hit"], [["1", "10"], ["2"], [], ["1", "10"]][i - 1]) for i in got}
-    cut = {r["doc_id"]: (sum(s["last"] - s["first"] + 1 for s in r["spans"]), r["items"]) for r in decontaminate.find_contamination(docs, bench, set_bytes=40, piece_windows=1).collect()}
-    assert cut == many and decontaminate.pieces_of("a b c d", 3, 1) == ["a b c", "b c d"] and decontaminate.pieces_of("a b", 3) == ["a b"] and decontaminate.pieces_of(" ", 3) == []
+    cut = {r["doc_id"]: (sum(s["last"] - s["first"] + 1 for s in r["spans"]), r["items"]) for r in decontaminate.find_contamination(docs, bench, set_bytes=3000, piece_windows=1).collect()}
+    assert cut == many and decontaminate.pieces_of("a b c d", 3, 1) == [("a b c", 3), ("b c d", 3)] and decontaminate.pieces_of("a b", 3) == [("a b", 2)] and decontaminate.pieces_of(" ", 3) == []
     kept = {r["doc_id"]: r["text"] for r in decontaminate.remove_contamination(docs, bench, drop_share=0.9).collect()}
     assert kept == {1: "Before  after the end of it all and more", 2: "A  here", 3: "clean words only"}
 
 
+def test_window_set_near_its_bound():
+    """A set is as large as told before it was built, and finds what a plain search finds."""
+    import pickle
+
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = [(str(k % 900), " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 60)))) for k in range(2500)]
+    held = decontaminate.WindowSet(rows, 10)
+    told = sum(len(t) + decontaminate.WORD_BYTES * len(t.split()) for _, t in rows)
+    assert len(pickle.dumps(held)) < 1.5 * told + (1 << 20) * len(held.by_size)
+    plain = {}
+    for item, text in rows:
+        words = text.split()
+        for i in range(max(1, len(words) - 9)):
+            plain.setdefault(tuple(words[i : i + 10]), set()).add(item)
+    texts = [" ".join([*(rng.choice(vocabulary) for _ in range(5)), *rng.choice(rows)[1].split()[: rng.randint(1, 30)], "Zz"]) for _ in range(200)]
+    n_words, spans, items = held.find(pa.array(texts))
+    for text, n, own, found in zip(texts, n_words, spans, items):
+        words = text.lower().split()
+        hits = [(i, i + size) for size in range(1, 11) for i in range(len(words) - size + 1) if tuple(words[i : i + size]) in plain]
+        assert n == len(words) and {p for a, b in hits for p in range(a, b)} == {p for a, b in own for p in range(a, b + 1)}
+        assert found == {x for a, b in hits for x in plain[tuple(words[a:b])]}
+
+
 # 9 WARC
 def test_warc_round_trip(spark, tmp_path):
     body = "line\r\n\r\nWARC/1.1\r\n é" + "x" * 100
