@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import Roller, mix, pack_plain, pack_sorted, text_blocks, unpack_plain, unpack_sorted
-from ._spark import drop, kept, only
+from ._spark import drop, held, kept, only
 from .decontaminate import LOWER
 from .graph import components
 from .near_dedup import BROADCAST_NODES, _text_key, distinct_shingles, shingles
@@ -218,15 +218,12 @@ def shingle_join(docs: DataFrame, share: tuple[int, int] = SHARE, leaders: int =
     key = ["d1", "d2", "n"]
     nodes = signed.filter("n > 0").groupBy(*key).agg(F.min(F.struct("row", "doc_id", "h1", "h2", "size")).alias("f"), F.min("doc_id").alias("least_id"), F.first("prefix").alias("prefix"))
     nodes = nodes.select(F.col("f.row").alias("node"), F.col("f.doc_id").alias("first_id"), "f.h1", "f.h2", "f.size", *key, "least_id", "prefix")
-    chunks = kept(nodes.mapInArrow(lambda batches: chunk_batches(batches, CHUNK_SHINGLES), CHUNK))
-    whole, signed = signed, kept(signed.select("doc_id", *key))
-    drop(whole)
+    chunks = held(nodes.mapInArrow(lambda batches: chunk_batches(batches, CHUNK_SHINGLES), CHUNK))
     nodes = kept(chunks.select(F.explode("rows").alias("r")).select("r.*"))
     lists = _lists(chunks)
-    drop(chunks)
     shared = lists.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("l"), F.count("*").alias("members")).filter("members > 1").select("token", "l")
     every, lists = lists, kept(lists.join(shared, "token"))
-    drop(every)
+    drop(every, chunks)
     texts = nodes.select("node", "first_id", "h1", "h2", "size")
 
     # Answers of the leaders.
@@ -275,7 +272,7 @@ def _lists(chunks: DataFrame) -> DataFrame:
     bits = max(2, int(np.ceil(np.log2(max(1, total / SHARD_SHINGLES)))))
     asked = chunks.select("chunk", "prefixes").mapInArrow(lambda batches: ask_batches(batches, bits), "shard int, chunk long, keys binary")
     told = asked.groupBy("shard").applyInPandas(_several, "chunk long, hits binary").groupBy("chunk").agg(F.collect_list("hits").alias("told"))
-    return kept(chunks.join(told, "chunk", "left").mapInArrow(list_batches, "token long, node long, n int, pos int"))
+    return held(chunks.join(told, "chunk", "left").mapInArrow(list_batches, "token long, node long, n int, pos int"))
 
 
 def _open(other: str, share: tuple[int, int]) -> Column:
