@@ -1,4 +1,4 @@
-"""Offset-bearing text functions that columns cannot express, as Arrow-batched pandas functions."""
+"""Text functions with offsets: spans found by forms in Arrow batches, spans and chunks as columns."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -57,33 +58,6 @@ def combine_entities(entities: list[tuple], forms: list[tuple]) -> list[tuple]:
     return merge_spans(forms + free)
 
 
-def render(text: str, spans) -> str:
-    """The text with markers for personal spans that were not refused; touching ones are one."""
-    out, at, runs = [], 0, []
-    for s in sorted((s for s in spans if s["confirmed"] is not False and s["kind"] not in fixed.NOT_PERSONAL), key=lambda s: (s["start"], s["end"])):
-        if runs and s["start"] <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], s["end"])
-        else:
-            runs.append([s["start"], s["end"], s["kind"]])
-    for start, end, kind in runs:
-        out += [text[at:start], fixed.MARKERS.get(kind, fixed.OTHER_MARKER)]
-        at = end
-    return "".join([*out, text[at:]])
-
-
-def sentence_chunks(text: str, limit: int) -> list[str]:
-    """Whole lines packed up to a number of words; longer lines are cut first."""
-    lines = [line[i : i + limit] for line in (x.split() for x in (text or "").split("\n")) for i in range(0, len(line), limit)]
-    chunks, size = [[]], 0
-    for line in lines:
-        if size + len(line) > limit:
-            chunks.append([])
-            size = 0
-        chunks[-1].append(" ".join(line))
-        size += len(line)
-    return ["\n".join(c) for c in chunks]
-
-
 def word_error_rate(reference: str, other: str) -> float:
     a, b = (reference or "").split(), (other or "").split()
     if not a:
@@ -105,18 +79,41 @@ def pii_spans(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [dict(zip(names, s)) for s in detect(t or "")])
 
 
-@F.pandas_udf(ST.StringType())
-def redact(text: pd.Series, spans: pd.Series) -> pd.Series:
-    """Spans: array of (start, end, kind, confirmed)."""
-    return pd.Series([None if t is None else render(t, [] if s is None else list(s)) for t, s in zip(text, spans)])
-
-
-def chunks(limit: int):
-    @F.pandas_udf(ST.ArrayType(ST.StringType()))
-    def cut(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: sentence_chunks(t or "", limit))
-
-    return cut
+def redact_sql(text: str, spans: str) -> str:
+    """SQL for the text with markers for personal spans (start, end, kind, confirmed) that were not
+    refused; touching ones are one, by the first kind."""
+    quoted = lambda x: "'" + x.replace("'", "\\'") + "'"
+    shown = " ".join(f"when {quoted(k)} then {quoted(m)}" for k, m in fixed.MARKERS.items())
+    personal = f"filter({spans}, s -> coalesce(s.confirmed, true) and s.kind not in ({', '.join(map(quoted, fixed.NOT_PERSONAL))}))"
+    ordered = f"array_sort(transform({personal}, s -> struct(cast(s.start as int) as start, cast(s.`end` as int) as `end`, s.kind as kind)))"
+    new = f"concat(a.out, substring({text}, greatest(a.`end`, 0) + 1, s.start - greatest(a.`end`, 0)), case s.kind {shown} else {quoted(fixed.OTHER_MARKER)} end)"
+    step = f"struct(if(s.start <= a.`end`, a.out, {new}) as out, if(s.start <= a.`end`, greatest(a.`end`, s.`end`), s.`end`) as `end`)"
+    return f"aggregate(coalesce({ordered}, array()), struct('' as out, -1 as `end`), (a, s) -> {step}, a -> concat(a.out, substring({text}, greatest(a.`end`, 0) + 1, length({text}))))"
+
+
+def redacted(text: str, spans: str) -> Column:
+    """``redact_sql`` over two columns, by their names."""
+    return F.expr(redact_sql(text, spans))
+
+
+def chunks(text: Column, limit: int) -> Column:
+    """Whole lines packed up to a number of words; longer lines are cut first; a blank text is one
+    empty chunk."""
+    line = lambda x: F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
+    cut = lambda words: F.transform(F.sequence(F.lit(0), F.ceil(F.size(words) / limit).cast("int") - 1), lambda i: F.slice(words, i * limit + 1, limit))
+    none = F.array().cast("array<array<string>>")
+    lines = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.get(F.transform(F.array(line(x)), lambda words: F.when(F.size(words) > 0, cut(words)).otherwise(none)), 0)))
+    begin = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("size"))
+
+    def add(s: Column, words: Column) -> Column:
+        own, full = F.array_join(words, " "), s["size"] + F.size(words) > limit
+        return F.struct(
+            F.when(full, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"]).alias("done"),
+            F.when(full | (s["size"] == 0), own).otherwise(F.concat(s["open"], F.lit("\n"), own)).alias("open"),
+            (F.when(full, 0).otherwise(s["size"]) + F.size(words)).alias("size"),
+        )
+
+    return F.aggregate(lines, begin, add, lambda s: F.concat(s["done"], F.array(s["open"])))
 
 
 @F.pandas_udf(ST.DoubleType())

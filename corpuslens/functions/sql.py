@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Row, SparkSession
 from pyspark.sql import functions as F
 
-from .spans import detect, redact
+from .spans import detect, redact_sql
 from . import text as T
 
 #: Scalar functions: name, and the column function of one text.
-SCALARS = {"cl_fold": T.fold, "cl_normalise": T.normalise, "cl_fingerprint": T.fingerprint, "cl_category": T.category}
+SCALARS = {"cl_fingerprint": T.fingerprint, "cl_category": T.category}
+#: Functions that are written as SQL themselves, of a column x.
+WRITTEN = {"cl_fold": T.fold_sql("x"), "cl_normalise": f"trim(regexp_replace({T.fold_sql('x')}, '[^a-z0-9]+', ' '))"}
 
 
 @F.udtf(returnType="start int, end int, kind string, detector string")
@@ -30,6 +32,9 @@ def register(spark: SparkSession) -> list[str]:
     for name, f in SCALARS.items():
         analysed = text.select(f(F.col("x")).alias("y"))._jdf.queryExecution().analyzed().expressions().head()
         spark.sql(f"create or replace temporary function {name}(x string) returns string return {analysed.child().sql()}")
+    for name, body in WRITTEN.items():
+        spark.sql(f"create or replace temporary function {name}(x string) returns string return {body}")
     spark.udtf.register("cl_spans", SpansOf)
-    spark.udf.register("cl_redact", redact)
-    return [*SCALARS, "cl_spans", "cl_redact"]
+    spans = "array<struct<start: int, end: int, kind: string, confirmed: boolean>>"
+    spark.sql(f"create or replace temporary function cl_redact(x string, spans {spans}) returns string return {redact_sql('x', 'spans')}")
+    return [*SCALARS, *WRITTEN, "cl_spans", "cl_redact"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -11,30 +10,75 @@ from pyspark.sql import functions as F
 from .. import fixed
 
 SPACE = r"(?U)\s+"
+#: Beyond it no character decomposes to ASCII ones, and none is a combining mark.
+LAST = 0x20000
 
 
-def _accents() -> tuple[str, str]:
-    """Letters whose decomposition is one ASCII letter or digit and marks, and that character."""
-    src, dst = [], []
-    for code in range(0x80, 0x2100):
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code).lower()) if not unicodedata.combining(c))
-        if len(plain) == 1 and plain.isascii() and plain.isalnum():
-            src.append(chr(code))
-            dst.append(plain)
-    return "".join(src), "".join(dst)
+def _plain(c: str) -> str:
+    """A character's compatibility decomposition without its combining marks, in lower case."""
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
 
 
-_FROM, _TO = _accents()
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """Characters that decompose to one ASCII letter or digit, and that; those that decompose to
+    several characters with some of these among them (ligatures, fractions, units), and what to."""
+    src, dst, wide = [], [], {}
+    for code in range(0x80, LAST):
+        c = chr(code)
+        if unicodedata.decomposition(c) or c != c.lower():
+            plain = _plain(c)
+            if any(x.isascii() and x.isalnum() for x in plain):
+                if len(plain) == 1:
+                    src.append(c)
+                    dst.append(plain)
+                else:
+                    wide[c] = plain
+    return "".join(src), "".join(dst), wide
+
+
+def _class(chars: list[str]) -> str:
+    """The ranges of some characters, for a regular expression's class."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if out and code == out[-1][1] + 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+_FROM, _TO, _WIDE = _decompositions()
+_WIDE_CLASS = _class(list(_WIDE))
+_MARKS = _class([chr(c) for c in range(0x80, LAST) if unicodedata.combining(chr(c)) or unicodedata.decomposition(chr(c)) and not _plain(chr(c))])
+#: Characters outside the usual ones, of which none decomposes to several or is a rarer mark.
+_RARE = r"[^\x00-\xbb\xbf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u01c3\u0300-\u036f\u2010-\u2027\u20ac]"
+
+
+def _spread(c: Column) -> Column:
+    """With characters that decompose to several in place of these, and without rarer marks."""
+    table = F.expr(f"map({', '.join(f'{chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)}' for k, v in _WIDE.items())})")
+    parts = F.regexp_extract_all(F.regexp_replace(c, f"[{_MARKS}]+", ""), F.lit(f"[{_WIDE_CLASS}]|[^{_WIDE_CLASS}]+"), 0)
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents, code point by code point."""
-    return F.regexp_replace(F.translate(F.lower(c), _FROM, _TO), "[\\u0300-\\u036f]", "")
+    """Lower case, decomposed as far as letters and digits go (NFKD), without combining marks."""
+    spread = F.when(c.rlike(_RARE), _spread(c)).otherwise(c)
+    return F.regexp_replace(F.translate(F.lower(F.translate(spread, _FROM, _TO)), _FROM, _TO), "[\\u0300-\\u036f]", "")
+
+
+def fold_sql(name: str) -> str:
+    """``fold`` of a column by name, as SQL."""
+    table = ", ".join(f"'{k}', '{v}'" for k, v in _WIDE.items())
+    parts = f"regexp_extract_all(regexp_replace({name}, r'[{_MARKS}]+', ''), r'[{_WIDE_CLASS}]|[^{_WIDE_CLASS}]+', 0)"
+    spread = f"case when {name} rlike r'{_RARE}' then array_join(transform({parts}, x -> coalesce(try_element_at(map({table}), x), x)), '') else {name} end"
+    return f"regexp_replace(translate(lower(translate({spread}, '{_FROM}', '{_TO}')), '{_FROM}', '{_TO}'), r'[\\u0300-\\u036f]', '')"
 
 
 def fold_word(word: str) -> str:
     """What ``fold`` makes of a word, on the driver."""
-    return re.sub("[\u0300-\u036f]", "", word.lower().translate(str.maketrans(_FROM, _TO)))
+    plain = "".join(_WIDE.get(c, c) for c in word).translate(str.maketrans(_FROM, _TO)).lower()
+    return "".join(c for c in plain.translate(str.maketrans(_FROM, _TO)) if not unicodedata.combining(c))
 
 
 def normalise(c: Column) -> Column:
@@ -136,9 +180,16 @@ def is_drift(c: Column) -> Column:
     return _with(repetition(c), lambda r: drifts(r, F.length(c)))
 
 
+def quality_words(c: Column) -> Column:
+    """Words of three characters or more, in lower case, that keep three letters (of a to z and those
+    with accents) when everything else in them goes."""
+    long = F.filter(words(c), lambda w: F.length(w) > 2)
+    return F.filter(F.transform(long, lambda w: F.regexp_replace(F.lower(w), "[^a-zà-ÿ]", "")), lambda w: F.length(w) > 2)
+
+
 def quality_score(c: Column, lexicon: Column) -> Column:
-    """Share of the longer words that a lexicon (array of words) holds; 0 without such words."""
-    tokens = F.filter(F.transform(F.filter(words(c), lambda w: F.length(w) > 2), lambda w: F.regexp_replace(F.lower(w), r"(?U)[^\p{L}]", "")), lambda w: F.length(w) > 2)
+    """Share of the longer words that a small lexicon (array of words) holds; 0 without such words."""
+    tokens = quality_words(c)
     return F.when(F.size(tokens) == 0, 0.0).otherwise(F.size(F.filter(tokens, lambda w: F.array_contains(lexicon, w))) / F.size(tokens))
 
 

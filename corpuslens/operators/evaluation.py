@@ -43,11 +43,10 @@ def stratified_sample(items: DataFrame, key: str, count: str, size: int = fixed.
     sizes = {r["stratum"]: r["n"] for r in rows.groupBy("stratum").agg(F.count("*").alias("n")).collect()}  # three rows
     total = sum(sizes.values())
     quota = {s: min(n, max(floor, round(size * n / total))) for s, n in sizes.items()}
-    while sum(quota.values()) > size:
-        top = max(sorted(quota), key=lambda s: quota[s])
-        if quota[top] <= floor:
-            break
-        quota[top] -= 1
+    surplus = sum(quota.values()) - size
+    for s in sorted(quota, key=lambda s: (-quota[s], s)):  # the largest gives first, down to the floor
+        cut = max(0, min(surplus, quota[s] - floor))
+        quota[s], surplus = quota[s] - cut, surplus - cut
     table = rows.sparkSession.createDataFrame([(s, q, sizes[s] / q) for s, q in quota.items()] or [("", 0, 0.0)], "stratum string, quota int, weight double")
     w = Window.partitionBy("stratum").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
     return rows.withColumn("place", F.row_number().over(w)).join(F.broadcast(table), "stratum").filter("place <= quota").drop("place", "quota")

@@ -6,26 +6,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..storage import materialised
+from ..storage import discard, materialised
 
 
-def closure(nodes: DataFrame, max_depth: int = 100) -> DataFrame:
+def _parents(nodes: DataFrame) -> DataFrame:
+    """node and parent, where the parent is a node."""
+    return nodes.join(nodes.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select("node", "parent")
+
+
+def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The ancestors at distances 1, 2, 4, ... until a tree has none so far up, and those that nodes
+    have beyond any tree's depth, which are on cycles."""
+    jumps, most = [materialised(_parents(nodes))], nodes.count()
+    reach = 1
+    while reach <= most and not jumps[-1].isEmpty():
+        far = jumps[-1].select(F.col("node").alias("parent"), F.col("parent").alias("far"))
+        jumps.append(materialised(jumps[-1].join(far, "parent").select("node", F.col("far").alias("parent"))))
+        reach *= 2
+    return jumps[:-1] or jumps, jumps[-1]
+
+
+def closure(nodes: DataFrame) -> DataFrame:
     """ancestor, node and distance, each node with itself; a parent outside the nodes is none.
 
-    Walks up one level a round, so a chain of depth d takes d joins; cycles stop where they
-    come back to a node already met.
+    Distances double every round, so a chain of depth d takes the logarithm of d in rounds, and
+    no depth is too large.  On a cycle every ancestor counts once, at its least distance.
     """
-    up = nodes.join(nodes.select(F.col("node").alias("parent")), "parent", "left_semi").select("node", "parent")
-    front = nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("distance"))
-    out = front
-    for d in range(1, max_depth + 1):
-        front = materialised(front.join(up.select(F.col("node").alias("ancestor"), F.col("parent").alias("next")), "ancestor").select(F.col("next").alias("ancestor"), "node", F.lit(d).alias("distance")).join(out.select("ancestor", "node"), ["ancestor", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
+    jumps, endless = _jumps(nodes)
+    loops = not endless.isEmpty()
+    out = nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("distance"))
+    for k, jump in enumerate(jumps):
+        above = out.select(F.col("node").alias("parent"), "ancestor", (F.col("distance") + (1 << k)).alias("distance"))
+        out = out.unionByName(jump.join(above, "parent").select("ancestor", "node", "distance"))
+        if loops:
+            out = out.groupBy("ancestor", "node").agg(F.min("distance").alias("distance"))
+        out = materialised(out)
+    discard(*jumps)
     return out
 
 
+def cycles(nodes: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """The cycles of a forest by parent, each once: its smallest node, its length, and the nodes (or
+    their names) along the parents from there back to it."""
+    _, endless = _jumps(nodes)
+    around = endless.select(F.col("parent").alias("node")).distinct()
+    ring = _parents(nodes).join(around, "node", "left_semi")
+    steps = closure(ring)
+    named = steps.join(names.select(F.col("node").alias("ancestor"), "name"), "ancestor") if names is not None else steps.withColumn("name", F.col("ancestor"))
+    first = steps.groupBy("node").agg(F.min("ancestor").alias("first")).filter("node = first").select("node")
+    path = F.transform(F.array_sort(F.collect_list(F.struct("distance", "name"))), lambda x: x["name"])
+    found = named.join(first, "node").groupBy("node").agg(F.count("*").alias("length"), path.alias("path"))
+    return found.select("node", "length", F.concat("path", F.slice("path", 1, 1)).alias("path"))
+
+
+def multi_paths(closed: DataFrame, names: DataFrame) -> DataFrame:
+    """Pairs of a node and a name above it that more than one path leads to, with these paths as
+    names: topics of one name are one target.  Of trees: ``cycles`` come first."""
+    step = closed.join(names.select(F.col("node").alias("ancestor"), "name"), "ancestor")
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("distance", "name"))), lambda x: x["name"])
+    chains = step.groupBy("node").agg(whole.alias("chain"))
+    twice = step.filter("distance > 0").groupBy("node", F.col("name").alias("target")).agg(F.count("*").alias("paths"), F.array_sort(F.collect_list("distance")).alias("at")).filter("paths > 1")
+    return twice.join(chains, "node").select("node", "target", F.transform("at", lambda d: F.slice("chain", 1, d + 1)).alias("paths"))
+
+
 def roots(nodes: DataFrame) -> DataFrame:
     return nodes.join(nodes.select(F.col("node").alias("parent")), "parent", "left_anti").select("node")
 

@@ -14,8 +14,6 @@ from ..functions import text as T
 from ..schemas import RUN
 
 
-
-
 def author(given: str | None = None) -> str:
     """The argument, the environment, git's identity, the account; blank counts as none."""
     def git(key: str) -> str:
@@ -70,9 +68,14 @@ def write_layer(rows: DataFrame, path: str, run: int) -> None:
     rows.withColumn("run_id", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str, empty: str | None = None) -> DataFrame:
-    """Rows of ``changes`` replace those with the same key; rows for which ``empty`` holds go."""
-    out = table.join(changes.select(key), key, "left_anti").unionByName(changes)
+def upsert(table: DataFrame, changes: DataFrame, key: str, empty: str | None = None, order: str | None = None) -> DataFrame:
+    """Rows of ``changes`` replace those with the same key, of which null is one; rows for which
+    ``empty`` holds go.  Of several changes with one key the last by ``order`` is the one that
+    counts, then the largest in all columns as text."""
+    last = Window.partitionBy(key).orderBy(*[F.desc_nulls_last(c) for c in ([order] if order else [])], F.desc(F.to_json(F.struct("*"))))
+    changes = changes.withColumn("_place", F.row_number().over(last)).filter("_place = 1").drop("_place")
+    known = changes.select(F.col(key).alias("_key"))
+    out = table.join(known, F.col(key).eqNullSafe(F.col("_key")), "left_anti").unionByName(changes)
     return out.filter(f"not ({empty})") if empty else out
 
 

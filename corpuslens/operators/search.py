@@ -1,51 +1,75 @@
-"""Full-text search over folded, stemmed words: boolean match, rank, excerpts, keyword grids, an index.
+"""Full-text search over folded French stems: boolean match, rank, excerpts, keyword grids, an index.
 
 A text is matched as one string of stems between blanks, so words and phrases are plain
-substrings.  The index holds the positions of every stem of every document, dealt by stem;
-a query reads its own stems only.
+substrings; a stop word keeps its place as a gap, which any word fills.  The index deals documents
+to ranges by length, holds for every stem and range the postings and the largest count, and
+answers a top-k query from the ranges that can still hold a better document.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import fixed
+from ..functions import french
 from ..functions import spans as S
 from ..functions import text as T
 
-#: Light French endings, longest first; a stem keeps four letters.
-ENDINGS = ("issements", "issement", "atrices", "ateurs", "ations", "ements", "ateur", "ation", "ement", "euses", "ives", "euse", "ite", "eux", "ies", "ees", "er", "es", "ee", "s", "e")
-#: Folders that an index is dealt to, by stem.
-INDEX_PARTS = 64
+#: What stands for a stop word.
+GAP = "-"
+#: Documents of a range of the index, about; ranges that a top-k query reads first.
+RANGE_DOCS, FIRST_RANGES = 20_000, 4
+#: Words that a worker remembers the stems of.
+REMEMBERED = 1_000_000
 #: Fixed value: what one occurrence of a query word weighs in a cover.
 COVER_WEIGHT = 0.1
 
 
-def stem(word: str) -> str:
-    for end in ENDINGS:
-        if word.endswith(end) and len(word) - len(end) >= 4:
-            return word[: -len(end)]
-    return word
+def stem(word: str) -> str | None:
+    """The stem of a folded word; none for a stop word."""
+    return None if word in french.STOP_WORDS else french.stem(word)
+
+
+class _Stems(dict):
+    """Stems of the words met so far."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = out = stem(word) or GAP
+        return out
+
+
+_known = _Stems()
+
+
+@F.pandas_udf(StringType())
+def _stem_words(normal: pd.Series) -> pd.Series:
+    return normal.map(lambda t: None if t is None else f" {' '.join(map(_known.__getitem__, t.split()))} ")
 
 
 def stemmed(text: Column) -> Column:
-    """The stems of a text in order, with a blank before, between and after."""
-    return F.concat(F.lit(" "), F.regexp_replace(T.normalise(text), f"(?<=[a-z0-9]{{4}})(?:{'|'.join(ENDINGS)})(?![a-z0-9])", ""), F.lit(" "))
+    """The stems of a text in order, with a blank before, between and after; gaps for stop words."""
+    return _stem_words(T.normalise(text))
 
 
-def stems(text: Column) -> Column:
-    return F.filter(F.split(stemmed(text), " "), lambda w: w != "")
+def tokens(stemmed_text: Column) -> Column:
+    """The stems and gaps of a stemmed text."""
+    return F.filter(F.split(stemmed_text, " "), lambda w: w != "")
 
 
 class Query:
     """Web-style syntax: words are required, "phrases" too, or between alternatives, - negates.
     Nothing is a syntax error.
 
-    ``groups`` are alternatives, each a list of stems in order; ``words`` are the folded words
-    that may be shown, each once.
+    ``groups`` are alternatives, each a list of stems in order, with None where a stop word leaves a
+    gap; stop words alone ask for nothing.  ``words`` are the folded words that may be shown.
     """
 
     def __init__(self, text: str) -> None:
@@ -59,6 +83,10 @@ class Query:
                 joined = bool(self.groups)
                 continue
             own = [stem(w) for w in re.findall("[a-z0-9]+", raw)]
+            while own and own[-1] is None:
+                own.pop()
+            while own and own[0] is None:
+                own.pop(0)
             if not own:
                 continue
             if minus:
@@ -72,7 +100,11 @@ class Query:
             joined = False
 
     def matches(self, stemmed_text: Column) -> Column:
-        there = lambda phrase: F.contains(stemmed_text, F.lit(f" {' '.join(phrase)} "))
+        def there(phrase: list) -> Column:
+            if None in phrase:
+                return stemmed_text.rlike(" " + " ".join(w or "[^ ]+" for w in phrase) + " ")
+            return F.contains(stemmed_text, F.lit(f" {' '.join(phrase)} "))
+
         out = F.lit(bool(self.groups or self.negated))
         for group in self.groups:
             any_of = there(group[0])
@@ -89,16 +121,20 @@ class Query:
         out: dict[str, list[int]] = {}
         n = 0
         for group in self.groups:
-            wide = max(len(p) for p in group)
-            for phrase in group:
+            wide = self._wide(group)
+            for phrase in ([w for w in p if w] for p in group):
                 for k in range(wide):
                     own = out.setdefault(phrase[min(k, len(phrase) - 1)], [])
                     own += [n + k] if n + k not in own else []
             n += wide
         return out
 
+    @staticmethod
+    def _wide(group: list) -> int:
+        return max(len(p) - p.count(None) for p in group)
+
     def demands(self) -> int:
-        return sum(max(len(p) for p in g) for g in self.groups)
+        return sum(map(self._wide, self.groups))
 
     def rank(self, events: Column) -> Column:
         """Cover density: each shortest stretch that meets all demands counts less the more other
@@ -125,9 +161,9 @@ class Query:
 
         return F.aggregate(events, start, step, lambda s: s["sum"])
 
-    def events(self, tokens: Column) -> Column:
+    def events(self, words: Column) -> Column:
         wanted = list(self.wanted())
-        each = F.transform(tokens, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
+        each = F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("word")))
         return F.filter(each, lambda e: e["word"].isin(*wanted)) if wanted else F.slice(each, 1, 0)
 
 
@@ -139,42 +175,70 @@ def _shown(top: DataFrame, q: Query, pii: DataFrame | None) -> DataFrame:
     """With the excerpts; texts are redacted before they are cut."""
     if pii is not None:
         own = pii.join(F.broadcast(top.select("id")), "id", "left_semi").groupBy("id").agg(F.collect_list(F.struct("start", "end", "kind", "confirmed")).alias("spans"))
-        top = top.join(own, "id", "left").withColumn("text", S.redact("text", "spans")).drop("spans")
+        top = top.join(own, "id", "left").withColumn("text", S.redacted("text", "spans")).drop("spans")
     return top.withColumn("snippet", T.excerpt(F.col("text"), q.words))
 
 
 def search(docs: DataFrame, query: str, limit: int = fixed.SEARCH_LIMIT, pii: DataFrame | None = None) -> DataFrame:
     """The best documents (id, text) with rank and snippet, found by reading the texts."""
     q = Query(query)
-    found = docs.filter(q.matches(stemmed(F.col("text"))))
-    return _shown(_best(found.withColumn("rank", q.rank(q.events(stems(F.col("text"))))), limit), q, pii)
+    found = docs.withColumn("stemmed", stemmed(F.col("text"))).filter(q.matches(F.col("stemmed")))
+    ranked = found.withColumn("rank", q.rank(q.events(tokens(F.col("stemmed"))))).drop("stemmed")
+    return _shown(_best(ranked, limit), q, pii)
 
 
 def count(docs: DataFrame, query: str) -> DataFrame:
     return docs.filter(Query(query).matches(stemmed(F.col("text")))).agg(F.count("*").alias("hits"))
 
 
-def write_index(docs: DataFrame, path: str) -> None:
-    """The positions of every stem of every document (id, text), in folders by stem; files are in
-    the order of stems, so a query's stems are found by file statistics."""
-    words = docs.select("id", F.posexplode(stems(F.col("text"))).alias("at", "word"))
-    held = words.groupBy("word", "id").agg(F.sort_array(F.collect_list("at")).alias("places"))  # of one text each
-    held = held.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(INDEX_PARTS)).cast("int"))
-    held.repartition(INDEX_PARTS, "part").sortWithinPartitions("part", "word", "id").write.mode("overwrite").partitionBy("part").parquet(path)
+def _posted(batches):
+    """range, id, stem, its count and places, of every stem of every document."""
+    for batch in batches:
+        out = []
+        for part, ident, text in zip(batch["range"], batch["id"], batch["normal"]):
+            places: dict[str, list[int]] = {}
+            for at, word in enumerate(map(_known.__getitem__, (text or "").split())):
+                if word != GAP:
+                    places.setdefault(word, []).append(at)
+            out += [(part, ident, word, len(at), at) for word, at in places.items()]
+        yield pd.DataFrame(out, columns=["range", "id", "word", "n", "places"])
 
 
-def find(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """id and rank of the documents that answer the query, from an index alone.
+def write_index(docs: DataFrame, path: str, range_docs: int = RANGE_DOCS) -> None:
+    """The postings of documents (id, text), and of every stem and range how many there are and the
+    largest count.
 
-    A query of negated words only needs all documents: the index does not know those without
-    words, so it is refused.
+    A range holds documents of like length (by powers of two), so counts in one are alike and long
+    documents, which rank high, are read first.  Ranges are files of their own, in order of stems:
+    the write is as parallel as there are ranges, and a query's stems are found by file statistics.
     """
-    q = Query(query)
+    own = docs.select("id", T.normalise(F.col("text")).alias("normal"))
+    kind = F.floor(F.log2(F.length("normal") + 1)).cast("int")
+    sizes = {r["kind"]: -(-r["n"] // range_docs) for r in own.select(F.coalesce(kind, F.lit(0)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n")).collect()}  # some thirty rows
+    wide = max(sizes, default=0) + 1
+    begins = np.concatenate([[0], np.cumsum([sizes.get(k, 0) for k in range(wide)])]).tolist()
+    at = F.coalesce(kind, F.lit(0)) + 1
+    first, many = (F.element_at(F.array(*[F.lit(int(x)) for x in xs]), at) for xs in (begins[:-1], [max(1, sizes.get(k, 0)) for k in range(wide)]))
+    dealt = own.withColumn("range", (first + F.pmod(F.xxhash64("id"), many)).cast("int"))
+    id_type = dict(docs.dtypes)["id"]
+    posted = dealt.mapInPandas(_posted, f"range int, id {id_type}, word string, n int, places array<int>")
+    posted.repartition(max(1, begins[-1]), "range").sortWithinPartitions("range", "word", "id").write.mode("overwrite").partitionBy("range").parquet(f"{path}/postings")
+    blocks = docs.sparkSession.read.parquet(f"{path}/postings").groupBy("word", "range").agg(F.count("*").alias("docs"), F.max("n").alias("most")) if begins[-1] else posted.select("word", "range", F.lit(0).cast("long").alias("docs"), F.col("n").alias("most"))
+    blocks.repartitionByRange("word").sortWithinPartitions("word", "range").write.mode("overwrite").parquet(f"{path}/blocks")
+
+
+def _asked(q: Query) -> list[str]:
+    """All stems that decide a query; one of negated words only is refused: the index does not know
+    documents without words."""
     if not q.groups:
         raise ValueError("a query needs a word to look for")
-    asked = sorted({w for g in q.groups for p in g for w in p} | {w for p in q.negated for w in p})
-    parts = [r[0] for r in spark.createDataFrame([(w,) for w in asked], "word string").select(F.pmod(F.xxhash64("word"), F.lit(INDEX_PARTS)).cast("int")).distinct().collect()]
-    rows = spark.read.parquet(path).filter(F.col("part").isin(*parts) & F.col("word").isin(*asked))
+    return sorted({w for g in q.groups for p in g for w in p if w} | {w for p in q.negated for w in p if w})
+
+
+def _found(spark: SparkSession, path: str, q: Query, ranges: list[int] | None = None) -> DataFrame:
+    """id and rank of the documents that answer, from the postings of some ranges or of all."""
+    rows = spark.read.parquet(f"{path}/postings").filter(F.col("word").isin(*_asked(q)))
+    rows = rows if ranges is None else rows.filter(F.col("range").isin(*ranges))
     places = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("p"))  # at most the query's stems
     none = F.array().cast("array<int>")
     at = lambda w: F.coalesce(F.col("p")[w], none)
@@ -185,10 +249,10 @@ def find(spark: SparkSession, path: str, query: str) -> DataFrame:
     def spots(w: str) -> Column:
         return F.transform(at(w), lambda x: F.struct(x.alias("at"), F.lit(w).alias("word")))
 
-    def there(phrase: list[str]) -> Column:
+    def there(phrase: list) -> Column:
         out = at(phrase[0])
-        for k, w in enumerate(phrase[1:], 1):
-            out = F.array_intersect(out, moved(w, k))
+        for k, w in enumerate(phrase):
+            out = F.array_intersect(out, moved(w, k)) if k and w else out
         return F.size(out) > 0
 
     match = F.lit(True)
@@ -203,10 +267,41 @@ def find(spark: SparkSession, path: str, query: str) -> DataFrame:
     return places.filter(match).select("id", q.rank(events).alias("rank"))
 
 
+def find(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """id and rank of all documents that answer the query, from an index alone."""
+    return _found(spark, path, Query(query))
+
+
+def top(spark: SparkSession, path: str, query: str, limit: int = fixed.SEARCH_LIMIT) -> tuple[list[tuple], int, int]:
+    """The best documents as (id, rank), and how many of how many ranges were read.
+
+    A document's covers are at most as many as its occurrences of the asked stems, so a range cannot
+    rank above the sum of their largest counts there.  Ranges are read from the largest bound on, a
+    growing number at a time, until the next bound is below the last of the best.
+    """
+    q, limit = Query(query), min(max(1, limit), fixed.SEARCH_MAX)
+    heads: dict[int, dict[str, int]] = {}
+    for r in spark.read.parquet(f"{path}/blocks").filter(F.col("word").isin(*_asked(q))).collect():  # a row for each stem and range
+        heads.setdefault(r["range"], {})[r["word"]] = r["most"]
+    able = lambda own: all(any(all(w is None or w in own for w in p) for p in g) for g in q.groups)
+    bounds = sorted(((COVER_WEIGHT * sum(own.get(w, 0) for w in q.wanted()), k) for k, own in heads.items() if able(own)), key=lambda x: (-x[0], x[1]))
+    best: list[tuple] = []
+    read, many = 0, FIRST_RANGES
+    while read < len(bounds) and (len(best) < limit or bounds[read][0] >= best[-1][1]):
+        ranges = [k for _, k in bounds[read : read + many]]
+        best += [(r["id"], r["rank"]) for r in _best(_found(spark, path, q, ranges), limit).collect()]
+        best = sorted(best, key=lambda x: (-x[1], x[0]))[:limit]
+        read, many = read + len(ranges), many * 2
+    return best, read, len(bounds)
+
+
 def search_index(docs: DataFrame, path: str, query: str, limit: int = fixed.SEARCH_LIMIT, pii: DataFrame | None = None) -> DataFrame:
-    """As ``search``, but texts are read for the best documents only."""
-    top = _best(find(docs.sparkSession, path, query), limit)
-    return _shown(docs.join(F.broadcast(top), "id"), Query(query), pii).orderBy(F.desc("rank"), "id")
+    """As ``search``, but texts are read for the best documents only: their ids, 200 at most, are a
+    filter of the scan."""
+    best, _, _ = top(docs.sparkSession, path, query, limit)
+    ranked = docs.sparkSession.createDataFrame(best, f"id {dict(docs.dtypes)['id']}, rank double")
+    wanted = docs.filter(F.col("id").isin(*[i for i, _ in best])) if best else docs.limit(0)
+    return _shown(wanted.join(F.broadcast(ranked), "id"), Query(query), pii).orderBy(F.desc("rank"), "id")
 
 
 def bites(folded: Column, term: str) -> Column:

@@ -1,63 +1,158 @@
-"""Registers into documents: a fold over each register's lines."""
+"""Registers into documents: a scan of each register's lines, run as a parallel prefix scan.
+
+Whether a line begins a document depends on the lines before it only through a small state:
+how many characters the document has so far, counted up to the least volume, and how many
+signature lines a closing formula still allows.  A block of pages is therefore a table from
+state to state; tables of neighbouring blocks are put together level by level, and on the way
+back every block learns the state it begins in.  No task holds more than a block of pages or
+``FAN`` tables, however long a register is.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions import text as T
+from ..storage import discard, materialised
+
+#: Pages of a block, and blocks that are put together at once.
+BLOCK_PAGES, FAN = 64, 256
+SIZES, LEFTS = fixed.MIN_SEGMENT_CHARS + 1, fixed.SIGNATURE_LINES + 2
+TABLE = "register string, block long, states binary, cuts binary, lines long"
+ENTRY = "register string, block long, state int, cuts long, lines long"
+PIECE = "register string, block long, position long, signal string, first_line long, n_lines long, start_page long, end_page long, text string"
+
+
+def opening(line: Column, openings=fixed.OPENINGS) -> Column:
+    """The number, from 1, of the first opening that a line has; 0 without one."""
+    return reduce(lambda out, x: F.when(line.rlike(fixed.JAVA_I + x[1][1]), x[0]).otherwise(out), reversed(list(enumerate(openings, 1))), F.lit(0))
+
+
+def lines_of(pages: DataFrame, openings=fixed.OPENINGS, closing: str = fixed.CLOSING) -> DataFrame:
+    """register, block, page, at and the stripped lines that are not blank, with what they open and
+    whether they close."""
+    each = pages.filter("register is not null and text is not null").select(F.col("register").cast("string").alias("register"), F.col("page").cast("long").alias("page"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    each = each.withColumn("line", T.strip(F.col("line"))).filter("line <> ''")
+    block = F.coalesce(F.floor(F.col("page") / BLOCK_PAGES), F.lit(-1)).cast("long")
+    return each.select("register", block.alias("block"), "page", "at", "line", F.length("line").alias("n"), opening(F.col("line"), openings).alias("opens"), F.col("line").rlike(fixed.JAVA_I + closing).alias("closes"))
+
+
+def _step(size, left, n: int, opens: int, closes: bool):
+    """States after a line, and where it cuts: 1 by its opening, 2 after a closing formula.
+
+    ``left`` is 0 without a closing formula, else one more than the signature lines still allowed.
+    """
+    import numpy as np
+
+    by_opening = (size >= fixed.MIN_SEGMENT_CHARS) & (opens > 0)
+    by_closing = ~by_opening & (left > 0) & ((left == 1) | (n > fixed.SIGNATURE_LINE_CHARS))
+    cut = by_opening | by_closing
+    size = np.minimum(np.where(cut, 0, size) + n, fixed.MIN_SEGMENT_CHARS)
+    left = np.full_like(left, LEFTS - 1) if closes else np.where(cut | (left == 0), 0, left - 1)
+    return size, left, by_opening + 2 * by_closing
+
+
+def _table(pdf):
+    """The block's table: for every state at its beginning, that at its end and the cuts between."""
+    import numpy as np
+    import pandas as pd
+
+    pdf = pdf.sort_values(["page", "at"], na_position="first")
+    left, size = np.divmod(np.arange(SIZES * LEFTS), SIZES)
+    cuts = np.zeros(SIZES * LEFTS, np.int64)
+    for n, opens, closes in zip(pdf["n"].tolist(), pdf["opens"].tolist(), pdf["closes"].tolist()):
+        size, left, how = _step(size, left, n, opens, closes)
+        cuts += how > 0
+    return pd.DataFrame({"register": pdf["register"].iloc[:1], "block": pdf["block"].iloc[:1], "states": [(left * SIZES + size).astype(np.int32).tobytes()], "cuts": [cuts.tobytes()], "lines": len(pdf)})
+
+
+def _read(row):
+    import numpy as np
+
+    return np.frombuffer(row.states, np.int32), np.frombuffer(row.cuts, np.int64)
+
+
+def _together(key, pdf):
+    """One table of the tables of neighbouring blocks."""
+    import numpy as np
+    import pandas as pd
+
+    state, cuts = np.arange(SIZES * LEFTS, dtype=np.int32), np.zeros(SIZES * LEFTS, np.int64)
+    for row in pdf.sort_values("block").itertuples():
+        states, more = _read(row)
+        cuts, state = cuts + more[state], states[state]
+    return pd.DataFrame({"register": [key[0]], "block": [key[1]], "states": [state.tobytes()], "cuts": [cuts.tobytes()], "lines": [int(pdf["lines"].sum())]})
 
-CUTS = "array<struct<line:int,signal:string>>"
 
+def _entries(key, pdf, entry):
+    """Where each of some neighbouring blocks begins, told where they begin together."""
+    import pandas as pd
 
-def opening(line: Column) -> Column:
-    out = F
-    for name, pattern in fixed.OPENINGS:
-        out = out.when(line.rlike(fixed.JAVA_I + pattern), name)
-    return out.otherwise(None)
+    if not len(pdf) or not len(entry):
+        return pd.DataFrame({"register": [], "block": [], "state": [], "cuts": [], "lines": []})
+    state, cuts, lines = (int(entry[c].iloc[0]) for c in ("state", "cuts", "lines"))
+    out = []
+    for row in pdf.sort_values("block").itertuples():
+        out.append((row.register, row.block, state, cuts, lines))
+        states, more = _read(row)
+        cuts, state, lines = cuts + int(more[state]), int(states[state]), lines + row.lines
+    return pd.DataFrame(out, columns=["register", "block", "state", "cuts", "lines"])
 
 
-def lines_of(pages: DataFrame) -> DataFrame:
-    """register and its non-blank stripped lines in page order, each with page and signals."""
-    each = pages.filter("register is not null and text is not null").select("register", "page", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", T.strip(F.col("line"))).filter("line <> ''")
-    item = F.struct("page", "at", "line", opening(F.col("line")).alias("signal"), F.col("line").rlike(fixed.JAVA_I + fixed.CLOSING).alias("closes"))
-    return each.groupBy("register").agg(F.array_sort(F.collect_list(item)).alias("lines"))
+def entries(lines: DataFrame, fan: int = FAN) -> DataFrame:
+    """register, block, and the state, cuts and lines before it."""
+    levels = [materialised(lines.select("register", "block", "page", "at", "n", "opens", "closes").groupBy("register", "block").applyInPandas(_table, TABLE))]
+    above = F.floor(F.col("block") / fan).cast("long")
+    while levels[-1].groupBy("register").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+        levels.append(materialised(levels[-1].groupBy("register", above.alias("above")).applyInPandas(_together, TABLE)))
+    known = levels[-1].select("register", "block", F.lit(0).alias("state"), F.lit(0).cast("long").alias("cuts"), F.lit(0).cast("long").alias("lines"))
+    for level in reversed(levels[:-1]):
+        below = level.withColumn("above", above)
+        known = below.groupBy("register", "above").cogroup(known.withColumnRenamed("block", "above").groupBy("register", "above")).applyInPandas(_entries, ENTRY)
+    known = materialised(known)
+    discard(*levels)
+    return known
 
 
-def cuts(lines: Column) -> Column:
-    """Line numbers where documents begin, with the signal; the first is always line 0.
+def segment(pages: DataFrame, openings=fixed.OPENINGS, closing: str = fixed.CLOSING, fan: int = FAN) -> DataFrame:
+    """register, position, signal, lines, pages and text of every document of every register.
 
     An opening cuts once the document has some volume; after a closing formula a few short
     signature lines still belong to it.
     """
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("size"), F.lit(None).cast("int").alias("left"), F.array(F.struct(F.lit(0).alias("line"), F.lit("debut").alias("signal"))).cast(CUTS).alias("cuts"))
-
-    def step(s: Column, x: Column) -> Column:
-        long_line = F.length(x["line"]) > fixed.SIGNATURE_LINE_CHARS
-        by_opening = (s["i"] > 0) & x["signal"].isNotNull() & (s["size"] >= fixed.MIN_SEGMENT_CHARS)
-        by_closing = (s["i"] > 0) & s["left"].isNotNull() & ((s["left"] == 0) | long_line)
-        cut = by_opening | by_closing
-        signal = F.when(by_opening, x["signal"]).otherwise("cloture")
-        left = F.when(x["closes"], fixed.SIGNATURE_LINES).when(~cut & s["left"].isNotNull(), s["left"] - 1)
-        return F.struct(
-            (s["i"] + 1).alias("i"),
-            (F.when(cut, 0).otherwise(s["size"]) + F.length(x["line"])).alias("size"),
-            left.cast("int").alias("left"),
-            F.when(cut, F.concat(s["cuts"], F.array(F.struct(s["i"].alias("line"), signal.alias("signal"))).cast(CUTS))).otherwise(s["cuts"]).alias("cuts"),
-        )
-
-    return F.aggregate(lines, start, step, lambda s: s["cuts"])
-
-
-def segment(pages: DataFrame) -> DataFrame:
-    """register, position, signal, lines, pages and text of every document of every register."""
-    cut = lines_of(pages).withColumn("cuts", cuts(F.col("lines")))
-    each = cut.select("register", "lines", "cuts", F.posexplode("cuts").alias("position", "cut"))
-    end = F.coalesce(F.get("cuts", F.col("position") + 1)["line"], F.size("lines"))
-    own = F.slice("lines", F.col("cut.line") + 1, end - F.col("cut.line"))
-    text = F.array_join(F.transform(own, lambda x: x["line"]), "\n")
-    return each.select("register", "position", "cut.signal", F.col("cut.line").alias("first_line"), F.size(own).alias("n_lines"), F.element_at(own, 1)["page"].alias("start_page"), F.element_at(own, -1)["page"].alias("end_page"), text.alias("text"), F.size(T.words(text)).alias("num_words"))
+    lines = materialised(lines_of(pages, openings, closing))
+    names = [name for name, _ in openings]
+
+    def cut(key, pdf, entry):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(["page", "at"], na_position="first").reset_index(drop=True)
+        left, size = np.divmod(np.array([int(entry["state"].iloc[0])]), SIZES)
+        before, first = int(entry["cuts"].iloc[0]), int(entry["lines"].iloc[0])
+        signals = []
+        for n, opens, closes in zip(pdf["n"].tolist(), pdf["opens"].tolist(), pdf["closes"].tolist()):
+            size, left, how = _step(size, left, n, opens, closes)
+            signals.append({0: None, 1: names[opens - 1], 2: "cloture"}[int(how[0])])
+        if first == 0:
+            signals[0] = "debut"
+        begun = pd.Series(signals).notna().cumsum().to_numpy() + before - (first == 0)
+        out = []
+        for position, own in pdf.groupby(begun):
+            out.append((key[0], key[1], int(position), signals[own.index[0]], first + int(own.index[0]), len(own), own["page"].iloc[0], own["page"].iloc[-1], "\n".join(own["line"])))
+        out = pd.DataFrame(out, columns=["register", "block", "position", "signal", "first_line", "n_lines", "start_page", "end_page", "text"])
+        return out.astype({"start_page": "Int64", "end_page": "Int64"})
+
+    pieces = lines.groupBy("register", "block").cogroup(entries(lines, fan).groupBy("register", "block")).applyInPandas(cut, PIECE)
+    held = F.array_sort(F.collect_list(F.struct("block", "start_page", "end_page", "text")))
+    found = pieces.groupBy("register", "position").agg(F.max("signal").alias("signal"), F.min("first_line").alias("first_line"), F.sum("n_lines").alias("n_lines"), held.alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["text"]), "\n")
+    whole = found.select("register", F.col("position").cast("int").alias("position"), "signal", F.col("first_line").cast("int").alias("first_line"), F.col("n_lines").cast("int").alias("n_lines"), F.element_at("p", 1)["start_page"].alias("start_page"), F.element_at("p", -1)["end_page"].alias("end_page"), text.alias("text"))
+    return whole.withColumn("num_words", F.size(T.words(F.col("text"))))
 
 
 def boundaries(segments: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ def answers(prompts: DataFrame, client, schema: str) -> DataFrame:
 
 def text_chunks(docs: DataFrame, words: int) -> DataFrame:
     """doc, chunk number and text of documents (doc, text), up to a number of words each."""
-    return docs.select("doc", F.posexplode(S.chunks(words)("text")).alias("chunk", "text")).filter(T.strip(F.col("text")) != "")
+    return docs.select("doc", F.posexplode(S.chunks(F.col("text"), words)).alias("chunk", "text")).filter(T.strip(F.col("text")) != "")
 
 
 def discover(docs: DataFrame, client, words: int = 1500) -> DataFrame:

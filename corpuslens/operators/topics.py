@@ -86,40 +86,85 @@ def text_coverage(texts: DataFrame, verbatims: DataFrame, normal) -> DataFrame:
     return out.select("doc", F.length("t").alias("length"), F.aggregate(spans, start, merge, lambda s: s["sum"]).alias("covered"), F.size(F.filter("found", lambda x: x["at"] == 0)).alias("missing"))
 
 
-def most_like(name: str, known: list[str]) -> str | None:
-    """The first of the names with the largest Ratcliff-Obershelp ratio; names whose letters alone
-    rule that out are not compared."""
-    import difflib
-
-    matcher, best, best_ratio = difflib.SequenceMatcher(None, "", ""), None, -1.0
-    matcher.set_seq2(name)
-    for k in known:
-        matcher.set_seq1(k)
-        if best_ratio >= 0 and (matcher.real_quick_ratio() <= best_ratio or matcher.quick_ratio() <= best_ratio):
-            continue
-        # The ratio depends on the order of the two: it is that of (name, candidate).
-        ratio = difflib.SequenceMatcher(None, name, k).ratio()
-        if ratio > best_ratio:
-            best, best_ratio = k, ratio
-    return best
+def _letters(names: list[str], number: dict[str, int]):
+    """How often each name has each letter."""
+    import numpy as np
+
+    out = np.zeros((len(names), max(1, len(number))), np.int16)
+    for k, name in enumerate(names):
+        for c in name:
+            if c in number:
+                out[k, number[c]] += 1
+    return out
 
 
-def nearest_name(names: DataFrame, candidates: DataFrame, level: int | None = None) -> DataFrame:
-    """For each name the candidate most like it by Ratcliff-Obershelp; the first of equals.
+def _matched(batches):
+    """Of each name of a block the candidate of a block most like it, if it is at least as like as what
+    is known: the best bounds first, and a ratio only where its bound can still win."""
+    import difflib
 
-    ``candidates`` (name, pos, and level if one is asked for) is a topic grid: it goes to every
-    task as a list after a check of its size.
+    import numpy as np
+    import pandas as pd
+
+    for batch in batches:
+        out = []
+        for own, known in zip(batch["own"], batch["known"]):
+            names, others = [x["name"] for x in own], [x["name"] for x in known]
+            number = {c: k for k, c in enumerate(sorted({c for n in others for c in n}))}
+            a, b = _letters(names, number), _letters(others, number)
+            lengths = np.array([len(n) for n in others])
+            for x, letters in zip(own, a):
+                name, best, spot, compared = x["name"], x["ratio"], x["pos"], 0
+                both = len(name) + lengths
+                bound = np.where(both > 0, 2.0 * np.minimum(b, letters).sum(1) / np.maximum(both, 1), 1.0)
+                found = None
+                for k in np.argsort(-bound, kind="stable").tolist():
+                    if best is not None and bound[k] < best:
+                        break
+                    pos = known[k]["pos"]
+                    if best is not None and bound[k] == best and pos >= spot:
+                        continue
+                    compared += 1
+                    ratio = difflib.SequenceMatcher(None, name, others[k]).ratio()
+                    if best is None or ratio > best or (ratio == best and pos < spot):
+                        best, spot, found = ratio, pos, others[k]
+                out.append((name, best, spot, found, compared))
+        yield pd.DataFrame(out, columns=["name", "ratio", "pos", "nearest", "compared"])
+
+
+def nearest_name(names: DataFrame, candidates: DataFrame, level: int | None = None, block: int = 512) -> DataFrame:
+    """For each name the candidate most like it by Ratcliff-Obershelp, the first (by ``pos``) of
+    equals; and how many candidates it was compared with.
+
+    ``candidates`` are a topic grid (name, pos, and level if one is asked for).  Names and candidates
+    lie in blocks by length.  Those of one length meet first; what they find rules out other lengths,
+    and then candidates by the letters they share, before any ratio is worked out.
     """
     grid = candidates if level is None else candidates.filter(F.col("level") == level)
-    known = [r["name"] for r in grid.orderBy("pos").limit(100_001).select("name").collect()]
-    if len(known) > 100_000:
-        raise ValueError("a grid of more than 100000 topics is no grid")
-
-    def match(batches):
-        for batch in batches:
-            yield batch.assign(nearest=[most_like(n or "", known) for n in batch["name"]])
-
-    return names.select("name").mapInPandas(match, "name string, nearest string")
+    pos = dict(grid.dtypes)["pos"]
+    found = f"name string, ratio double, pos {pos}, nearest string, compared long"
+
+    def blocks(rows: DataFrame, as_: str) -> DataFrame:
+        sized = rows.withColumn("length", F.length("name"))
+        many = sized.groupBy("length").agg(F.ceil(F.count("*") / block).cast("int").alias("many"))
+        sized = sized.join(many, "length").withColumn("part", F.pmod(F.xxhash64("name"), "many"))
+        item = F.struct("name", "ratio", "pos") if as_ == "own" else F.struct("name", "pos")
+        return sized.groupBy("length", "part").agg(F.collect_list(item).alias(as_), *([F.min(F.coalesce("ratio", F.lit(0.0))).alias("least")] if as_ == "own" else []))
+
+    known = materialised(blocks(grid.filter("name is not null").groupBy("name").agg(F.min("pos").alias("pos")), "known"))
+    asked = materialised(names.select(F.coalesce("name", F.lit("")).alias("name")).distinct())
+    nothing = asked.select("name", F.lit(None).cast("double").alias("ratio"), F.lit(None).cast(pos).alias("pos"))
+    seeds = materialised(blocks(nothing, "own").join(known, "length").select("own", "known").mapInPandas(_matched, found))
+    best = F.min_by(F.struct("ratio", "pos", "nearest"), F.struct(-F.col("ratio"), F.col("pos")))
+    seeded = seeds.groupBy("name").agg(best.alias("b")).select("name", "b.ratio", "b.pos")
+    far = known.select(F.col("length").alias("other"), "known")
+    able = (F.col("length") != F.col("other")) & (2.0 * F.least("length", "other") >= F.col("least") * (F.col("length") + F.col("other")))
+    rest = blocks(asked.join(seeded, "name", "left"), "own").join(far, able).select("own", "known").mapInPandas(_matched, found)
+    every = seeds.unionByName(rest)
+    out = every.filter("nearest is not null").groupBy("name").agg(best.alias("b")).select("name", "b.nearest")
+    compared = every.groupBy("name").agg(F.sum("compared").alias("compared"))
+    out = asked.join(out, "name", "left").join(compared, "name", "left").select(F.col("name").alias("own"), "nearest", F.coalesce("compared", F.lit(0)).alias("compared"))
+    return names.select("name").join(out, F.coalesce("name", F.lit("")) == F.col("own")).select("name", "nearest", "compared")
 
 
 def reduced(vectors: DataFrame, dimensions: int = 5) -> DataFrame:

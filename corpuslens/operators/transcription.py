@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import spans as S
 from ..functions import text as T
+from ..storage import materialised
 
-RESULT = "page_id long, text string, layout string, capped boolean, seed int, redraws int, error string"
 
 
 class Transcriber(Protocol):
@@ -36,20 +36,6 @@ class Echo:
         return {"text": f"{text}\n" * 60 if seed in self.drifting else text, "layout": None, "capped": False}
 
 
-def drifts(text: str) -> bool:
-    """``T.is_drift`` for one text, in a task."""
-    import re
-
-    words = [w for w in re.split(r"\W+", text.lower()) if w]
-    grams = [tuple(words[i : i + fixed.GRAM_WIDTH]) for i in range(len(words) - fixed.GRAM_WIDTH + 1)]
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    if len(text) > fixed.MAX_PAGE_CHARS or len(words) > fixed.MAX_PAGE_WORDS:
-        return True
-    if len(words) >= fixed.GRAM_WORDS and len(set(grams)) / len(grams) < fixed.GRAM_RATIO:
-        return True
-    return len(lines) >= fixed.LINE_COUNT and len(set(lines)) / len(lines) < fixed.LINE_RATIO
-
-
 def render(pages: DataFrame, renderer, dpi: int = fixed.RENDER_DPI, image_format: str = "png") -> DataFrame:
     """page_id and image of pages (page_id, file, page) by an injected function of file, page,
     resolution and format; a page out of bounds has a null image and an error."""
@@ -71,27 +57,42 @@ def render(pages: DataFrame, renderer, dpi: int = fixed.RENDER_DPI, image_format
 
 def transcribe(images: DataFrame, transcriber: Transcriber, seeds: tuple[int, ...] = fixed.REDRAW_SEEDS, image_format: str = "png") -> DataFrame:
     """Texts of page images (page_id, image).  A text that goes in circles or was cut off is drawn
-    again with the next seed; the last one stays whatever it is like."""
+    again with the next seed; the last one stays whatever it is like.
 
-    def read(batches):
-        import pandas as pd
+    Every seed is a pass over the pages that are still open; each pass is written before the next,
+    so a broken one loses nothing of those before it.
+    """
 
-        for batch in batches:
-            rows = []
-            for ident, image in zip(batch["page_id"], batch["image"]):
-                try:
-                    if image is None:
-                        raise ValueError("no image")
-                    for k, seed in enumerate(seeds):
-                        found = transcriber(bytes(image), image_format, seed)
-                        if not drifts(found["text"]) and not found.get("capped"):
-                            break
-                    rows.append((ident, found["text"], found.get("layout"), bool(found.get("capped")), seed, k, None))
-                except Exception as error:  # noqa: BLE001  one bad page does not end the pass
-                    rows.append((ident, None, None, None, None, None, str(error)))
-            yield pd.DataFrame(rows, columns=["page_id", "text", "layout", "capped", "seed", "redraws", "error"]).astype({"seed": "Int32", "redraws": "Int32", "capped": "boolean"})
+    def draw(seed: int):
+        def read(batches):
+            import pandas as pd
 
-    return images.select("page_id", "image").mapInPandas(read, RESULT)
+            for batch in batches:
+                rows = []
+                for ident, image in zip(batch["page_id"], batch["image"]):
+                    try:
+                        if image is None:
+                            raise ValueError("no image")
+                        found = transcriber(bytes(image), image_format, seed)
+                        rows.append((ident, found["text"], found.get("layout"), bool(found.get("capped")), None))
+                    except Exception as error:  # noqa: BLE001  one bad page does not end the pass
+                        rows.append((ident, None, None, None, str(error)))
+                yield pd.DataFrame(rows, columns=["page_id", "text", "layout", "capped", "error"]).astype({"capped": "boolean"})
+
+        return read
+
+    todo, out = images.select("page_id", "image"), None
+    for k, seed in enumerate(seeds):
+        again = F.col("error").isNull() & (F.col("capped") | T.is_drift(F.col("text"))) if k + 1 < len(seeds) else F.lit(False)
+        drawn = todo.mapInPandas(draw(seed), "page_id long, text string, layout string, capped boolean, error string")
+        fine = F.col("error").isNull()
+        drawn = materialised(drawn.select("page_id", "text", "layout", "capped", F.when(fine, seed).cast("int").alias("seed"), F.when(fine, k).cast("int").alias("redraws"), "error", again.alias("again")))
+        kept = drawn.filter("not again").drop("again")
+        out = kept if out is None else out.unionByName(kept)
+        if drawn.filter("again").isEmpty():
+            break
+        todo = images.select("page_id", "image").join(drawn.filter("again").select("page_id"), "page_id", "left_semi")
+    return out
 
 
 def still_to_do(pages: DataFrame, transcriptions: DataFrame, run: int) -> DataFrame:
@@ -125,18 +126,49 @@ def requests(images: DataFrame, prompt: str, model: str) -> DataFrame:
 
 
 def lots(rows: DataFrame, limit: int = fixed.LOT_BYTES, parts: int = 64) -> DataFrame:
-    """A lot number for every request (id, size): lots hold ``limit`` at most, in order of id, but
-    for single requests over it.
+    """A lot number for every request (id, size), in order of id: a lot is filled until the next
+    request would take it over ``limit``; a request over it is a lot of its own.
 
-    A request's lot is the number of steps before it, a step being the limit less the largest request, by a running sum over ranges of ids
-    whose sums come first: no range is gathered in one place, and only one row a range meets.
+    Where a lot ends depends only on where it begins, so each request's next beginning is found
+    first, from the requests of its own and the next stretch of ``limit`` bytes.  Those that follow
+    from the first request are told by doubling: 2^k lots ahead, the largest k first.  Rounds grow
+    with the logarithm of the number of lots, and no task holds more than two stretches.
     """
-    facts = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)]).alias("b"), F.max("size").alias("largest")).first()
-    bounds, step = facts["b"] or [], max(1, limit - (facts["largest"] or 0))
-    ranged = rows.withColumn("range", F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<long>"), lambda x: x < F.col("id"))) if bounds else F.lit(0))
-    sums = ranged.groupBy("range").agg(F.sum("size").alias("own"))
-    before = F.coalesce(F.sum("own").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sums.select("range", before.alias("before")))  # a row a range
-    run = F.sum("size").over(Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    placed = ranged.join(starts, "range").withColumn("end", F.col("before") + run)
-    return placed.withColumn("lot", F.floor((F.col("end") - F.col("size")) / F.lit(step)).cast("long")).drop("range", "before", "end")
+    wide = limit + 1  # a request that is larger counts as this: it stands alone either way
+    bounds = rows.agg(F.percentile_approx("id", [k / parts for k in range(1, parts)]).alias("b")).first()["b"] or []
+    ranges = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]).cast("array<long>"), lambda x: x < F.col("id"))) if bounds else F.lit(0)
+    ranged = rows.withColumn("range", ranges).withColumn("own", F.least("size", F.lit(wide)).cast("long"))
+    placed = materialised(_running(ranged, "own").select("id", "size", "range", "own", (F.col("upto") - F.col("own")).alias("start")))
+    stretch = F.floor(F.col("start") / wide)
+    near = placed.select("id", "own", "start", F.explode(F.array(stretch, stretch - 1)).alias("stretch"), stretch.alias("home"))
+
+    def follow(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(["start", "id"])
+        start, end, ident, mine = pdf["start"].to_numpy(), (pdf["start"] + pdf["own"]).to_numpy(), pdf["id"].to_numpy(), (pdf["home"] == pdf["stretch"]).to_numpy()
+        at = np.maximum(np.searchsorted(end, start + limit, "right"), np.arange(len(pdf)) + 1)
+        known = mine & (at < len(pdf))
+        return pd.DataFrame({"id": ident[known], "to": ident[at[known]]})
+
+    jumps = [materialised(near.groupBy("stretch").applyInPandas(follow, "id long, to long"))]
+    begins = placed.agg(F.min("id").alias("id")).filter("id is not null")
+    first = begins.first()
+    while first is not None and not jumps[-1].filter(F.col("id") == first["id"]).isEmpty():
+        twice = jumps[-1].alias("a").join(jumps[-1].alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", "b.to")
+        jumps.append(materialised(twice))
+    for jump in reversed(jumps):
+        begins = materialised(begins.unionByName(begins.join(jump, "id").select(F.col("to").alias("id"))).distinct())
+    marked = placed.join(begins.withColumn("new", F.lit(1)), "id", "left").withColumn("new", F.coalesce("new", F.lit(0)))
+    return _running(marked, "new").select("id", "size", (F.col("upto") - 1).cast("long").alias("lot"))
+
+
+def _running(ranged: DataFrame, value: str) -> DataFrame:
+    """With ``upto``, the sum of a column over all rows up to this one by id: the sums of the ranges
+    come first, so that only one row a range meets in one place."""
+    sums = ranged.groupBy("range").agg(F.sum(value).alias("all"))
+    before = F.coalesce(F.sum("all").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sums.select("range", before.alias("before")))
+    run = F.sum(value).over(Window.partitionBy("range").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.join(starts, "range").withColumn("upto", F.col("before") + run).drop("before")

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixed
 from .functions import spans as S
 from .functions import text as T
-from .storage import shared_folder
-from .operators import coverage, duplicates, evaluation, geography, hierarchy, layers, reading, search, segmentation, taxonomy, topics, typology
+from .storage import scratch
+from .operators import coverage, density, duplicates, evaluation, geography, hierarchy, layers, lexicon, reading, search, segmentation, taxonomy, topics, typology
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -180,7 +178,7 @@ def pii_counts(spark, sf):
 def pii_redacted(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text", S.pii_spans("text").alias("found"))
     spans = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(None).cast("boolean").alias("confirmed")))
-    return docs.select("doc_id", S.redact("text", spans).alias("text"))
+    return docs.select("doc_id", "text", spans.alias("spans")).select("doc_id", S.redacted("text", "spans").alias("text"))
 
 
 SEARCHED = f"s as (select doc_id, ' ' || {NORMAL.format('text')} || ' ' as t from documents)"
@@ -204,7 +202,7 @@ def index(spark, sf):
     """The folder of the tables' search index, written once in a session."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in INDEXES:
-        path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        path = scratch(spark, "index")
         search.write_index(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), path)
         INDEXES[key] = path
     return INDEXES[key]
@@ -215,9 +213,9 @@ def search_index_ranked(spark, sf):
     return search.find(spark, index(spark, sf), "token -der").select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(f"with {SEARCHED} select doc_id as id from s where (contains(t, ' of the ') or contains(t, ' token ')) and contains(t, ' with ')")
+@query(f"with {SEARCHED} select doc_id as id from s where (contains(t, ' of and ') or contains(t, ' token ')) and contains(t, ' with ')")
 def search_index_phrases(spark, sf):
-    return search.find(spark, index(spark, sf), '"of the" or token with').select("id")
+    return search.find(spark, index(spark, sf), '"of and" or token with').select("id")
 
 
 @query()
@@ -226,7 +224,26 @@ def search_index_hits(spark, sf):
     return search.search_index(docs, index(spark, sf), 'token or "of the" -der').select("id", F.round("rank", 6).alias("rank"), "snippet")
 
 
-GRID = {"secret": "token", "german": "der und", "spanish": "que -der", "french": "les"}
+@query(f"with {SEARCHED} select doc_id as id, round(0.1::double * len(list_filter(string_split(t, ' '), lambda x: x = 'with')), 9) as rank from s where contains(t, ' with ') order by rank desc, id limit 20")
+def search_index_top(spark, sf):
+    """The best of a frequent word, from the ranges that can hold them; the stop word asks nothing."""
+    best, _, _ = search.top(spark, index(spark, sf), "les with")
+    return spark.createDataFrame(best, "id long, rank double").select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(f"with {SEARCHED} select doc_id as id from s where regexp_matches(t, ' of [^ ]+ with ') or contains(t, ' token ')")
+def search_index_gaps(spark, sf):
+    """A phrase over a stop word, which any word may stand for."""
+    return search.find(spark, index(spark, sf), '"of les with" or les tokens').select("id")
+
+
+@query(f"with {SEARCHED} select count(*) as hits from s where regexp_matches(t, ' tokens? ')")
+def search_stems(spark, sf):
+    """Forms of one word, by its stem, among stop words."""
+    return search.count(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "les tokens des")
+
+
+GRID = {"secret": "token", "german": "der und", "spanish": "el -der", "french": "der or el"}
 
 
 def keyword_instances(spark, sf):
@@ -234,7 +251,7 @@ def keyword_instances(spark, sf):
 
 
 GRID_SQL = f"""{SEARCHED}, grid as (select doc_id as id, 'secret' as topic from s where contains(t, ' token ') union all select doc_id, 'german' from s where contains(t, ' der ') and contains(t, ' und ')
-    union all select doc_id, 'spanish' from s where contains(t, ' que ') and not contains(t, ' der ') union all select doc_id, 'french' from s where contains(t, ' les '))"""
+    union all select doc_id, 'spanish' from s where contains(t, ' el ') and not contains(t, ' der ') union all select doc_id, 'french' from s where contains(t, ' der ') or contains(t, ' el '))"""
 
 
 @query(f"with {GRID_SQL} select id, topic from grid")
@@ -324,6 +341,26 @@ def hierarchy_stats(spark, sf):
     return hierarchy.statistics(forest(spark, sf))
 
 
+@query("""with recursive p as (select o_orderkey as node, o_custkey * 7 % (select count(*) from orders) as parent from orders),
+    walk as (select node as start, parent as spot, 1 as d from p union all select start, p.parent, d + 1 from walk join p on spot = p.node where spot <> start and d < 400),
+    ring as (select start, min(d) as length from walk where spot = start group by start), low as (select w.start, length, min(spot) as least from ring join walk w on w.start = ring.start group by w.start, length)
+    select start as node, cast(length as bigint) as length from low where least = start""")
+def parent_cycles(spark, sf):
+    """Cycles where every order has another order as its parent."""
+    orders = table(spark, sf, "orders")
+    nodes = orders.select(F.col("o_orderkey").alias("node"), (F.col("o_custkey") * 7 % orders.count()).alias("parent"))
+    return hierarchy.cycles(nodes).select("node", "length")
+
+
+@query(f"""with recursive {FOREST}, twice as (select c.node, n.name as target, count(*) as paths from closed c join (select node, case when node like 'n%' then 'r' || (substr(node, 2)::int % 2) else node end as name from nodes) n on c.ancestor = n.node where distance > 0 group by 1, 2 having count(*) > 1)
+    select node, target, paths from twice""")
+def topic_multi_paths(spark, sf):
+    """Suppliers that reach a name by several paths, where nations are named like regions."""
+    nodes = forest(spark, sf)
+    names = nodes.select("node", F.when(F.col("node").startswith("n"), F.concat(F.lit("r"), (F.substring("node", 2, 9).cast("int") % 2).cast("string"))).otherwise(F.col("node")).alias("name"))
+    return hierarchy.multi_paths(hierarchy.closure(nodes), names).select("node", "target", F.size("paths").cast("long").alias("paths"))
+
+
 @query(f"with recursive {FOREST}, h as (select ancestor as node, max(distance) + 1 as height from closed group by ancestor) select node, height, case when height >= 5 then 'A' when height >= 3 then 'B' else 'C' end as band from h")
 def tree_bands(spark, sf):
     return hierarchy.bands(hierarchy.closure(forest(spark, sf)))
@@ -447,14 +484,37 @@ def register_pages(spark, sf):
     return table(spark, sf, "documents").select(register.alias("register"), F.col("doc_id").alias("page"), "text")
 
 
-@query()
+#: Openings and a closing formula that the driver's texts hold, in place of the French ones.
+OPENINGS = (("date", r"^(?:the|el|la|le|der|die)\b"), ("apostrophe", r"[,:]$"))
+CLOSING = r"(?: of| que| und| les) "
+SEGMENTS = r"""raw as (select source || '-' || (doc_id // 100) as register, doc_id as page, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where source is not null and text is not null),
+    lines as materialized (select register, row_number() over (partition by register order by page, pos) - 1 as k, page, trim(line) as line, length(trim(line)) as n,
+        case when regexp_matches(lower(trim(line)), '^(the|el|la|le|der|die)([^a-z0-9_à-öø-ÿœ]|$)') then 'date' when regexp_matches(trim(line), '[,:]$') then 'apostrophe' end as opens, regexp_matches(lower(line), '( of| que| und| les) ') as closes from raw where trim(line) <> ''),
+    scan as (select register, k, n as size, case when closes then 4 end as lefts, 'debut' as signal from lines where k = 0
+        union all select l.register, l.k, case when o or c then 0 else size end + n, case when closes then 4 when not (o or c) then lefts - 1 end, case when o then opens when c then 'cloture' end
+        from (select l.*, s.size, s.lefts, s.size >= 80 and l.opens is not null as o, coalesce(s.lefts = 0 or (s.lefts is not null and l.n > 60), false) as c from scan s join lines l on l.register = s.register and l.k = s.k + 1) l),
+    cut as (select lines.register, lines.k, page, line, scan.signal, count(scan.signal) over (partition by lines.register order by lines.k) - 1 as position from lines join scan on lines.register = scan.register and lines.k = scan.k)"""
+
+
+def segments(spark, sf):
+    return segmentation.segment(register_pages(spark, sf), OPENINGS, CLOSING)
+
+
+@query(f"""with recursive {SEGMENTS} select register, cast(position as integer) as position, max(signal) as signal, cast(min(k) as integer) as first_line, cast(count(*) as integer) as n_lines, min(page) as start_page, max(page) as end_page, md5(string_agg(line, chr(10) order by k)) as digest
+    from cut group by register, position""")
 def segment_documents(spark, sf):
-    return segmentation.segment(register_pages(spark, sf))
+    return segments(spark, sf).select("register", "position", "signal", "first_line", "n_lines", "start_page", "end_page", F.md5("text").alias("digest"))
 
 
-@query()
+@query(f"""with recursive {SEGMENTS} select register, cast(position as integer) as position, min(k) as boundary from cut group by register, position""")
 def segment_boundaries(spark, sf):
-    return segmentation.boundaries(segmentation.segment(register_pages(spark, sf)))
+    return segmentation.boundaries(segments(spark, sf))
+
+
+@query(f"with recursive {{SEGMENTS}}, n as (select register, position, max(signal) as signal from cut group by register, position) select signal, count(*) as n from n group by signal".replace("{SEGMENTS}", SEGMENTS))
+def segment_signals(spark, sf):
+    """How many documents of the registers begin by each signal."""
+    return segments(spark, sf).groupBy("signal").agg(F.count("*").alias("n"))
 
 
 BOUNDS = "b as (select o_orderkey as register, 8 + o_orderkey % 23 as n, list_filter([0, 2, 5, 7, 11, 15, 19], lambda x: x < 8 + o_orderkey % 23) as e, list_filter([0, 2 + o_orderkey % 2, 6, 7, 12, 15], lambda x: x < 8 + o_orderkey % 23) as f, o_orderkey % 5 + 1 as w from orders)"
@@ -482,7 +542,7 @@ def segmentation_scores(spark, sf):
 
 
 @query("""with c as (select l_orderkey, count(*) as n from lineitem group by 1), s as (select *, case when n <= 1 then '1' when n = 2 then '2' else '3+' end as stratum from c), z as (select stratum, count(*) as k from s group by 1), t as (select count(*) as total from s),
-    q0 as (select stratum, k, least(k, greatest(10, round_even(60 * k / total::double, 0)::int)) as q from z, t), q as (select stratum, k, case when q = (select max(q) from q0) then q - greatest(0, (select sum(q) from q0) - 60) else q end as q from q0),
+    q0 as (select stratum, k, least(k, greatest(10, round_even(60 * k / total::double, 0)::int)) as q from z, t), q as (select stratum, k, cast(q - greatest(0, least(q - 10, greatest(0, (select sum(q) from q0) - 60) - coalesce(sum(greatest(0, q - 10)) over (order by q desc, stratum rows between unbounded preceding and 1 preceding), 0))) as integer) as q from q0),
     r as (select s.*, row_number() over (partition by stratum order by md5('20260910:' || l_orderkey), l_orderkey) as place from s)
     select r.stratum, l_orderkey, n, k / q::double as weight from r join q on r.stratum = q.stratum where place <= q""")
 def stratified_sample(spark, sf):
@@ -523,7 +583,7 @@ def fingerprints(spark, sf):
 
 @query()
 def wordcount_chunks(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(S.chunks(500)("text")).alias("chunk", "text"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(S.chunks(F.col("text"), 500)).alias("chunk", "text"))
 
 
 @query("select vec_id, list_transform(embedding, lambda x: round(x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))), 4) + 0.0) as v from embeddings")
@@ -579,15 +639,114 @@ def event_sessions(spark, sf):
     return ingest.sessions(table(spark, sf, "events"), "ts", "user_id")
 
 
+LEXICON = r"""w as (select doc_id as id, list_filter(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 2), lambda x: regexp_replace(lower(x), '[^a-zà-ÿ]', '', 'g')), lambda x: length(x) > 2) as ws from documents),
+    c as (select word, count(*) as n from (select unnest(ws) as word from w) group by word), lex as (select word from c where n * 10000 >= (select sum(n) from c)),
+    k as (select id, count(*) as known from (select id, unnest(ws) as word from w) join lex using (word) group by id),
+    scores as (select w.id, len(ws) as words, coalesce(known, 0) as known, case when len(ws) > 0 then coalesce(known, 0) / len(ws)::double else 0.0 end as score from w left join k on w.id = k.id)"""
+
+
+def scored_texts(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return lexicon.quality_scores(docs, lexicon.frequent_words(docs, 5))
+
+
+@query(f"with {LEXICON} select id, words, known, round(score, 6) as score from scores")
+def quality_scores(spark, sf):
+    """Share of longer words that are frequent in all texts."""
+    return scored_texts(spark, sf).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {LEXICON} select id from scores join documents on id = doc_id where score < 0.3 and trim(text) <> ''")
+def texts_to_recognise(spark, sf):
+    """Texts whose quality asks for recognition anew."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return scored_texts(spark, sf).join(docs, "id").filter(T.needs_ocr(F.col("text"), F.col("score"))).select("id")
+
+
+@query(r"select doc_id, length(x) as n_chars, md5(x) as digest from (select doc_id, trim(array_to_string(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))), chr(10)), chr(10) || ' ') as x from documents)")
+def cleaned_pages(spark, sf):
+    clean = T.clean_page(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.length(clean).cast("long").alias("n_chars"), F.md5(clean).alias("digest"))
+
+
+@query(f"""with {GRAMS}, t as (select lang as place, case when f.doc_id % 15 = 0 then 'empty' when f.doc_id % 5 = 0 and is_drift then 'drift' when f.doc_id % 5 = 0 then 'transcribed' when coalesce(quality = 0, false) then 'unprocessed' else 'native' end as state from flags f left join labels l on f.doc_id = l.doc_id),
+    c as (select place, count(*) as pages, count(*) filter (where state = 'native') as native, count(*) filter (where state = 'transcribed') as transcribed, count(*) filter (where state = 'empty') as empty, count(*) filter (where state = 'drift') as drift, count(*) filter (where state = 'unprocessed') as unprocessed from t group by place)
+    select *, round(native / pages::double, 6) as native_rate, round((native + transcribed) / pages::double, 6) as usable_rate from c""")
+def page_classes(spark, sf):
+    """What became of the pages of every place, and how many can be read."""
+    t = F.col("transcription")
+    read = pages(spark, sf).join(transcriptions(spark, sf), "page_id", "left").withColumn("is_empty", T.is_empty_page_comment(t)).withColumn("is_drift", T.is_drift(F.coalesce(t, F.lit(""))))
+    out = coverage.page_classes(read, "place")
+    return out.withColumns({c: F.round(c, 6) for c in ("native_rate", "usable_rate")})
+
+
+SHORT_LEXICON = ("the", "and", "that", "der", "und", "die", "les", "des", "une", "que", "los", "del")
+
+
+@query(r"""with f as (select doc_id, ['CC', 'CO', 'CR', 'IL', 'XX'][1 + doc_id // 100 % 5] as c, doc_id % 100 as page, text from documents),
+    t as (select doc_id, case when c <> 'XX' then c end as category, trim(array_to_string(list_transform(string_split(text, chr(10)), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))), chr(10)), chr(10) || ' ') as text from f where page >= case when c in ('CC', 'XX') then 2 else 0 end),
+    w as (select *, list_filter(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 2), lambda x: regexp_replace(lower(x), '[^a-zà-ÿ]', '', 'g')), lambda x: length(x) > 2) as ws from t where length(text) >= 10),
+    s as (select *, case when len(ws) > 0 then len(list_filter(ws, lambda x: list_contains(['the', 'and', 'that', 'der', 'und', 'die', 'les', 'des', 'une', 'que', 'los', 'del'], x))) / len(ws)::double else 0.0 end as score from w)
+    select doc_id, category, length(text) as n_chars, round(score, 6) as score, score < 0.3 as needs_ocr from s""")
+def scanned_pages(spark, sf):
+    """Content pages of files of a hundred documents: front pages skipped, cleaned and scored."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("CC", "CO", "CR", "IL", "XX")]), (1 + F.floor(F.col("doc_id") / 100) % 5).cast("int"))
+    file = F.concat(kind, F.lit("_"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit(".pdf"))
+    rows = table(spark, sf, "documents").select("doc_id", file.alias("file"), (F.col("doc_id") % 100).alias("page"), "text")
+    out = reading.scan_pages(rows, F.array(*[F.lit(w) for w in SHORT_LEXICON]))
+    return out.select("doc_id", "category", F.length("text").cast("long").alias("n_chars"), F.round("quality_score", 6).alias("score"), "needs_ocr")
+
+
+@query(r"select doc_id, case when lang is not null then upper(lang) || '-' || upper(lang) end as city from documents")
+def header_cities(spark, sf):
+    """Places named by the header of a register."""
+    name = F.concat_ws("-", "lang", F.upper("lang"))
+    text = F.concat(F.lit("Cahier citoyen \n"), name, F.lit(" - 01053\n 01053\n"), "text")
+    return table(spark, sf, "documents").select("doc_id", F.when(F.col("lang").isNotNull(), T.find_city(text)).alias("city"))
+
+
+@query(r"select doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace('# ' || text, '!\[[^\]]*\]\([^)]*\)', '', 'g'), '(^|\n)#{1,6}\s*', '\1', 'g'), '\*\*|__|`', '', 'g'), chr(10) || chr(9) || ' ')) as digest from documents")
+def plain_of_markdown(spark, sf):
+    text = F.concat(F.lit("<think>so</think># "), "text")
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.strip_markdown(text)).alias("digest"))
+
+
+@query(f"""with c as (select conv_id, turn, {NORMAL.format('min(text)')} as x from conversations group by 1, 2), r as (select case when length(p.x) = 0 then case when length(q.x) = 0 then 0.0 else 1.0 end else levenshtein(p.x, q.x) / length(p.x)::double end as cer, length(p.x) as n
+    from c p join c q on p.conv_id = q.conv_id and p.turn = q.turn - 1 where p.turn % 2 = 0 and p.x is not null and q.x is not null)
+    select round(avg(cer), 6) as mean, round(median(cer), 6) as median, round(max(cer), 6) as largest, round(sum(cer * n) / sum(n), 6) as weighted from r""")
+def error_rate_summary(spark, sf):
+    """Mean, median, largest and length-weighted character error rate of turns."""
+    rates = turns(spark, sf).filter("a is not null and b is not null").select(T.character_error_rate(F.col("a"), F.col("b")).alias("cer"), F.length("a").alias("n"))
+    out = evaluation.error_rates(rates, "cer", "n")
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("""with d as (select doc_id as id, case doc_id % 3 when 0 then 'd' || doc_id when 1 then '' || doc_id else 'x' || doc_id end as external_doc_id from documents)
+    select external_doc_id, case when id % 3 = 0 and id % 2 = 0 then id end as document_id, case when id % 3 = 0 and id % 2 = 0 then id * 10 when id % 3 = 1 and id % 5 = 0 then id end as contribution_id from d""")
+def resolved_documents(spark, sf):
+    """Delivered keys as documents, every second of which is there, and contributions, every fifth."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    key = F.concat(F.when(F.col("id") % 3 == 0, "d").when(F.col("id") % 3 == 1, "").otherwise("x"), F.col("id").cast("string"))
+    there = docs.filter("id % 2 = 0").select("id", (F.col("id") * 10).alias("contribution_id"))
+    return layers.resolve_documents(docs.select(key.alias("external_doc_id")), docs.filter("id % 5 = 0"), there)
+
+
 @query()
 def nearest_topic_name(spark, sf):
     brands = table(spark, sf, "part").select(F.col("p_brand").alias("name")).distinct()
     wanted = table(spark, sf, "part").select(F.concat("p_brand", F.lit("x")).alias("name")).distinct()
-    return topics.nearest_name(wanted, brands.withColumn("pos", F.col("name")))
+    return topics.nearest_name(wanted, brands.withColumn("pos", F.col("name"))).select("name", "nearest")
 
 
 @query()
 def embedding_clusters(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("level"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
+    return density.clusters(v).select("level", "id", "cluster", "noise")
+
+
+@query()
+def embedding_chains(spark, sf):
+    """Vectors of one label that chain together at a threshold."""
     v = table(spark, sf, "embeddings").select(F.col("label").cast("int").alias("level"), F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vector"))
     return topics.cluster_by_level(v)
 

@@ -146,10 +146,11 @@ def drift_to_redo(spark, sf):
     return transcription.take_back_drift(t, 1)[1]
 
 
-@query("""with s as (select doc_id as id, strlen(text) as n from documents), r as (select id, sum(n) over (order by id) as stop, n from s) select id, cast(floor((stop - n) / (1000000 - (select max(n) from s))) as bigint) as lot from r""")
+@query("""with recursive s as (select row_number() over (order by doc_id) as k, doc_id as id, strlen(text) as n from documents), f as (select k, id, n as fill, 0::bigint as lot from s where k = 1
+    union all select s.k, s.id, case when fill + n > 50000 then n else fill + n end, case when fill + n > 50000 then lot + 1 else lot end from f join s on s.k = f.k + 1) select id, lot from f""")
 def request_lots(spark, sf):
     rows = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.octet_length("text").cast("long").alias("size"))
-    return transcription.lots(rows, limit=1_000_000).select("id", "lot")
+    return transcription.lots(rows, limit=50_000).select("id", "lot")
 
 
 @query("""with t as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as other from conversations) select conv_id, turn, round(length(other) / length(text)::double, 6) as length_ratio from t where other is not null and length(text) > 0""")

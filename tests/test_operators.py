@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpuslens import fixed, schemas
+from corpuslens.functions import french
 from corpuslens.functions import spans as S
 from corpuslens.functions import text as T
 from corpuslens.operators import components, coverage, duplicates, evaluation, geography, hierarchy, layers, reading, search, segmentation, taxonomy, topics, typology
@@ -47,42 +48,51 @@ def test_reading_text_keeps_three_values(spark):
 LETTER = "Monsieur le Maire,\n" + "Je demande une gare dans notre village parce que les trains ne passent plus du tout ici.\n" + "Veuillez agréer mes salutations\nJean Petit\n"
 
 
-def fold_segments(lines):
-    """The scan in plain Python."""
-    import re
-
-    def opening(line):
-        return next((n for n, p in fixed.OPENINGS if re.search(p, line, re.I)), None)
-
-    cuts, size, left = [(0, "debut")], 0, None
-    for i, line in enumerate(lines):
-        signal = opening(line)
-        if i and signal and size >= 80:
-            cuts.append((i, signal))
-            size, left = 0, None
-        elif i and left is not None and (left == 0 or len(line) > 60):
-            cuts.append((i, "cloture"))
-            size, left = 0, None
-        size += len(line)
-        left = left - 1 if left is not None else None
-        if re.search(fixed.CLOSING, line, re.I):
-            left = 4
-    return cuts
-
-
-def test_segmentation_is_a_partition_and_equals_the_scan(spark):
+FILL = "une ligne assez longue pour que le document ait déjà tout le volume qu'il lui faut ici"
+REGISTER = [
+    ("Le 21 février 2019", "debut"),  # the first line begins the first document whatever it is
+    ("Monsieur le Préfet,", None),  # too little volume for the salutation to cut
+    (FILL, None),
+    ("cordialement", None),
+    ("Jean Petit", None),  # four signature lines follow a closing formula
+    ("rue", None),
+    ("12", None),
+    ("Lyon", None),
+    ("encore", "cloture"),  # the fifth is another document
+    ("-----", None),
+    (FILL, None),
+    ("-----", "separateur"),
+    (FILL, None),
+    ("Contribution n° 12", "numerotation"),
+    ("veuillez agréer", None),
+    (FILL, "cloture"),  # a long line is no signature
+    ("salutations", None),
+    ("Madame,", "apostrophe"),  # an opening comes before what the closing formula allows
+]
+
+
+def test_segmentation_of_a_register_by_hand(spark):
+    text = [line for line, _ in REGISTER]
+    want = [(i, s) for i, (_, s) in enumerate(REGISTER) if s]
+    for pages in ([text], [text[:5], text[5:6], [], text[6:]], [[line] for line in text]):
+        df = spark.createDataFrame([("r", p * 40, "\n".join(x)) for p, x in enumerate(pages)] + [("other", 0, "a"), ("blank", 0, " \n"), (None, 1, "x")], "register string, page int, text string")
+        for fan in (256, 2):
+            rows = segmentation.segment(df, fan=fan).filter("register = 'r'").orderBy("position").collect()
+            assert [(r["first_line"], r["signal"]) for r in rows] == want
+            assert "\n".join(r["text"] for r in rows).split("\n") == text and sum(r["n_lines"] for r in rows) == len(text)
+            assert [r["position"] for r in rows] == list(range(len(want))) and rows[0]["start_page"] == 0
+
+
+def test_segmentation_does_not_depend_on_blocks(spark):
+    """A long register is the same as one block of pages and as many, with tables in several levels."""
     rng = random.Random(1)
-    parts = ["Monsieur le Préfet,", "Le 21 février 2019", "-----", "Contribution n° 12", "cordialement", "Jean", "x" * 70, "une ligne assez longue pour compter dans le volume du document ici", "1. puce"]
-    pages = [(f"r{r}", p, "\n".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))) for r in range(12) for p in range(6)]
-    df = spark.createDataFrame(pages, "register string, page int, text string")
-    got = {}
-    for r in segmentation.segment(df).collect():
-        got.setdefault(r["register"], []).append(r)
-    for register in {p[0] for p in pages}:
-        lines = [x.strip() for _, _, t in sorted(p for p in pages if p[0] == register) for x in t.split("\n") if x.strip()]
-        own = sorted(got[register], key=lambda r: r["position"])
-        assert [(r["first_line"], r["signal"]) for r in own] == fold_segments(lines)
-        assert "\n".join(r["text"] for r in own).split("\n") == lines
+    parts = ["Monsieur le Préfet,", "Le 21 février 2019", "-----", "Contribution n° 12", "cordialement", "Jean", "x" * 70, FILL, "1. puce"]
+    lines = [rng.choice(parts) for _ in range(4000)]
+    by = lambda step: spark.createDataFrame([("r", i, "\n".join(lines[i * step : (i + 1) * step])) for i in range(-(-len(lines) // step))], "register string, page int, text string")
+    of = lambda df, fan: [(r["first_line"], r["signal"], r["text"]) for r in segmentation.segment(df, fan=fan).orderBy("position").collect()]
+    whole = of(by(4000), 256)
+    assert len(whole) > 400 and of(by(3), 3) == whole
+    assert segmentation.boundaries(segmentation.segment(by(3), fan=4)).count() == len(whole)
 
 
 def test_typology_order(spark):
@@ -102,9 +112,14 @@ def test_pii_spans_merge_and_render(spark):
     assert ("jean@x.fr", "email") in kinds and ("06 12 34 56 78", "telephone") in kinds and ("mairie@ville.fr", "institution") in kinds
     assert ("12 rue des Lilas", "adresse") in kinds and ("Paul Durand", "nom") in kinds
     assert any(k == "role_public" for _, k in kinds)
-    shown = S.render(text, [dict(start=a, end=b, kind=k, confirmed=None if k != "email" else False) for a, b, k, _ in spans])
+    def render(text, spans):
+        return spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,end:int,kind:string,confirmed:boolean>>").select(S.redacted("t", "s").alias("x")).first()["x"]
+
+    shown = render(text, [(a, b, k, None if k != "email" else False) for a, b, k, _ in spans])
     assert "jean@x.fr" in shown and "[téléphone]" in shown and "mairie@ville.fr" in shown and "[nom]" in shown
-    assert S.render("abcd", [dict(start=0, end=2, kind="nom", confirmed=None), dict(start=2, end=4, kind="email", confirmed=True)]) == "[nom]"
+    assert render("abcd", [(0, 2, "nom", None), (2, 4, "email", True)]) == "[nom]"
+    assert render("aé𝒳d ef", [(5, 6, "email", True), (1, 3, "nom", None), (2, 3, "url", None)]) == "a[nom]d [courriel]f"
+    assert render("abc", [(0, 1, "lieu", None), (1, 2, "nom", False)]) == render("abc", None) == "abc" and render(None, []) is None
     df = spark.createDataFrame([(text,), (None,)], "t string").select(S.pii_spans("t").alias("s")).collect()
     assert len(df[0]["s"]) == len(spans) and df[1]["s"] == []
 
@@ -145,8 +160,12 @@ def test_excerpts_against_plain_python(spark):
     assert search.Query('"Impôts locaux" ou été -taxe impots 12').words == ["impots", "locaux", "ete"]
 
 
-def test_chunks_and_wer():
-    assert S.sentence_chunks("", 5) == [""] and S.sentence_chunks("a b c\nd e\nf", 3) == ["a b c", "d e\nf"]
+def test_chunks_and_wer(spark):
+    def cut(text, limit):
+        return spark.createDataFrame([(text,)], "t string").select(S.chunks(F.col("t"), limit).alias("c")).first()["c"]
+
+    assert cut("", 5) == cut(None, 5) == [""] and cut("a b c\nd e\nf", 3) == ["a b c", "d e\nf"]
+    assert cut(" a\u00a0b  c d e f g\n\n h\ni", 3) == ["a b c", "d e f", "g\nh\ni"]
     assert S.word_error_rate("a b c", "a x c d") == pytest.approx(2 / 3) and S.word_error_rate("", "") == 0 and S.word_error_rate("", "a") == 1
 
 
@@ -159,6 +178,39 @@ def plain_rank(tokens, demands):
     return sum(0.1 / (1 + at[y][0] - at[x][0] - (y - x)) for x, y in least)
 
 
+def test_french_forms_share_a_stem():
+    same = [("chevaux", "cheval"), ("nationaux", "national"), ("finissait", "finir"), ("continuellement", "continuel"), ("majestueusement", "majestueux"), ("impots", "impot"), ("mangeait", "manger"), ("contradictions", "contradiction")]
+    assert all(french.stem(a) == french.stem(b) for a, b in same)
+    stems = "continuation continu continuerait continu continuons continuon contradictoirement contradictoir contractait contract majordome majordom maintenait mainten maitresse maitress mairie mair quand quand".split()
+    assert [french.stem(w) for w in stems[::2]] == stems[1::2]
+    assert french.stem("") == "" and french.stem("a") == "a" and search.stem("dans") is None
+
+
+def test_forms_stop_words_and_gaps_are_found(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Les chevaux de la commune"), (2, "un cheval"), (3, "le pouvoir d'achat baisse"), (4, "pouvoir achat"), (5, "pouvoir cher achat"), (6, "ligature: une ﬁn nationale")], "id long, text string")
+    search.write_index(docs, str(tmp_path / "i"))
+    for query, want in (("cheval", {1, 2}), ("les cheval", {1, 2}), ("chevaux -communes", {2}), ('"pouvoir d\'achat"', {3, 5}), ('"pouvoir achat"', {4}), ("fin nationaux", {6}), ("les", set())):
+        direct = {r["id"] for r in search.search(docs, query).collect()}
+        assert direct == want, query
+        if want:
+            assert {r["id"] for r in search.find(spark, str(tmp_path / "i"), query).collect()} == want, query
+    with pytest.raises(ValueError):
+        search.find(spark, str(tmp_path / "i"), "les")
+
+
+def test_top_reads_few_ranges(spark, tmp_path):
+    """The best are those of the full ranking, from the ranges of long documents only."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["gare", "train", "maire", "pont", "route"]) for _ in range(4 + i % 12))) for i in range(600)]
+    rows += [(1000 + i, " ".join(rng.choice(["gare", "train", "pont"]) for _ in range(300))) for i in range(40)]
+    search.write_index(spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "i"), range_docs=20)
+    for query, limit in (("gare", 5), ("gare train", 10), ('"gare pont" ou route train', 3), ("maire", 30)):
+        full = sorted(((r["id"], r["rank"]) for r in search.find(spark, str(tmp_path / "i"), query).collect()), key=lambda x: (-x[1], x[0]))
+        best, read, total = search.top(spark, str(tmp_path / "i"), query, limit)
+        assert best == full[:limit], query
+        assert total > 20 and (read <= 6 or query == "maire")
+
+
 def test_rank_and_index(spark, tmp_path):
     rng = random.Random(8)
     texts = {i: " ".join(rng.choice(["gare", "train", "trains", "impot", "maire", "et", "x"]) for _ in range(rng.randint(0, 25))) for i in range(80)}
@@ -170,7 +222,7 @@ def test_rank_and_index(spark, tmp_path):
         assert {i: (round(r["rank"], 9), r["snippet"]) for i, r in direct.items()} == {i: (round(r["rank"], 9), r["snippet"]) for i, r in found.items()} and direct
         for i, r in found.items():
             tokens = [search.stem(w) for w in texts[i].split()]
-            assert r["rank"] == pytest.approx(plain_rank(tokens, demands)), (query, texts[i])
+            assert r["rank"] == pytest.approx(plain_rank(tokens, [{search.stem(w) for w in d} for d in demands])), (query, texts[i])
         if query.startswith('"'):
             assert set(found) == {i for i, t in texts.items() if " gare train " in f" {t.replace('trains', 'train')} " and " maire maire " not in f" {t} "}
     with pytest.raises(ValueError):
