@@ -236,7 +236,7 @@ def shingle_join(docs: DataFrame, share: tuple[int, int] = SHARE, leaders: int =
     # Lists of several components: what members have in common with the leader bounds the rest.
     known = answers.select(F.col("a").alias("lead"), F.col("b").alias("node"), "both")
     left = lists.select("token", "node", "n", "pos", F.col("l.node").alias("lead"))
-    left = kept(_of_several(left, classes).join(known, ["lead", "node"], "left").filter("node <> lead").drop("lead"))
+    left = kept(_of_several(left, classes).join(_light(known), ["lead", "node"], "left").filter("node <> lead").drop("lead"))
     drop(lists)
     for turn in range(leaders):
         left = _narrowed(left, classes)
@@ -282,9 +282,14 @@ def _open(other: str, share: tuple[int, int]) -> Column:
     return (F.col("root") != F.col(f"{other}root")) & _can_link(n, F.col("pos"), m, F.col(f"{other}pos"), share) & _enough(bound, n, m, share)
 
 
+def _light(rows: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, for a broadcast if its number of rows, checked, allows that."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES else rows
+
+
 def _of_several(lists: DataFrame, classes: DataFrame) -> DataFrame:
     """The members of lists that hold more than one component, with their roots."""
-    rooted = lists.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = lists.join(_light(classes), "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("token")
     return rooted.join(several, "token")
 
