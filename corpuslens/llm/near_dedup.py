@@ -17,7 +17,9 @@ and are taken as none, so the table of common shingles is bounded by 1 / COMMON
 
 Defined results: null, empty and wordless texts are each a class of their own, but equal
 wordless texts that are not empty are one class; texts of up to five words are one shingle;
-repeated doc_ids are rows of their own; other columns are ignored.
+repeated doc_ids are rows of their own; of equal doc_ids and texts any one row stays, and ties
+between texts of one doc_id go to the row that comes first; an empty table gives no rows; other
+columns are ignored; whole texts are compared, however long.
 """
 
 from __future__ import annotations

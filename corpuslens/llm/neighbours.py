@@ -16,7 +16,8 @@ are hardly nearer than all others, the test cannot rule out much.
 Defined results: null, empty and zero vectors and those with null or non-finite components,
 and null ids take no part; vectors of different lengths have no inner product, so each length
 is searched among its own; ties go to the smaller id; with fewer candidates than asked for
-all are returned; repeated ids are entries of their own; other columns are ignored.
+all are returned; repeated ids are entries of their own; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations

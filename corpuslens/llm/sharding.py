@@ -6,8 +6,8 @@ texts are neighbours.  A group of equal texts stays in one shard as long as one
 for it; larger groups are spread.
 
 Defined results: null and empty texts have size 1; null and repeated doc_ids each take a
-slot of their own; fewer records than shards leave shards empty; an empty table gives no
-rows; other columns are ignored.
+slot of their own; fewer records than shards leave shards empty; a text longer than a shard's
+part fills one alone; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ toxic texts in a bounded sample of labelled rows, beside a few fixed seed words.
 
 Defined results: null and empty texts get the score of a text without matched clauses;
 without labelled rows fixed calibration is used; conflicting labels of a document count as
-toxic; labels that are null are ignored; repeated documents are each scored; other columns
-are ignored; whole texts are read.
+toxic; labels that are null are ignored; repeated documents are each scored, equal texts alike;
+an empty table gives no rows; other columns are ignored; whole texts are read, however long, and
+every matched clause of theirs counts.
 """
 
 from __future__ import annotations

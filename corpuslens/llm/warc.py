@@ -10,8 +10,8 @@ its place in the table.
 
 Defined results: null payloads are empty; empty and short payloads are always responses, as
 are pages without an id; repeated page ids give a capture for each row, and of equal
-payloads under one id all are responses; other columns are ignored; an empty table gives no
-rows.
+payloads under one id all are responses; payloads are whole, however long; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
