@@ -7,6 +7,13 @@
     python -m corpuslens index DOCUMENTS OUT          a search index (id, text)
     python -m corpuslens search DOCUMENTS WORDS       the best documents, with --index from an index
     python -m corpuslens coverage PAGES               pages read and left out, by register and place
+    python -m corpuslens quality DOCUMENTS OUT        share of known words (id, text), by --lexicon (word)
+    python -m corpuslens cluster VECTORS OUT          clusters by density (level, id, vector)
+    python -m corpuslens grid DOCUMENTS GRID OUT      keyword instances of a JSON grid {topic: query}
+    python -m corpuslens taxonomy TOPICS              faults of a taxonomy (id, name, description, parent, ...)
+    python -m corpuslens fidelity PAIRS OUT           error rates of transcriptions (page_id, reference, text)
+    python -m corpuslens lots REQUESTS OUT            requests (id, size) in lots of --limit bytes
+    python -m corpuslens names NAMES TOPICS OUT       the topic (name, pos) most like each name
     python -m corpuslens extract FOLDER OUT           pages of text files in a folder
     python -m corpuslens query NAME TABLES            a registered query, to OUT or shown
 
@@ -16,10 +23,13 @@ Tables are Parquet.
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import fixed
+
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="corpuslens", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
@@ -30,6 +40,19 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("out")
         if name == "dedup":
             p.add_argument("--similarity", type=float, default=0.8)
+    for name in ("quality", "cluster", "fidelity", "lots", "grid", "names"):
+        p = commands.add_parser(name)
+        p.add_argument("source")
+        if name in ("grid", "names"):
+            p.add_argument("grid")
+        p.add_argument("out")
+        if name == "quality":
+            p.add_argument("--lexicon")
+        if name == "cluster":
+            p.add_argument("--least", type=int, default=5)
+        if name == "lots":
+            p.add_argument("--limit", type=int, default=fixed.LOT_BYTES)
+    commands.add_parser("taxonomy").add_argument("source")
     p = commands.add_parser("search")
     p.add_argument("source")
     p.add_argument("words")
@@ -49,7 +72,7 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
     """What a command gives; none if it only writes."""
     from . import queries
     from .functions import spans, text
-    from .operators import coverage, duplicates, search, segmentation, typology
+    from .operators import coverage, density, duplicates, lexicon, search, segmentation, taxonomy, topics, transcription, typology
     from .sources import files, sinks
 
     if args.command == "query":
@@ -69,6 +92,22 @@ def result(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
     if args.command == "index":
         search.write_index(rows, args.out)
         return None
+    if args.command == "quality":
+        known = spark.read.parquet(args.lexicon) if args.lexicon else lexicon.frequent_words(rows, 2)
+        return lexicon.quality_scores(rows, known)
+    if args.command == "cluster":
+        return density.clusters(rows, args.least)
+    if args.command == "grid":
+        lines = spark.read.text(args.grid, wholetext=True).first()["value"]
+        return search.keyword_grid(rows, json.loads(lines))
+    if args.command == "names":
+        return topics.nearest_name(rows, spark.read.parquet(args.grid))
+    if args.command == "taxonomy":
+        return taxonomy.violations(rows)
+    if args.command == "fidelity":
+        return transcription.fidelity(rows)
+    if args.command == "lots":
+        return transcription.lots(rows, args.limit)
     if args.command == "search":
         found = search.search_index(rows, args.index, args.words, args.limit) if args.index else search.search(rows, args.words, args.limit)
         return found.select("id", "rank", "snippet")

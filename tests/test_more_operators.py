@@ -417,8 +417,30 @@ def test_lexicon_in_memory_and_joined(spark):
 
     docs = spark.createDataFrame([(1, "Les chevaux galopent, l'été 'aj-v xx"), (2, ""), (3, None), (4, "inconnu inconnu chevaux"), (5, "a bb 12345 ---")], "id long, text string")
     known = spark.range(300_000).select(F.concat(F.lit("mot"), F.col("id").cast("string")).alias("word")).unionByName(spark.createDataFrame([("les",), ("chevaux",), ("galopent",), ("chevaux",), (None,)], "word string"))
-    want = {1: (4, 3), 2: (0, 0), 3: (0, 0), 4: (3, 1), 5: (0, 0)}
+    want = {1: (5, 3), 2: (0, 0), 3: (0, 0), 4: (3, 1), 5: (0, 0)}
     for most in (lexicon.LEXICON_WORDS, 1000):
         got = {r["id"]: r for r in lexicon.quality_scores(docs, known, most).collect()}
-        assert {i: (r["words"], r["known"]) for i, r in got.items()} == want and got[1]["score"] == 0.75 and got[2]["score"] == 0
+        assert {i: (r["words"], r["known"]) for i, r in got.items()} == want and got[1]["score"] == 0.6 and got[2]["score"] == 0
     assert rows_of(lexicon.frequent_words(docs, 8)) == rows_of(lexicon.frequent_words(docs, 7)) != []
+
+
+def test_commands_of_tables(spark, tmp_path):
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return str(tmp_path / name)
+
+    docs = table("docs", [(1, "le train passe par la gare"), (2, "une taxe")], "id long, text string")
+    (tmp_path / "grid.json").write_text('{"Rail": "gare train", "Fisc": "taxes"}')
+    out = lambda name: str(tmp_path / f"out-{name}")
+    cli.main(["grid", docs, str(tmp_path / "grid.json"), out("grid")], spark)
+    assert rows_of(spark.read.parquet(out("grid")), "topic", "id") == [("Fisc", 2), ("Rail", 1)]
+    cli.main(["quality", docs, out("quality"), "--lexicon", table("lexicon", [("train",), ("gare",)], "word string")], spark)
+    assert rows_of(spark.read.parquet(out("quality")), "id", "words", "known") == [(1, 4, 2), (2, 2, 0)]
+    cli.main(["lots", table("asked", [(1, 6), (2, 6), (3, 1)], "id long, size long"), out("lots"), "--limit", "10"], spark)
+    assert rows_of(spark.read.parquet(out("lots")), "id", "lot") == [(1, 0), (2, 1), (3, 1)]
+    cli.main(["names", table("asked_names", [("gares",)], "name string"), table("topics", [("gare", 0), ("train", 1)], "name string, pos int"), out("names")], spark)
+    assert rows_of(spark.read.parquet(out("names")), "name", "nearest") == [("gares", "gare")]
+    cli.main(["fidelity", table("pairs", [(1, "ab", "ac")], "page_id long, reference string, text string"), out("fidelity")], spark)
+    assert rows_of(spark.read.parquet(out("fidelity")), "page_id", "cer") == [(1, 0.5)]
+    cli.main(["cluster", table("vectors", [(0, i, [float(i // 6 * 9), i % 6 / 50]) for i in range(12)], "level int, id long, vector array<double>"), out("cluster")], spark)
+    assert spark.read.parquet(out("cluster")).filter("not noise").select("cluster").distinct().count() == 2
