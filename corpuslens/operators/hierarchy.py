@@ -34,13 +34,15 @@ def closure(nodes: DataFrame) -> DataFrame:
     """
     jumps, endless = _jumps(nodes)
     loops = not endless.isEmpty()
-    out = nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("distance"))
+    out, before = nodes.select(F.col("node").alias("ancestor"), "node", F.lit(0).alias("distance")), []
     for k, jump in enumerate(jumps):
         above = out.select(F.col("node").alias("parent"), "ancestor", (F.col("distance") + (1 << k)).alias("distance"))
         out = out.unionByName(jump.join(above, "parent").select("ancestor", "node", "distance"))
         if loops:
             out = out.groupBy("ancestor", "node").agg(F.min("distance").alias("distance"))
         out = materialised(out)
+        discard(*before)
+        before = [out]
     discard(*jumps)
     return out
 

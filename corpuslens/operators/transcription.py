@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import spans as S
 from ..functions import text as T
-from ..storage import materialised
+from ..storage import discard, materialised
 
 
 
@@ -160,6 +160,7 @@ def lots(rows: DataFrame, limit: int = fixed.LOT_BYTES, parts: int = 64) -> Data
         jumps.append(materialised(twice))
     for jump in reversed(jumps):
         begins = materialised(begins.unionByName(begins.join(jump, "id").select(F.col("to").alias("id"))).distinct())
+    discard(*jumps)
     marked = placed.join(begins.withColumn("new", F.lit(1)), "id", "left").withColumn("new", F.coalesce("new", F.lit(0)))
     return _running(marked, "new").select("id", "size", (F.col("upto") - 1).cast("long").alias("lot"))
 

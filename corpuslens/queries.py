@@ -162,6 +162,28 @@ def typology_author(spark, sf):
     return typed(spark, sf).filter("axis = 'auteur'").select("id", "value", "detector")
 
 
+#: Texts in French, one for each document by its id, on which the signals themselves are tried.
+FRENCH = (
+    "Monsieur le Maire,\nObjet : une gare\nnotre village demande une gare parce que les trains ne passent plus.\nVeuillez agréer mes salutations distinguées",
+    "Nous soussignés demandons une gare pour notre village parce que les trains ne passent plus ici.",
+    "Je suis retraité et ma retraite baisse alors que les prix montent dans tous les magasins du village.",
+    "Mairie de Lyon\nle conseil municipal demande une gare parce que les trains ne passent plus dans la ville.\nLe Maire",
+    "Nous, les habitants du hameau, demandons une gare parce que les trains ne passent plus dans la vallée.",
+    "é1 2 3 4 5 6 7 8 9 10 11 12 13 14",
+    "les trains ne passent plus dans la vallée depuis des années et les routes sont bien mauvaises partout.",
+)
+
+
+@query("""with t as (select * from (values (0, 'courrier', 'indetermine'), (1, 'petition', 'collectif'), (2, 'registre', 'individu'), (3, 'deliberation', 'institution'), (4, 'registre', 'collectif'), (5, 'illisible', 'indetermine'), (6, 'registre', 'indetermine')) v(k, support, auteur))
+    select doc_id as id, case when doc_id % 11 = 0 and k <> 5 then 'lettre_type' else support end as support, auteur from documents join t on doc_id % 7 = k""")
+def typology_french(spark, sf):
+    """Kinds and authors by the French signals."""
+    text = F.element_at(F.array(*[F.lit(t) for t in FRENCH]), (1 + F.col("doc_id") % len(FRENCH)).cast("int"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), text.alias("text"), (F.col("doc_id") % 11 == 0).alias("recopied"))
+    kinds = typology.classify(docs).filter("axis in ('support', 'auteur')")
+    return kinds.groupBy("id").agg(F.max(F.when(F.col("axis") == "support", F.col("value"))).alias("support"), F.max(F.when(F.col("axis") == "auteur", F.col("value"))).alias("auteur"))
+
+
 @query()
 def pii_spans(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.explode(S.pii_spans("text")).alias("s"))
@@ -445,7 +467,12 @@ def latest_run_by_source(spark, sf):
 
 @query("select event_type as kind, max(event_id) as id from events group by 1")
 def active_runs(spark, sf):
-    return layers.latest_run(run_table(spark, sf), "kind").select("kind", "id")
+    """The run that is served of each kind, after the newest of every kind was activated."""
+    runs = run_table(spark, sf)
+    for kind, newest in runs.groupBy("kind").agg(F.max("id")).collect():  # a row a kind
+        runs = layers.activate_run(runs, newest)
+        assert layers.active_run(runs, kind) == newest
+    return runs.filter("active").select("kind", "id")
 
 
 @query("""select doc_id, quality, toxic from (select * from labels where doc_id % 4 <> 0 union all select l.doc_id, 1 - quality, toxic from labels l where doc_id % 4 = 0 union all select doc_id, 1, 0 from documents where doc_id % 4 = 1 and doc_id not in (select doc_id from labels)) where not (quality = 0 and toxic = 0)""")
