@@ -366,6 +366,59 @@ def test_neighbours_recall_and_ties(spark, n, spread, leaf):
     assert neighbours.nearest(spark.createDataFrame(rows[:3], "vec_id long, embedding array<double>")).count() == 2
 
 
+# 1 toxicity
+def plain_weight(clause):
+    """A clause's weight by looking back from each of its words, one rule after the other."""
+    insult = lambda x: x in toxicity.INSULTS
+    words = [{"kind": x, "share": 1.0} for x in clause]
+    spent = -1  # a negation reaches three words on, and only the first insult or harm there
+    for i, w in enumerate(words):
+        if w["kind"] in toxicity.INSULTS + toxicity.HARM and any(words[j]["kind"] == toxicity.NEGATION for j in range(max(spent + 1, i - 3), i)):
+            w["negated"], spent = True, i
+    for w in words:
+        if w["kind"] == toxicity.NEGATION or (w.get("negated") and w["kind"] == toxicity.HARM):
+            w["kind"] = toxicity.OTHER
+        elif w.get("negated"):
+            w["kind"], w["share"], w["level"] = toxicity.OTHER, 0.15, int(w["kind"])
+    for i, w in enumerate(words):  # a report reaches insults as long as three other words are between
+        reports = [j for j in range(i) if words[j]["kind"] == toxicity.REPORT]
+        if insult(w["kind"]) and reports and sum(not insult(x["kind"]) for x in words[reports[-1] + 1 : i]) <= 3:
+            w["share"] = 0.5
+    total, targeted = 0.0, set()
+    for i, w in enumerate(words):  # targets two words before or after a plain insult, each for one
+        plain = insult(w["kind"]) and w["share"] == 1.0
+        before = [j for j in (i - 2, i - 1) if j >= 0 and words[j]["kind"] == toxicity.TARGET]
+        if plain and before and not any(insult(x["kind"]) and x["share"] == 1.0 for x in words[before[-1] + 1 : i]):
+            total, w["aimed"] = total + 0.5, True
+        if w["kind"] == toxicity.TARGET:
+            near = [j for j in (i - 2, i - 1) if j >= 0 and insult(words[j]["kind"]) and words[j]["share"] == 1.0]
+            if near and not words[near[-1]].get("aimed") and not any(x["kind"] == toxicity.TARGET for x in words[near[-1] + 1 : i]):
+                total += 0.5
+    for i, w in enumerate(words):  # intent, harm within three words, target within two
+        if w["kind"] == toxicity.TARGET:
+            harms = [j for j in (i - 2, i - 1) if j >= 0 and words[j]["kind"] == toxicity.HARM]
+            if harms and not any(x["kind"] in (toxicity.TARGET, toxicity.INTENT) for x in words[harms[-1] + 1 : i]):
+                k = harms[-1]
+                intents = [j for j in range(max(0, k - 3), k) if words[j]["kind"] == toxicity.INTENT]
+                if intents and not any(x["kind"] == toxicity.HARM for x in words[intents[-1] + 1 : k]):
+                    total += 2.5
+    seen = False
+    for w in words:
+        level = int(w["kind"]) if insult(w["kind"]) else w.get("level")
+        if level is not None:
+            total += (level + 1) * 0.5 * w["share"] * (0.6 if seen else 1.0)
+            seen = True
+    return total
+
+
+def test_clauses_weigh_what_their_rules_say():
+    rng, machine = random.Random(9), toxicity.grammar()
+    letters = "ooonrtwk0357"
+    for _ in range(4000):
+        clause = "".join(rng.choice(letters) for _ in range(rng.randint(0, 9)))
+        assert machine.weigh(clause) == pytest.approx(plain_weight(clause)), clause
+
+
 # 8 decontamination
 def test_decontamination_in_sets_and_removal(spark):
     item = "one two three four five six seven eight nine ten eleven"
