@@ -186,8 +186,8 @@ def cluster_by_level(vectors: DataFrame, similarity: float = 0.8, block_rows: in
     threshold; those without a neighbour are clusters of their own.  Clusters are numbered by a
     member.
 
-    Chains at a threshold stand in for the reference's density clustering.  Every two blocks of
-    a level meet in one task, which tells of them only a forest of what it joins.
+    Simpler than ``density.clusters``: one threshold, no noise.  Every two blocks of a level meet in
+    one task, which tells of them only a forest of what it joins.
     """
     rows = materialised(vectors.select("level", F.col("id"), F.col("vector").cast("array<double>").alias("vector")).withColumn("node", F.xxhash64(F.coalesce(F.col("level").cast("string"), F.lit("")), F.col("id").cast("string"))))
     sizes = rows.groupBy("level").agg(F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("blocks"))
