@@ -677,10 +677,10 @@ def scored_texts(spark, sf):
     return lexicon.quality_scores(docs, lexicon.frequent_words(docs, 5))
 
 
-@query(f"with {LEXICON} select id, words, known, round(score, 6) as score from scores")
+@query(f"with {LEXICON} select id, words, known, score from scores")
 def quality_scores(spark, sf):
     """Share of longer words that are frequent in all texts."""
-    return scored_texts(spark, sf).withColumn("score", F.round("score", 6))
+    return scored_texts(spark, sf)
 
 
 @query(f"with {LEXICON} select id from scores join documents on id = doc_id where score < 0.3 and trim(text) <> ''")
@@ -714,14 +714,14 @@ SHORT_LEXICON = ("the", "and", "that", "der", "und", "die", "les", "des", "une",
     t as (select doc_id, case when c <> 'XX' then c end as category, trim(array_to_string(list_transform(string_split(text, chr(10)), lambda v: trim(regexp_replace(v, '\s+', ' ', 'g'))), chr(10)), chr(10) || ' ') as text from f where page >= case when c in ('CC', 'XX') then 2 else 0 end),
     w as (select *, list_filter(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 2), lambda x: regexp_replace(lower(x), '[^a-zà-ÿ]', '', 'g')), lambda x: length(x) > 2) as ws from t where length(text) >= 10),
     s as (select *, case when len(ws) > 0 then len(list_filter(ws, lambda x: list_contains(['the', 'and', 'that', 'der', 'und', 'die', 'les', 'des', 'une', 'que', 'los', 'del'], x))) / len(ws)::double else 0.0 end as score from w)
-    select doc_id, category, length(text) as n_chars, round(score, 6) as score, score < 0.3 as needs_ocr from s""")
+    select doc_id, category, length(text) as n_chars, score, score < 0.3 as needs_ocr from s""")
 def scanned_pages(spark, sf):
     """Content pages of files of a hundred documents: front pages skipped, cleaned and scored."""
     kind = F.element_at(F.array(*[F.lit(x) for x in ("CC", "CO", "CR", "IL", "XX")]), (1 + F.floor(F.col("doc_id") / 100) % 5).cast("int"))
     file = F.concat(kind, F.lit("_"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit(".pdf"))
     rows = table(spark, sf, "documents").select("doc_id", file.alias("file"), (F.col("doc_id") % 100).alias("page"), "text")
     out = reading.scan_pages(rows, F.array(*[F.lit(w) for w in SHORT_LEXICON]))
-    return out.select("doc_id", "category", F.length("text").cast("long").alias("n_chars"), F.round("quality_score", 6).alias("score"), "needs_ocr")
+    return out.select("doc_id", "category", F.length("text").cast("long").alias("n_chars"), F.col("quality_score").alias("score"), "needs_ocr")
 
 
 @query(r"select doc_id, case when lang is not null then upper(lang) || '-' || upper(lang) end as city from documents")
