@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import modest_batches
 
 #: Words of a lexicon that is looked up in the tasks' memory; with a larger one words are joined.
 LEXICON_WORDS = 2_000_000
@@ -28,6 +29,7 @@ def word_counts(docs: DataFrame, lexicon: DataFrame, most: int = LEXICON_WORDS)
     The lexicon's size is checked: up to ``most`` words every task looks whole batches of words up in
     a hash table; beyond, the distinct words of the texts are joined with it.
     """
+    modest_batches(docs.sparkSession)
     own = docs.select("id", T.quality_words(F.coalesce("text", F.lit(""))).alias("words"))
     known = lexicon.select("word").filter("word is not null").distinct()
     head = known.limit(most + 1).toArrow()

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -20,13 +22,14 @@ from .. import fixed
 from ..functions import french
 from ..functions import spans as S
 from ..functions import text as T
+from ..storage import modest_batches
 
 #: What stands for a stop word.
 GAP = "-"
 #: Documents of a range of the index, about; ranges that a top-k query reads first.
 RANGE_DOCS, FIRST_RANGES = 20_000, 4
-#: Words that a worker remembers the stems of.
-REMEMBERED = 1_000_000
+#: Words that a worker remembers the stems of, twice some 20 MB; places that it posts at once.
+REMEMBERED, POSTED = 100_000, 100_000
 #: Fixed value: what one occurrence of a query word weighs in a cover.
 COVER_WEIGHT = 0.1
 
@@ -37,12 +40,15 @@ def stem(word: str) -> str | None:
 
 
 class _Stems(dict):
-    """Stems of the words met so far."""
+    """Stems of the words met lately: when they are many, those not met since are forgotten."""
+
+    before: dict = {}
 
     def __missing__(self, word: str) -> str:
         if len(self) >= REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        self[word] = out = stem(word) or GAP
+        self[word] = out = self.before.get(word) or stem(word) or GAP
         return out
 
 
@@ -181,6 +187,7 @@ def _shown(top: DataFrame, q: Query, pii: DataFrame | None) -> DataFrame:
 
 def search(docs: DataFrame, query: str, limit: int = fixed.SEARCH_LIMIT, pii: DataFrame | None = None) -> DataFrame:
     """The best documents (id, text) with rank and snippet, found by reading the texts."""
+    modest_batches(docs.sparkSession)
     q = Query(query)
     found = docs.withColumn("stemmed", stemmed(F.col("text"))).filter(q.matches(F.col("stemmed")))
     ranked = found.withColumn("rank", q.rank(q.events(tokens(F.col("stemmed"))))).drop("stemmed")
@@ -188,20 +195,37 @@ def search(docs: DataFrame, query: str, limit: int = fixed.SEARCH_LIMIT, pii: Da
 
 
 def count(docs: DataFrame, query: str) -> DataFrame:
+    modest_batches(docs.sparkSession)
     return docs.filter(Query(query).matches(stemmed(F.col("text")))).agg(F.count("*").alias("hits"))
 
 
 def _posted(batches):
-    """range, id, stem, its count and places, of every stem of every document."""
+    """range, id, stem, its count and places, of every stem of every document, some ``POSTED`` places
+    at a time."""
     for batch in batches:
-        out = []
-        for part, ident, text in zip(batch["range"], batch["id"], batch["normal"]):
-            places: dict[str, list[int]] = {}
-            for at, word in enumerate(map(_known.__getitem__, (text or "").split())):
+        which, words, ends, places = [], [], [0], []
+
+        def flush():
+            at = pa.array(which, type=pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(places, type=pa.int32()))
+            columns = [batch.column("range").take(at), batch.column("id").take(at), pa.array(words, type=pa.string()), pc.list_value_length(lists), lists]
+            return pa.RecordBatch.from_arrays(columns, names=["range", "id", "word", "n", "places"])
+
+        for k, text in enumerate(batch.column("normal")):
+            own: dict[str, list[int]] = {}
+            for at, word in enumerate(map(_known.__getitem__, (text.as_py() or "").split())):
                 if word != GAP:
-                    places.setdefault(word, []).append(at)
-            out += [(part, ident, word, len(at), at) for word, at in places.items()]
-        yield pd.DataFrame(out, columns=["range", "id", "word", "n", "places"])
+                    own.setdefault(word, []).append(at)
+            for word, at in own.items():
+                which.append(k)
+                words.append(word)
+                places += at
+                ends.append(len(places))
+            if len(places) >= POSTED:
+                yield flush()
+                which, words, ends, places = [], [], [0], []
+        if places:
+            yield flush()
 
 
 def write_index(docs: DataFrame, path: str, range_docs: int = RANGE_DOCS) -> None:
@@ -212,6 +236,7 @@ def write_index(docs: DataFrame, path: str, range_docs: int = RANGE_DOCS) -> Non
     documents, which rank high, are read first.  Ranges are files of their own, in order of stems:
     the write is as parallel as there are ranges, and a query's stems are found by file statistics.
     """
+    modest_batches(docs.sparkSession)
     own = docs.select("id", T.normalise(F.col("text")).alias("normal"))
     kind = F.floor(F.log2(F.length("normal") + 1)).cast("int")
     sizes = {r["kind"]: -(-r["n"] // range_docs) for r in own.select(F.coalesce(kind, F.lit(0)).alias("kind")).groupBy("kind").agg(F.count("*").alias("n")).collect()}  # some thirty rows
@@ -221,7 +246,7 @@ def write_index(docs: DataFrame, path: str, range_docs: int = RANGE_DOCS) -> Non
     first, many = (F.element_at(F.array(*[F.lit(int(x)) for x in xs]), at) for xs in (begins[:-1], [max(1, sizes.get(k, 0)) for k in range(wide)]))
     dealt = own.withColumn("range", (first + F.pmod(F.xxhash64("id"), many)).cast("int"))
     id_type = dict(docs.dtypes)["id"]
-    posted = dealt.mapInPandas(_posted, f"range int, id {id_type}, word string, n int, places array<int>")
+    posted = dealt.mapInArrow(_posted, f"range int, id {id_type}, word string, n int, places array<int>")
     posted.repartition(max(1, begins[-1]), "range").sortWithinPartitions("range", "word", "id").write.mode("overwrite").partitionBy("range").parquet(f"{path}/postings")
     blocks = docs.sparkSession.read.parquet(f"{path}/postings").groupBy("word", "range").agg(F.count("*").alias("docs"), F.max("n").alias("most")) if begins[-1] else posted.select("word", "range", F.lit(0).cast("long").alias("docs"), F.col("n").alias("most"))
     blocks.repartitionByRange("word").sortWithinPartitions("word", "range").write.mode("overwrite").parquet(f"{path}/blocks")
@@ -312,6 +337,7 @@ def bites(folded: Column, term: str) -> Column:
 def keyword_grid(docs: DataFrame, grid: dict[str, str]) -> DataFrame:
     """topic, id, verbatim and summary of every topic whose query a document answers; one pass
     over the texts."""
+    modest_batches(docs.sparkSession)
     own = docs.withColumn("stemmed", stemmed(F.col("text"))).withColumn("folded", T.fold(F.col("text")))
     found = []
     for topic, query in grid.items():
