@@ -15,8 +15,37 @@ from .. import fixed
 SPANS = ST.ArrayType(ST.StructType([ST.StructField("start", ST.IntegerType()), ST.StructField("end", ST.IntegerType()), ST.StructField("kind", ST.StringType()), ST.StructField("detector", ST.StringType())]))
 
 
+#: What every match of a form holds: texts without it are not searched for the form.
+HELD = {p: {"regex_iban": ("FR",), "regex_url": ("http", "www.")}[d] for _, d, fold, p in fixed.FORMS if d in ("regex_iban", "regex_url") and not fold}
+#: Forms of addresses: their matches are letters, digits and ``_.+-`` around an at sign.
+AROUND_AT = frozenset(p for _, d, _, p in fixed.FORMS if d in ("email_institution", "regex_email"))
+
+
+def _around_at(text: str) -> list[tuple[int, int]]:
+    """The longest stretches of what addresses are made of that hold an at sign."""
+    out, at = [], text.find("@")
+    own = lambda c: c.isalnum() or c in "_.+-@"
+    while at >= 0:
+        low = high = at
+        while low and own(text[low - 1]):
+            low -= 1
+        while high < len(text) and own(text[high]):
+            high += 1
+        out.append((low, high))
+        at = text.find("@", high)
+    return out
+
+
 def form_spans(text: str, forms=fixed.FORMS) -> list[tuple[int, int, str, str]]:
-    return [(m.start(), m.end(), kind, detector) for kind, detector, fold, pattern in forms for m in re.finditer(pattern, text or "", re.IGNORECASE if fold else 0)]
+    text = text or ""
+    around, out = _around_at(text), []
+    for kind, detector, fold, pattern in forms:
+        if pattern in HELD and not any(x in text for x in HELD[pattern]):
+            continue
+        form = re.compile(pattern, re.IGNORECASE if fold else 0)
+        for low, high in around if pattern in AROUND_AT else [(0, len(text))]:
+            out += [(m.start(), m.end(), kind, detector) for m in form.finditer(text, low, high)]
+    return out
 
 
 def signature_spans(text: str) -> list[tuple[int, int, str, str]]:
