@@ -9,12 +9,14 @@ from pyspark.sql import types as ST
 from .. import fixed
 from ..functions import hashing
 from ..functions import text as T
-from ..storage import materialised
+from ..storage import materialised, modest_batches
 from .components import components
 
 #: Members up to which all pairs of a band are candidates; those of larger bands are joined by
 #: their rarest shingles.
 SMALL_BAND = 32
+#: Documents whose ids are broadcast, some 40 bytes each; the texts of more are shuffled.
+BROADCAST_IDS = 500_000
 
 
 def shingled(docs: DataFrame) -> DataFrame:
@@ -24,6 +26,13 @@ def shingled(docs: DataFrame) -> DataFrame:
     return docs.select("id", T.normalise(F.col("text")).alias("normal")).mapInArrow(hashing.shingle_batches, schema)
 
 
+def _sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """id and shingles of the wanted documents."""
+    wanted = materialised(wanted)
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return materialised(shingled(docs.join(F.broadcast(wanted) if few else wanted, "id", "left_semi")).select("id", "shingles"))
+
+
 def _pairs(members: DataFrame, key: str) -> DataFrame:
     return members.select(key, F.col("id").alias("a")).join(members.select(key, F.col("id").alias("b")), key).filter("a < b").select("a", "b")
 
@@ -48,18 +57,21 @@ def linked(docs: DataFrame, threshold: float = fixed.SIMILARITY, exact: bool = F
     """
     if threshold < fixed.SIMILARITY_FLOOR:
         raise ValueError("below this similarity the bands miss too much")
-    sets = materialised(shingled(docs))
+    modest_batches(docs.sparkSession)
     same = [F.xxhash64("shingles").alias("h1"), F.hash("shingles").alias("h2"), F.size("shingles").alias("n")]
-    ids = sets.select("id", *same)
+    # Sets are as large as the texts: their keys are written, and only sets that share one are made again.
+    ids = materialised(shingled(docs).select("id", *same, "keys"))
     first = materialised(ids.groupBy("h1", "h2", "n").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     copies = ids.join(first.filter("copies > 1"), ["h1", "h2", "n"]).filter("id <> first").select("first", "id")
-    ones = materialised(sets.join(first.select(F.col("first").alias("id")), "id", "left_semi"))
+    ones = ids.join(first.select(F.col("first").alias("id")), "id", "left_semi")
     if exact:
+        ones = _sets_of(ones.select("id").distinct(), docs)
         pairs = _by_rarest(ones, threshold)
     else:
-        keyed = ones.select("id", F.explode("keys").alias("key"))
+        keyed = materialised(ones.select("id", F.explode("keys").alias("key")))
         shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
         keyed = materialised(keyed.join(shared, "key"))
+        ones = _sets_of(keyed.select("id").distinct(), docs)
         pairs = _pairs(keyed.filter(F.col("n") <= SMALL_BAND), "key")
         crowd = keyed.filter(F.col("n") > SMALL_BAND).select("id").distinct()
         if not crowd.isEmpty():
