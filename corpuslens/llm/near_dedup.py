@@ -262,9 +262,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         while True:
             roots = _united(roots, found)
             left = held(_mixed(rare, roots))
-            order = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(turn)), "node").rowsBetween(-BESIDE, -1)
-            beside = left.withColumn("o", F.collect_list(F.struct("node", "root", "total", "rest")).over(order)).withColumn("o", F.explode("o")).filter((F.col("root") != F.col("o.root")) & near(F.col("o.total"), F.col("o.rest")))
-            beside = held(beside.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct())
+            beside = held(_beside(left, turn, near).distinct())
             found, turn = held(_compared(beside, crowd_texts, common, similarity)), turn + 1
             more = more.unionByName(found)
             fruitless = found.count() <= FRUITFUL * beside.count()
@@ -320,6 +318,15 @@ def _pairs_across(small: DataFrame) -> DataFrame:
     return small.join(other, "band").filter("node < b and root <> root_b").select(F.col("node").alias("a"), "b")
 
 
+def _beside(left: DataFrame, turn: int, near) -> DataFrame:
+    """Pairs of each member of a band with those of other classes among the ``BESIDE`` before it, in an
+    order that changes with the turn.  What ``near`` rules out never becomes a row."""
+    order = Window.partitionBy("band").orderBy(F.xxhash64("node", F.lit(turn)), "node").rowsBetween(-BESIDE, -1)
+    others = F.filter("o", lambda o: (F.col("root") != o["root"]) & near(o["total"], o["rest"]))
+    each = left.withColumn("o", F.collect_list(F.struct("node", "root", "total", "rest")).over(order)).select("node", F.explode(others).alias("o"))
+    return each.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b"))
+
+
 def _texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """node and text; ``wanted`` has node and the keys of its text."""
     # Few enough to broadcast, by a check of their number; else the texts are shuffled.
