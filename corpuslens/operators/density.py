@@ -120,6 +120,19 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(((x[:, None, :] - y[None]) ** 2).sum(2))
 
 
+def _about(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances by one product of matrices, and how far off by rounding they are at most."""
+    centre = y.mean(0)
+    x, y = x - centre, y - centre
+    xx, yy = (x**2).sum(1), (y**2).sum(1)
+    return xx[:, None] + yy[None] - 2 * (x @ y.T), 16 * (x.shape[1] + 8) * np.finfo(float).eps * float(xx.max() + yy.max())
+
+
+def _each(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The distances of some pairs, equal to those in ``_distances``."""
+    return np.sqrt(((x[i] - y[j]) ** 2).sum(1))
+
+
 def _block_of(row) -> _Block:
     return _Block(row.nodes, row.weights, row.vectors, row.cores, row.parts)
 
@@ -176,10 +189,19 @@ def _both(row) -> tuple[_Block, _Block]:
 def _nearest(b: _Block, o: _Block, least: int, own: bool):
     """For each node of b the nearest of o until they weigh enough: places, distances, weights."""
     for lo, hi in b.rows(len(o.x)):
-        d = _distances(b.x[lo:hi], o.x)
-        k = min(least, d.shape[1])
-        near = np.argpartition(d, k - 1, axis=1)[:, :k]
-        yield lo, hi, np.take_along_axis(d, near, 1), o.weights[near]
+        k = min(least, len(o.x))
+        about, off = _about(b.x[lo:hi], o.x)
+        limit = np.partition(about, k - 1, axis=1)[:, k - 1] + 2 * off
+        if np.isfinite(limit).all():
+            i, j = np.nonzero(about <= limit[:, None])
+            d = _each(b.x[lo:hi], o.x, i, j)
+            order = np.lexsort((d, i))
+            some = order[np.searchsorted(i, np.arange(hi - lo))[:, None] + np.arange(k)]
+            yield lo, hi, d[some], o.weights[j[some]]
+        else:
+            d = _distances(b.x[lo:hi], o.x)
+            near = np.argpartition(d, k - 1, axis=1)[:, :k]
+            yield lo, hi, np.take_along_axis(d, near, 1), o.weights[near]
 
 
 def _kth(distances: np.ndarray, weights: np.ndarray, least: int) -> np.ndarray:
@@ -231,14 +253,21 @@ def _with_cores(blocks: DataFrame, least: int) -> DataFrame:
 
 def _cheapest(b: _Block, o: _Block) -> pd.DataFrame:
     """For each part of b the least edge to another part in o; ties by the nodes' numbers."""
-    found, far = [], np.iinfo(np.int64).max
+    found = []
     for lo, hi in b.rows(len(o.x)):
-        w = np.maximum(_distances(b.x[lo:hi], o.x), np.maximum(b.cores[lo:hi, None], o.cores[None]))
-        w[b.parts[lo:hi, None] == o.parts[None]] = np.inf
-        best = w.min(1)
-        j = np.where(w == best[:, None], o.nodes[None], far).argmin(1)
-        mine, theirs = b.nodes[lo:hi], o.nodes[j]
-        found.append(pd.DataFrame({"part": b.parts[lo:hi], "w": best, "a": np.minimum(mine, theirs), "b": np.maximum(mine, theirs), "other": o.parts[j]}))
+        apart = b.parts[lo:hi, None] != o.parts[None]
+        core = np.maximum(b.cores[lo:hi, None], o.cores[None])
+        about, off = _about(b.x[lo:hi], o.x)
+        if np.isfinite(off):  # only what rounding leaves in doubt is worked out exactly
+            limit = np.where(apart, np.maximum(about + off, core**2), np.inf).min(1) * (1 + 1e-14)
+            apart &= np.maximum(about - off, core**2) <= limit[:, None]
+        i, j = np.nonzero(apart)
+        w = np.maximum(_each(b.x[lo:hi], o.x, i, j), core[i, j])
+        order = np.lexsort((o.nodes[j], w, i))
+        first = order[np.append(True, i[1:] != i[:-1])] if len(i) else order  # i is in order already
+        i, j, best = i[first], j[first], w[first]
+        mine, theirs = b.nodes[lo:hi][i], o.nodes[j]
+        found.append(pd.DataFrame({"part": b.parts[lo:hi][i], "w": best, "a": np.minimum(mine, theirs), "b": np.maximum(mine, theirs), "other": o.parts[j]}))
     found = pd.concat(found)
     return found[np.isfinite(found["w"])].sort_values(["w", "a", "b"]).groupby("part", as_index=False).first()
 

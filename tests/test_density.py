@@ -116,3 +116,27 @@ def test_equal_vectors_null_and_none(spark):
     assert clusters == [[0, 1, 2, 3, 4, 5], [6, 7, 8, 9, 10, 11]] and noise == {12}
     df = spark.createDataFrame([(None, 1, None), (None, 2, [1.0]), (1, 3, [])], "level int, id long, vector array<double>")
     assert all(r["noise"] for r in density.clusters(df).collect()) and density.clusters(df.limit(0)).count() == 0
+
+
+def test_few_distances_of_two_blocks_are_worked_out(monkeypatch):
+    import numpy as np
+
+    from corpuslens.operators import density
+
+    draw, made = np.random.default_rng(4), []
+    plain = density._each
+    monkeypatch.setattr(density, "_each", lambda x, y, i, j: made.append(len(i)) or plain(x, y, i, j), raising=False)
+    for shift in (0.0, 1e6):
+        x = [draw.normal(size=(300, 64)) + shift for _ in range(2)]
+        d = density._distances(*x)
+        cores = [np.sort(density._distances(y, y), axis=1)[:, 4] for y in x]
+        nodes, parts = [np.arange(300) + 1000 * k for k in range(2)], [draw.integers(0, 9, 300) for _ in range(2)]
+        b, o = (density._Block(nodes[k].tobytes(), np.ones(300, np.int64).tobytes(), x[k].tobytes(), cores[k].tobytes(), parts[k].tobytes()) for k in range(2))
+        w = np.where(parts[0][:, None] == parts[1][None], np.inf, np.maximum(d, np.maximum(cores[0][:, None], cores[1][None])))
+        made.clear()
+        got = density._cheapest(b, o)
+        assert dict(zip(got["part"], got["w"])) == {p: w[parts[0] == p].min() for p in set(parts[0].tolist())}
+        assert sum(made) <= d.size / 20
+        made.clear()
+        near = np.concatenate([x for _, _, x, _ in density._nearest(b, o, 5, False)])
+        assert (np.sort(near, axis=1) == np.sort(d, axis=1)[:, :5]).all() and 0 < sum(made) <= d.size / 20
