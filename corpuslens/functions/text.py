@@ -62,9 +62,11 @@ def _spread(c: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lower case, decomposed as far as letters and digits go (NFKD), without combining marks."""
+    """Lower case, decomposed as far as letters and digits go (NFKD), without combining marks; of an
+    ASCII text that is its lower case."""
     spread = F.when(c.rlike(_RARE), _spread(c)).otherwise(c)
-    return F.regexp_replace(F.translate(F.lower(F.translate(spread, _FROM, _TO)), _FROM, _TO), "[\\u0300-\\u036f]", "")
+    plain = F.regexp_replace(F.translate(F.lower(F.translate(spread, _FROM, _TO)), _FROM, _TO), "[\\u0300-\\u036f]", "")
+    return F.when(c.rlike(r"[^\x00-\x7f]"), plain).otherwise(F.lower(c))
 
 
 def fold_sql(name: str) -> str:
@@ -101,16 +103,24 @@ def _with(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def _runs(tokens: Column, width: int) -> Column:
+    n = F.size(tokens)
+    each = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, width), " "))
+    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+
+def _normal_words(c: Column) -> Column:
+    return F.filter(F.split(normalise(c), " "), lambda w: w != "")
+
+
 def shingles(c: Column, width: int = fixed.SHINGLE_WORDS) -> Column:
     """Distinct runs of normalised words; a shorter text is one; a blank one has none."""
-    none = F.array().cast("array<string>")
+    return _with(_normal_words(c), lambda tokens: _runs(tokens, width))
 
-    def runs(tokens: Column) -> Column:
-        n = F.size(tokens)
-        each = F.transform(F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, width), " "))
-        return F.when(n == 0, none).otherwise(F.array_distinct(each))
 
-    return _with(F.filter(F.split(normalise(c), " "), lambda w: w != ""), runs)
+def shingle_counts(c: Column, width: int = fixed.SHINGLE_WORDS) -> Column:
+    """words and shingles of a text, as a struct; the text is normalised once."""
+    return _with(_normal_words(c), lambda tokens: F.struct(F.size(tokens).alias("words"), F.size(_runs(tokens, width)).alias("shingles")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -189,8 +199,8 @@ def quality_words(c: Column) -> Column:
 
 def quality_score(c: Column, lexicon: Column) -> Column:
     """Share of the longer words that a small lexicon (array of words) holds; 0 without such words."""
-    tokens = quality_words(c)
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.size(F.filter(tokens, lambda w: F.array_contains(lexicon, w))) / F.size(tokens))
+    share = lambda tokens: F.when(F.size(tokens) == 0, 0.0).otherwise(F.size(F.filter(tokens, lambda w: F.array_contains(lexicon, w))) / F.size(tokens))
+    return _with(quality_words(c), share)
 
 
 def needs_ocr(c: Column, score: Column, threshold: float = fixed.QUALITY_THRESHOLD) -> Column:
