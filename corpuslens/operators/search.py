@@ -336,16 +336,20 @@ def bites(folded: Column, term: str) -> Column:
 
 def keyword_grid(docs: DataFrame, grid: dict[str, str]) -> DataFrame:
     """topic, id, verbatim and summary of every topic whose query a document answers; one pass
-    over the texts."""
+    over the texts.  Excerpts are made of what is found, and only where they are asked for."""
     modest_batches(docs.sparkSession)
-    own = docs.withColumn("stemmed", stemmed(F.col("text"))).withColumn("folded", T.fold(F.col("text")))
-    found = []
-    for topic, query in grid.items():
-        q = Query(query)
+    queries = {topic: Query(query) for topic, query in grid.items()}
+    own = docs.select("id", "text", stemmed(F.col("text")).alias("stemmed"))
+    topics = F.array(*[F.when(q.matches(F.col("stemmed")), F.lit(topic)) for topic, q in queries.items()])
+    found = own.select("id", "text", F.explode(F.filter(topics, lambda x: x.isNotNull())).alias("topic")).withColumn("folded", T.fold(F.col("text")))
+    verbatims, summaries = [], []
+    for topic, q in queries.items():
+        own = F.col("topic") == topic
         terms = F.array_join(F.filter(F.array(*[F.when(bites(F.col("folded"), t), t) for t in q.words]), lambda x: x.isNotNull()), ", ")
         verbatim = F.regexp_replace(T.excerpt(F.col("text"), q.words), "^… | …$", "")
-        found.append(F.when(q.matches(F.col("stemmed")), F.struct(F.lit(topic).alias("topic"), verbatim.alias("verbatim"), F.concat(F.lit("mots-clés : "), terms).alias("summary"))))
-    return own.select("id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i")).select("i.topic", "id", "i.verbatim", "i.summary")
+        verbatims.append(F.when(own, verbatim))
+        summaries.append(F.when(own, F.concat(F.lit("mots-clés : "), terms)))
+    return found.select("topic", "id", F.coalesce(*verbatims).alias("verbatim"), F.coalesce(*summaries).alias("summary"))
 
 
 def uncovered(docs: DataFrame, instances: DataFrame, limit: int | None = None) -> DataFrame:
