@@ -35,7 +35,8 @@ def scan_pages(pages: DataFrame, lexicon: Column) -> DataFrame:
     own = pages.withColumn("category", kind).filter(F.col("page") >= skip)
     end = F.min(F.when(F.contains("text", F.lit(fixed.END_MARK)), F.col("page"))).over(Window.partitionBy("file"))
     own = own.withColumn("end", end).filter(F.col("end").isNull() | (F.col("page") < F.col("end"))).drop("end")
-    own = own.withColumn("text", T.clean_page(F.col("text"))).filter(F.length("text") >= fixed.MIN_PAGE_CHARS)
+    # A generated column is worked out once: a filter would be pushed below a projected one, with a second cleaning.
+    own = own.withColumn("text", F.explode(F.array(T.clean_page(F.col("text"))))).filter(F.length("text") >= fixed.MIN_PAGE_CHARS)
     score = T.quality_score(F.col("text"), lexicon)
     return own.withColumn("quality_score", score).withColumn("needs_ocr", T.needs_ocr(F.col("text"), F.col("quality_score")))
 
