@@ -238,32 +238,39 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     in_bands = held(texts.filter("bands is not null").select(F.explode("bands").alias("band"), "node"))
     texts = texts.drop("bands")
     shared = in_bands.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    in_bands = held(in_bands.join(shared, "band"))
+    # What later steps build on is written, not held: a plan over held tables repeats theirs, and the
+    # driver keeps the plans of all that was run.
+    in_bands, each = kept(in_bands.join(shared, "band")), in_bands
+    drop(each)
     pairs = in_bands.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     verify = lambda pairs: _verified(pairs, texts, docs, common, similarity)
     links = verify(pairs)
     classes = components(links)
     # Bands that still join different classes: small ones pair by pair; the members of large
     # ones exactly, by the rare shingles that similar texts must share.
-    mixed = held(_mixed(in_bands, classes))
+    mixed = kept(_mixed(in_bands, classes))
+    drop(in_bands)
     pairs = _pairs_across(mixed.filter(F.col("n") <= SMALL_BAND))
-    crowd = held(mixed.filter(F.col("n") > SMALL_BAND).select("node").distinct())
-    if crowd.isEmpty():
-        more = verify(pairs.distinct())
-    else:
-        crowd_texts = _texts_of(_keys_of(crowd, texts), docs)
+    crowd = kept(mixed.filter(F.col("n") > SMALL_BAND).select("node").distinct())
+    more = verify(pairs.distinct())
+    drop(mixed)
+    if not crowd.isEmpty():
+        keys = _keys_of(crowd, texts)
+        crowd_texts = _texts_of(keys, docs)
+        drop(keys)
         rare = kept(_prefixes(crowd_texts, common, similarity))
         star = rare.groupBy("band").agg(F.min_by(F.struct("node", "total", "rest"), "node").alias("l"))
         near = lambda total, rest: F.least("rest", rest) >= (similarity / (1 + similarity) - 1e-9) * (F.col("total") + total)
         stars = rare.join(star, "band").filter((F.col("node") != F.col("l.node")) & near(F.col("l.total"), F.col("l.rest"))).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-        more = verify(pairs.distinct()).unionByName(held(_compared(stars.distinct(), crowd_texts, common, similarity)))
-        roots, turn = held(crowd.join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("root"))), 0
+        more = more.unionByName(kept(_compared(stars.distinct(), crowd_texts, common, similarity)))
+        roots, turn = kept(crowd.join(classes, "node", "left").select("node", F.coalesce("root", "node").alias("root"))), 0
+        drop(crowd)
         found = more
         while True:
             roots = _united(roots, found)
             left = held(_mixed(rare, roots))
             beside = held(_beside(left, turn, near).distinct())
-            found, turn = held(_compared(beside, crowd_texts, common, similarity)), turn + 1
+            found, turn = kept(_compared(beside, crowd_texts, common, similarity)), turn + 1
             more = more.unionByName(found)
             fruitless = found.count() <= FRUITFUL * beside.count()
             drop(left, beside)
@@ -273,7 +280,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         left = held(_mixed(rare, roots))
         other = left.select("band", F.col("node").alias("b"), F.col("root").alias("root_b"), F.col("total").alias("total_b"), F.col("rest").alias("rest_b"))
         across = left.join(other, "band").filter((F.col("node") < F.col("b")) & (F.col("root") != F.col("root_b")) & near(F.col("total_b"), F.col("rest_b"))).select(F.col("node").alias("a"), "b")
-        more = held(more.unionByName(_compared(across.distinct(), crowd_texts, common, similarity)))
+        more = kept(more.unionByName(_compared(across.distinct(), crowd_texts, common, similarity)))
+        drop(left, rare, crowd_texts, roots)
     if not more.isEmpty():
         links = kept(links.unionByName(more))
         classes = components(links)
@@ -305,11 +313,13 @@ def _mixed(in_bands: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _united(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """node and root, after classes with links between them are one."""
+    """node and root, after classes with links between them are one; ``roots`` is read no more."""
     a, b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
     ends = links.select("a", "b").join(a, "a").join(b, "b").filter("root_a <> root_b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
     moved = components(ends).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return kept(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    out = kept(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+    drop(roots)
+    return out
 
 
 def _pairs_across(small: DataFrame) -> DataFrame:
@@ -367,9 +377,10 @@ def _prefixes(crowd_texts: DataFrame, common, similarity: float) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, common, similarity: float) -> DataFrame:
     """The pairs (a < b) of texts whose weighted Jaccard similarity is high enough."""
     pairs = held(pairs.select("a", "b"))
-    whole = _texts_of(_keys_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts), docs)
+    keys = _keys_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), texts)
+    whole = _texts_of(keys, docs)
     out = kept(_compared(pairs, whole, common, similarity))
-    drop(whole, pairs)
+    drop(whole, keys, pairs)
     return out
 
 
