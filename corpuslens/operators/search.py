@@ -201,19 +201,20 @@ def count(docs: DataFrame, query: str) -> DataFrame:
 
 def _posted(batches):
     """range, id, stem, its count and places, of every stem of every document, some ``POSTED`` places
-    at a time."""
+    at a time; and where the word is the stem itself, if that is not everywhere."""
     for batch in batches:
-        which, words, ends, places = [], [], [0], []
+        which, words, ends, places, plain = [], [], [0], [], []
 
         def flush():
             at = pa.array(which, type=pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(places, type=pa.int32()))
-            columns = [batch.column("range").take(at), batch.column("id").take(at), pa.array(words, type=pa.string()), pc.list_value_length(lists), lists]
-            return pa.RecordBatch.from_arrays(columns, names=["range", "id", "word", "n", "places"])
+            columns = [batch.column("range").take(at), batch.column("id").take(at), pa.array(words, type=pa.string()), pc.list_value_length(lists), lists, pa.array(plain, type=pa.list_(pa.int32()))]
+            return pa.RecordBatch.from_arrays(columns, names=["range", "id", "word", "n", "places", "plain"])
 
         for k, text in enumerate(batch.column("normal")):
             own: dict[str, list[int]] = {}
-            for at, word in enumerate(map(_known.__getitem__, (text.as_py() or "").split())):
+            forms = (text.as_py() or "").split()
+            for at, word in enumerate(map(_known.__getitem__, forms)):
                 if word != GAP:
                     own.setdefault(word, []).append(at)
             for word, at in own.items():
@@ -221,9 +222,11 @@ def _posted(batches):
                 words.append(word)
                 places += at
                 ends.append(len(places))
+                same = [x for x in at if forms[x] == word]
+                plain.append(None if len(same) == len(at) else same)
             if len(places) >= POSTED:
                 yield flush()
-                which, words, ends, places = [], [], [0], []
+                which, words, ends, places, plain = [], [], [0], [], []
         if places:
             yield flush()
 
@@ -246,7 +249,7 @@ def write_index(docs: DataFrame, path: str, range_docs: int = RANGE_DOCS) -> Non
     first, many = (F.element_at(F.array(*[F.lit(int(x)) for x in xs]), at) for xs in (begins[:-1], [max(1, sizes.get(k, 0)) for k in range(wide)]))
     dealt = own.withColumn("range", (first + F.pmod(F.xxhash64("id"), many)).cast("int"))
     id_type = dict(docs.dtypes)["id"]
-    posted = dealt.mapInArrow(_posted, f"range int, id {id_type}, word string, n int, places array<int>")
+    posted = dealt.mapInArrow(_posted, f"range int, id {id_type}, word string, n int, places array<int>, plain array<int>")
     posted.repartition(max(1, begins[-1]), "range").sortWithinPartitions("range", "word", "id").write.mode("overwrite").partitionBy("range").parquet(f"{path}/postings")
     blocks = docs.sparkSession.read.parquet(f"{path}/postings").groupBy("word", "range").agg(F.count("*").alias("docs"), F.max("n").alias("most")) if begins[-1] else posted.select("word", "range", F.lit(0).cast("long").alias("docs"), F.col("n").alias("most"))
     blocks.repartitionByRange("word").sortWithinPartitions("word", "range").write.mode("overwrite").parquet(f"{path}/blocks")
@@ -260,10 +263,11 @@ def _asked(q: Query) -> list[str]:
     return sorted({w for g in q.groups for p in g for w in p if w} | {w for p in q.negated for w in p if w})
 
 
-def _found(spark: SparkSession, path: str, q: Query, ranges: list[int] | None = None) -> DataFrame:
+def _found(spark: SparkSession, path: str, q: Query, ranges: list[int] | None = None, plain: bool = False) -> DataFrame:
     """id and rank of the documents that answer, from the postings of some ranges or of all."""
     rows = spark.read.parquet(f"{path}/postings").filter(F.col("word").isin(*_asked(q)))
     rows = rows if ranges is None else rows.filter(F.col("range").isin(*ranges))
+    rows = rows.withColumn("places", F.coalesce("plain", "places")) if plain else rows
     places = rows.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("p"))  # at most the query's stems
     none = F.array().cast("array<int>")
     at = lambda w: F.coalesce(F.col("p")[w], none)
@@ -292,9 +296,10 @@ def _found(spark: SparkSession, path: str, q: Query, ranges: list[int] | None =
     return places.filter(match).select("id", q.rank(events).alias("rank"))
 
 
-def find(spark: SparkSession, path: str, query: str) -> DataFrame:
-    """id and rank of all documents that answer the query, from an index alone."""
-    return _found(spark, path, Query(query))
+def find(spark: SparkSession, path: str, query: str, plain: bool = False) -> DataFrame:
+    """id and rank of all documents that answer the query, from an index alone; where ``plain``, only
+    by words that are the stems themselves, not by their other forms."""
+    return _found(spark, path, Query(query), plain=plain)
 
 
 def top(spark: SparkSession, path: str, query: str, limit: int = fixed.SEARCH_LIMIT) -> tuple[list[tuple], int, int]:
